@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .language_id import op1_language_id
+from .quality_classifier import op3_quality_classifier
+from .token_store import op10_token_store
 
-QUERIES = {"op8_bpe": op8_bpe}
+QUERIES = {"op1_language_id": op1_language_id, "op3_quality_classifier": op3_quality_classifier, "op8_bpe": op8_bpe, "op10_token_store": op10_token_store}
 SQL: dict[str, str] = {}
