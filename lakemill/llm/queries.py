@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .language_id import op1_language_id
+from .line_quality import OP9_SQL, op9_line_quality
 from .quality_classifier import op3_quality_classifier
+from .secret_scan import op7_secret_scan
 from .token_store import op10_token_store
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_quality_classifier": op3_quality_classifier, "op8_bpe": op8_bpe, "op10_token_store": op10_token_store}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_bpe": op8_bpe,
+    "op9_line_quality": op9_line_quality,
+    "op10_token_store": op10_token_store,
+}
+SQL: dict[str, str] = {"op9_line_quality": OP9_SQL}
