@@ -25,9 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends, no executor is needed."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchange files of steps that nothing refers to any more
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lakemill_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialise() wrote and that no frame still to be computed reads."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.lakemill_path)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialise, pieces
+from .common import discard, documents, materialise, pieces
 from .graph import components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -159,7 +159,9 @@ def links(fps: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     once = (F.col("key") >= 3 << 58) | (F.col("a") < F.col("b"))
     pairs = left.join(right, "key").where((near >= 1) & (near <= 3) & once)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    discard(keyed)
+    return found
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: list[str] | None = None) -> DataFrame:

@@ -26,6 +26,12 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def part_finder(spec: dict):
+    """Finds the pre-tokens of a normalised text. \\s of the file's expression is Unicode's White_Space; regex's own \\s has four controls more."""
+    pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}")).findall
+
+
 class WordBPE:
     """Encodes and decodes as the tokenizers library does with the same file and add_special_tokens=False."""
 
@@ -38,9 +44,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ranks = {p: n for n, p in enumerate(map(self._pair, model["merges"]))}
         self.symbols = byte_symbols()
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # \s of this file's regular expressions is Unicode's White_Space; regex's own \s has four controls more
-        self.parts = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}")).findall
+        self.parts = part_finder(spec)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.joined = self._joined_pairs()
         self.by_id = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
