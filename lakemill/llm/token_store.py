@@ -20,6 +20,7 @@ readers skip shards; the dictionary is a table of one row.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import unicodedata
@@ -34,55 +35,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import word_bpe
 from .common import documents, pieces, shared_folder
 
 MAGIC = b"LMTOKEN1"
+MARKS = frozenset(".,;:!?|")
 HEAD = struct.Struct("<8s32sQQ")
 SHARD = "part int, seq int, first_id bigint, last_id bigint, n_docs bigint, n_tokens bigint, data binary"
 
 
+class Cache(dict):
+    """Values computed when they are first asked for; what stays unused for a whole generation of entries is forgotten."""
+
+    def __init__(self, compute, most: int):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        self[key] = value = self.compute(key) if value is None else value
+        return value
+
+    def age(self) -> None:
+        """To be called between pieces of input."""
+        if len(self) >= self.most // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class CachedTokenizer:
-    """The tokenizers library behind a cache of runs without white space, which it encodes independently.
+    """The tokenizers library behind caches of runs without white space and of their pre-tokens, which it encodes independently.
 
     Texts for which that isn't certain (special tokens, odd controls, not in NFC) go to the library whole.
     """
 
-    MOST = 500_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.parts = word_bpe.part_finder(json.load(f))
+        self.of_part = Cache(self.whole, most)
+        self.of_word = Cache(self.word, most)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        word, part = word_bpe.WordBPE.lower(word), self.of_part
+        if word.isalpha():  # letters alone are one pre-token, and so is a single mark after them
+            return part[word]
+        if word[-1] in MARKS and word[:-1].isalpha():
+            return part[word[:-1]] + part[word[-1]]
+        return b"".join([part[p] for p in self.parts(word)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
-        if len(self.words) >= self.MOST:
-            self.words.clear()
-        out: list[bytes] = []
-        split: list[list[str] | None] = []
-        new: set[str] = set()
+        self.of_word.age()
+        self.of_part.age()
+        out, known = [], self.of_word.__getitem__
         for text in texts:
-            words = None
             if not text:
-                words = []
-            elif "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)) and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                words = text.split()
-                new.update(words)
-            split.append(words)
-        missing = list(new.difference(self.words))
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            self.words |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True)}
-        known = self.words
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                out.append(b"")
+            elif "<|" in text or not (text.isascii() or unicodedata.is_normalized("NFC", text)) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                out.append(self.whole(text))
             else:
-                out.append(b"".join([known[w] for w in words]))
+                out.append(b"".join(map(known, text.split())))
         return out
 
 
