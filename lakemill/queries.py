@@ -1,6 +1,558 @@
-"""Queries that apply the operators to the test tables, and equivalent SQL."""
+"""Queries that apply the operators to the test tables, and equivalent SQL.
+
+SQL may be left out only where none can express a query; tests compare those with brute force.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import geometry, grades, rational, text
+from .operators import graphs, images, joins, rhythm, sequences, statistics
+from .plans.stages import Stages
+from .sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return files.table(spark, d, name)
+
+
+def big(c):
+    return c.cast("bigint")
+
+
+# runs and histograms
+
+_RLE = """
+WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place,
+                  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events),
+runs AS (SELECT user_id, event_type, CAST(min(place) AS BIGINT) AS start, count(*) AS length FROM p GROUP BY user_id, event_type, place - nth)
+"""
+
+
+def _event_runs(spark, d):
+    return sequences.rle(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+@query(_RLE + "SELECT length, count(*) AS n, CAST(rint(0.05 * (SELECT count(*) FROM runs)) AS BIGINT) AS quorum FROM runs GROUP BY length HAVING count(*) >= rint(0.05 * (SELECT count(*) FROM runs))".replace("rint(", "round_even(").replace("FROM runs))", "FROM runs), 0)"))
+def rle_quorum_peaks(spark, d):
+    runs = _event_runs(spark, d).withColumn("all", F.lit(1))
+    return sequences.quorum(sequences.histogram(runs, ["all"], "length"), ["all"], 0.05).select("length", "n", "quorum")
+
+
+@query(_RLE + "SELECT * FROM runs")
+def rle_encode(spark, d):
+    return _event_runs(spark, d)
+
+
+@query("SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events")
+def rle_decode(spark, d):
+    return sequences.rle_decode(_event_runs(spark, d), ["user_id"], "event_type")
+
+
+@query(_RLE + "SELECT user_id, event_type, start, length, length < 2 AS removed FROM runs")
+def rle_purge(spark, d):
+    kept, removed = sequences.purge(_event_runs(spark, d), F.col("length") < 2)
+    return kept.withColumn("removed", F.lit(False)).union(removed.withColumn("removed", F.lit(True)))
+
+
+_HIST = "WITH h AS (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS q, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+def _quantities(spark, d):
+    return sequences.histogram(t(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("int")), ["l_returnflag"], "q")
+
+
+@query(_HIST + "SELECT * FROM h")
+def histogram(spark, d):
+    return _quantities(spark, d)
+
+
+@query(_HIST + "SELECT l_returnflag, q, n FROM h QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, q) = 1")
+def histogram_maximum(spark, d):
+    return sequences.best_bucket(_quantities(spark, d), ["l_returnflag"], "q")
+
+
+@query(_HIST + """, a AS (SELECT l_returnflag, avg(n) AS m FROM h GROUP BY 1),
+i AS (SELECT l_returnflag, q, n, q - row_number() OVER (PARTITION BY l_returnflag ORDER BY q) AS island FROM h JOIN a USING (l_returnflag) WHERE n >= m)
+SELECT l_returnflag, min(q) AS start, arg_max(q, n * 1000 - q) AS best, max(q) AS stop, max(n) AS n FROM i GROUP BY l_returnflag, island""")
+def histogram_peaks(spark, d):
+    h = _quantities(spark, d)
+    h = h.withColumn("m", F.avg("n").over(Window.partitionBy("l_returnflag")))
+    return sequences.peaks(h, ["l_returnflag"], "q", F.col("m"))
+
+
+_DAILY = "WITH f AS (SELECT l_returnflag, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS x, count(*) AS y FROM lineitem GROUP BY ALL)"
+
+
+def _daily(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_returnflag", big(F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date"))).alias("x")).agg(F.count("*").alias("y"))
+
+
+@query(_DAILY + """, s AS (SELECT *, lag(y) OVER w AS was, lead(y) OVER w AS nxt FROM f WINDOW w AS (PARTITION BY l_returnflag ORDER BY x))
+SELECT l_returnflag, x, y FROM s WHERE (was IS NULL OR y >= was) AND nxt < y""")
+def local_maxima(spark, d):
+    return sequences.local_maxima(_daily(spark, d), ["l_returnflag"], "x", "y")
+
+
+@query(_DAILY + "SELECT l_returnflag, x, y, y - lag(y) OVER (PARTITION BY l_returnflag ORDER BY x) AS dy FROM f")
+def first_derivative(spark, d):
+    return sequences.derivative(_daily(spark, d), ["l_returnflag"], "x", "y")
+
+
+@query(_DAILY + "SELECT l_returnflag, CAST(sum(greatest(0, y - 3)) AS DOUBLE) AS area FROM f GROUP BY 1")
+def area_above(spark, d):
+    return sequences.area(_daily(spark, d), ["l_returnflag"], "y", 3).select("l_returnflag", F.col("area").cast("double").alias("area"))
+
+
+@query(_DAILY + "SELECT l_returnflag, x, y FROM f QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY y DESC, x) = 1")
+def argmax_first(spark, d):
+    return sequences.argmax(_daily(spark, d), ["l_returnflag"], "x", "y")
+
+
+@query(_DAILY + """, v AS (SELECT *, y - lag(y) OVER w AS dy FROM f WINDOW w AS (PARTITION BY l_returnflag ORDER BY x)),
+m AS (SELECT *, CASE WHEN dy >= 4 THEN 1 ELSE -1 END AS way FROM v WHERE abs(dy) >= 4),
+r AS (SELECT *, sum(isnew) OVER (PARTITION BY l_returnflag ORDER BY x) AS k FROM (SELECT *, CASE WHEN way = 1 AND coalesce(lag(way) OVER (PARTITION BY l_returnflag ORDER BY x), -1) = -1 THEN 1 ELSE 0 END AS isnew FROM m))
+SELECT l_returnflag, min(x) AS start, max(x) AS stop, max(dy) AS rise, min(dy) AS fall FROM r WHERE k > 0 GROUP BY l_returnflag, k HAVING min(dy) < 0""")
+def hilo_ranges(spark, d):
+    return sequences.hilos(_daily(spark, d), ["l_returnflag"], "x", "y", 4)
+
+
+@query("""WITH s AS (SELECT *, avg(value) OVER w AS m, avg(value * value) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 18 PRECEDING AND 18 FOLLOWING))
+SELECT event_id, value <= 0.7 * m + 0.9 * sqrt(abs(q - m * m)) AS fore FROM s""")
+def adaptive_filter(spark, d):
+    e = t(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return sequences.adaptive_foreground(e, ["user_id"], "at", "value").select("event_id", "fore")
+
+
+@query("""WITH s AS (SELECT event_id, value, least(2, i - 1, n - i) AS r, list(value) OVER w AS near, least(2, i - 1) AS lead FROM
+  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT event_id, list_sort(near[lead - r + 1 : lead + r + 1])[r + 1] AS median FROM s""")
+def median_smoothing(spark, d):
+    e = t(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return sequences.median_filter(e, ["user_id"], "at", "value", 2).select("event_id", "median")
+
+
+@query("""WITH s AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOUR, true) AS isnew FROM events),
+n AS (SELECT user_id, ts, sum(CASE WHEN isnew THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s)
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM n GROUP BY ALL""")
+def gap_sessions(spark, d):
+    return sequences.sessions(t(spark, d, "events"), ["user_id"], "ts", "event_id", F.expr("INTERVAL 12 HOURS")).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM orders)
+SELECT o_orderkey, o_custkey, CAST(sum(CASE WHEN top IS NULL OR o_totalprice > top THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS system FROM s""")
+def system_islands(spark, d):
+    return sequences.running_top_islands(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice").select("o_orderkey", "o_custkey", "system")
+
+
+# statistics
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0.0 ELSE var_samp(value) END, 4) AS variance FROM events GROUP BY user_id")
+def population(spark, d):
+    m = statistics.moments(t(spark, d, "events"), ["user_id"], "value")
+    return m.select("user_id", big(F.col("n")).alias("n"), F.round(statistics.mean(), 6).alias("mean"), F.round(statistics.variance(), 4).alias("variance"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY event_type")
+def population_merge(spark, d):
+    parts = statistics.moments(t(spark, d, "events"), ["event_type", "user_id"], "value")
+    m = statistics.merge(parts, ["event_type"])
+    return m.select("event_type", big(F.col("n")).alias("n"), F.round(statistics.mean(), 6).alias("mean"), F.round(statistics.variance(biased=True), 4).alias("variance"))
+
+
+@query("SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def population_retract(spark, d):
+    e = t(spark, d, "events")
+    back = e.where("event_type = 'error'").withColumn("w", F.lit(-1))
+    m = statistics.moments(e.withColumn("w", F.lit(1)).unionByName(back), ["user_id"], "value", weight=F.col("w")).where("n > 0")
+    return m.select("user_id", big(F.col("n")).alias("n"), F.round(statistics.mean(), 6).alias("mean"))
+
+
+@query("SELECT l_returnflag, sum(l_quantity) AS weight, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS bx, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS by FROM lineitem GROUP BY 1")
+def barycenter(spark, d):
+    b = statistics.barycenter(t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_discount", "l_quantity")
+    return b.select("l_returnflag", "weight", F.round("bx", 4).alias("bx"), F.round("by", 6).alias("by"))
+
+
+@query("""SELECT p_brand, false AS vertical, round(regr_slope(p_retailprice, p_size), 5) AS slope, round(regr_intercept(p_retailprice, p_size), 3) AS intercept FROM part GROUP BY 1
+HAVING regr_sxx(p_retailprice, p_size) >= regr_syy(p_retailprice, p_size) UNION ALL
+SELECT p_brand, true, round(regr_slope(p_size, p_retailprice), 5), round(regr_intercept(p_size, p_retailprice), 3) FROM part GROUP BY 1
+HAVING regr_sxx(p_retailprice, p_size) < regr_syy(p_retailprice, p_size)""")
+def line_fit(spark, d):
+    m = statistics.moments(t(spark, d, "part"), ["p_brand"], "p_size", "p_retailprice").withColumn("f", statistics.line())
+    return m.select("p_brand", "f.vertical", F.round("f.slope", 5).alias("slope"), F.round("f.intercept", 3).alias("intercept"))
+
+
+@query("""WITH f AS (SELECT l_returnflag, regr_slope(l_discount, l_quantity) AS s, regr_intercept(l_discount, l_quantity) AS b FROM lineitem GROUP BY 1)
+SELECT l_returnflag, round(sqrt(avg((l_discount - s * l_quantity - b) * (l_discount - s * l_quantity - b)) / (1 + any_value(s) * any_value(s))), 6) AS distance FROM lineitem JOIN f USING (l_returnflag) GROUP BY 1""")
+def line_distance(spark, d):
+    m = statistics.moments(t(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount").withColumn("f", statistics.line())
+    return m.select("l_returnflag", F.round(statistics.line_distance(F.col("f")), 6).alias("distance"))
+
+
+@query("""SELECT l_linestatus, count(*) AS n, round(count(*) * var_pop(l_quantity) / count(*) / count(*), 6) AS n20, round(count(*) * covar_pop(l_quantity, l_linenumber) / count(*) / count(*), 6) AS n11,
+round(count(*) * var_pop(l_linenumber) / count(*) / count(*), 6) AS n02 FROM lineitem GROUP BY 1""")
+def geometric_moments(spark, d):
+    m = statistics.central_moments(t(spark, d, "lineitem"), ["l_linestatus"], "l_quantity", "l_linenumber")
+    return m.select("l_linestatus", big(F.col("n")).alias("n"), *[F.round(c, 6).alias(c) for c in ("n20", "n11", "n02")])
+
+
+_BOX = "SELECT p_partkey AS id, p_brand, p_size * 7 % 60 AS x, CAST(p_partkey % 50 AS INTEGER) AS y, p_size AS w, 1 + p_size % 9 AS h FROM part"
+
+
+def _boxes(spark, d):
+    return t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", (F.col("p_size") * 7 % 60).alias("x"), (F.col("p_partkey") % 50).cast("int").alias("y"), F.col("p_size").alias("w"), (1 + F.col("p_size") % 9).alias("h"))
+
+
+@query(f"SELECT p_brand, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM ({_BOX}) GROUP BY 1")
+def bounding_boxes(spark, d):
+    return statistics.bounds(_boxes(spark, d), ["p_brand"])
+
+
+# joins
+
+
+@query(f"""WITH b AS ({_BOX}), p AS (SELECT a.p_brand, a.id AS "left", b.id AS "right", least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS dx, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS dy, a.w * a.h + b.w * b.h AS areas
+FROM b a JOIN b b ON a.p_brand = b.p_brand AND a.id < b.id) SELECT p_brand, "left", "right", round(dx * dy / CAST(areas - dx * dy AS DOUBLE), 6) AS iou FROM p WHERE dx > 0 AND dy > 0 AND dx * dy / CAST(areas - dx * dy AS DOUBLE) >= 0.05""")
+def overlap_self_join(spark, d):
+    b = _boxes(spark, d).withColumn("right_x", F.col("x") + F.col("w"))
+    pairs = joins.overlap_pairs(b, ["p_brand"], "id", "x", "right_x", 25.0).select("p_brand", "left", "right")
+    side = lambda k, n: b.select(F.col("id").alias(n), *[F.col(c).alias(f"{c}{k}") for c in "xywh"])
+    met = pairs.join(side(1, "left"), "left").join(side(2, "right"), "right")
+    at = lambda k: {c: F.col(f"{c}{k}") for c in "xywh"}
+    return met.withColumn("iou", geometry.iou(at(1), at(2))).where("iou >= 0.05").select("p_brand", "left", "right", F.round("iou", 6).alias("iou"))
+
+
+@query("""SELECT a.user_id, a.event_id AS purchase, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type <> 'purchase'
+AND epoch(b.ts) - epoch(a.ts) BETWEEN 0 AND 7200""")
+def band_join(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), (F.col("us") / 1e6).alias("s"))
+    b = e.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("other"), (F.col("us") / 1e6).alias("s2"))
+    return joins.band(a, b, ["user_id"], "s", "s2", 0.0, 7200.0).select("user_id", "purchase", "other")
+
+
+@query("""SELECT a.event_id, (SELECT arg_max(b.event_id, (b.ts, b.event_id)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS view_id FROM events a WHERE a.event_type = 'purchase'""")
+def asof_join(spark, d):
+    e = t(spark, d, "events")
+    left = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    right = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
+    return joins.nearest_before(left, right, ["user_id"], "ts", "view_id").select("event_id", "view_id")
+
+
+@query("""SELECT s_suppkey, c_custkey, round(distance, 2) AS distance FROM (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS distance, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS k
+FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE k = 1""")
+def nearest_join(spark, d):
+    pairs = t(spark, d, "supplier").join(t(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
+    found = joins.closest(pairs, ["s_suppkey"], F.abs(F.col("s_acctbal") - F.col("c_acctbal")), "c_custkey", "c_custkey")
+    return found.select("s_suppkey", "c_custkey", F.round("distance", 2).alias("distance"))
+
+
+@query("SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) = (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem)")
+def relational_division(spark, d):
+    facts = t(spark, d, "lineitem").select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("m"))
+    return joins.divide(facts, ["l_partkey"], "m", facts.select("m").distinct())
+
+
+_RASTER = """WITH ink AS (SELECT DISTINCT CAST(user_id % 40 AS INTEGER) AS line, CAST(hour(ts) AS INTEGER) AS x FROM events WHERE event_type = 'purchase'),
+runs AS (SELECT line, min(x) AS start, CAST(count(*) AS INTEGER) AS length FROM (SELECT line, x, x - row_number() OVER (PARTITION BY line ORDER BY x) AS k FROM ink) GROUP BY line, k),
+ids AS (SELECT line * 1000 + start AS id, * FROM runs)"""
+
+
+def _raster_runs(spark, d):
+    ink = t(spark, d, "events").where("event_type = 'purchase'").select((F.col("user_id") % 40).cast("int").alias("line"), F.hour("ts").alias("x")).distinct()
+    k = F.col("x") - F.row_number().over(Window.partitionBy("line").orderBy("x"))
+    runs = ink.withColumn("k", k).groupBy("line", "k").agg(F.min("x").alias("start"), F.count("*").cast("int").alias("length"))
+    return runs.select(F.lit("all").alias("image"), "line", "start", "length", (F.col("line") * 1000 + F.col("start")).alias("id"))
+
+
+@query(_RASTER + """SELECT a, b, count(*) OVER (PARTITION BY a) AS fan_out, count(*) OVER (PARTITION BY b) AS fan_in FROM
+(SELECT a.id AS a, b.id AS b FROM ids a JOIN ids b ON b.line = a.line + 1 AND b.start <= a.start + a.length - 1 AND b.start + b.length - 1 >= a.start)""")
+def section_adjacency(spark, d):
+    return joins.fans(_raster_runs(spark, d), ["image"], "line").select("a", "b", "fan_out", "fan_in")
+
+
+@query(_RASTER.replace("WITH ink", "WITH RECURSIVE ink") + """, e AS (SELECT a.id AS a, b.id AS b FROM ids a JOIN ids b ON b.line = a.line + 1 AND b.start <= a.start + a.length - 1 AND b.start + b.length - 1 >= a.start),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT id AS node, id AS root FROM ids UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.root = w.a)
+SELECT node AS id, min(root) AS glyph FROM reach GROUP BY 1""")
+def glyph_components(spark, d):
+    runs = _raster_runs(spark, d)
+    found = graphs.components(joins.fans(runs, ["image"], "line").select("a", "b"))
+    return runs.join(found, runs["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("glyph"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS b FROM orders WHERE o_custkey <= 60 AND o_orderpriority = '1-URGENT'),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT b AS node FROM both_ways WHERE a IN (1, 2, 3) UNION SELECT w.b FROM reach r JOIN both_ways w ON r.node = w.a)
+SELECT CAST(node AS BIGINT) AS node FROM reach""")
+def closure(spark, d):
+    o = t(spark, d, "orders").where("o_custkey <= 60 AND o_orderpriority = '1-URGENT'")
+    edges = o.select(F.col("o_custkey").alias("a"), big(1000000 + F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))).alias("b")).distinct()
+    return graphs.closure(spark.range(1, 4).toDF("seed"), edges)
+
+
+# grades
+
+
+@query("""SELECT doc_id, round(CASE WHEN n_chars > 4000 THEN 0.0 WHEN n_chars <= 500 THEN 1.0 ELSE (4000 - n_chars) / 3500.0 END, 6) AS short,
+round(CASE WHEN n_chars < 500 THEN 0.0 WHEN n_chars >= 4000 THEN 1.0 ELSE (n_chars - 500) / 3500.0 END, 6) AS long FROM documents""")
+def check_ramp(spark, d):
+    n = F.col("n_chars")
+    return t(spark, d, "documents").select("doc_id", F.round(grades.ramp(n, 500, 4000, rising=False), 6).alias("short"), F.round(grades.ramp(n, 500, 4000), 6).alias("long"))
+
+
+@query("""WITH g AS (SELECT doc_id, CASE WHEN n_chars < 100 THEN 0.0 WHEN n_chars >= 4000 THEN 1.0 ELSE (n_chars - 100) / 3900.0 END AS a, 0.2 + 0.6 * quality AS b, 1.0 - 0.5 * toxic AS c FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, round(CASE WHEN a <= 0 OR b <= 0 OR c <= 0 THEN 0.0 ELSE 0.8 * exp((2 * ln(a) + 1 * ln(b) + 0.5 * ln(c)) / 3.5) END, 6) AS grade FROM g""")
+def check_suite(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    g = grades.suite([(grades.ramp(F.col("n_chars"), 100, 4000), 2.0), (0.2 + 0.6 * F.col("quality"), 1.0), (1.0 - 0.5 * F.col("toxic"), 0.5)])
+    return j.select("doc_id", F.round(g, 6).alias("grade"))
+
+
+_SIG = """WITH inters AS (SELECT s_suppkey AS id, 0.2 + (s_suppkey % 7) / 10.0 AS grade FROM supplier),
+edges AS (SELECT DISTINCT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+ends AS (SELECT src AS id, dst AS other, 1 + (src % 3) AS ratio FROM edges UNION ALL SELECT dst, src, 1 + (dst % 3) FROM edges),
+c AS (SELECT e.id, sum(i.grade * (ratio - 1)) AS c FROM ends e JOIN inters i ON i.id = e.other WHERE ratio > 1 GROUP BY e.id),
+ctx AS (SELECT i.id, grade, (1 + coalesce(c, 0)) * grade / (1 + coalesce(c, 0) * grade) AS cg FROM inters i LEFT JOIN c USING (id))"""
+
+
+def _sig(spark, d):
+    s = t(spark, d, "supplier")
+    inters = s.select(F.col("s_suppkey").alias("id"), (0.2 + (F.col("s_suppkey") % 7) / 10.0).alias("grade"), F.col("s_nationkey").alias("system"))
+    a, b = (s.select(F.col("s_nationkey").alias("system"), F.col("s_suppkey").alias(n)) for n in ("src", "dst"))
+    edges = a.join(b, "system").where("src < dst")
+    supports = edges.withColumn("src_ratio", (1 + F.col("src") % 3).cast("double")).withColumn("dst_ratio", (1 + F.col("dst") % 3).cast("double"))
+    return inters, supports
+
+
+@query(_SIG + "SELECT id, round(cg, 6) AS ctx_grade FROM ctx")
+def contextual_grades(spark, d):
+    return graphs.contextualise(*_sig(spark, d)).select("id", F.round("ctx_grade", 6).alias("ctx_grade"))
+
+
+@query(_SIG + "SELECT id FROM ctx WHERE cg >= 0.5 OR id % 10 = 0")
+def weak_purge(spark, d):
+    return graphs.strong(graphs.contextualise(*_sig(spark, d)), F.col("id") % 10 == 0).select("id")
+
+
+@query(_SIG + "SELECT least(src, dst) AS src, greatest(src, dst) AS dst FROM (SELECT id AS src, id % 9 + 1 AS dst FROM inters) WHERE src <> dst EXCEPT SELECT src, dst FROM edges")
+def exclusion_insert(spark, d):
+    inters, supports = _sig(spark, d)
+    wanted = inters.select(F.col("id").alias("src"), (F.col("id") % 9 + 1).alias("dst"))
+    return graphs.insert_exclusions(wanted, supports, "src", "dst")
+
+
+@query()
+def sig_reduction(spark, d):
+    inters, supports = _sig(spark, d)
+    bars = supports.where("(src + dst) % 4 = 0").select("system", "src", "dst")
+    ties = supports.where("(src + dst) % 4 = 1")
+    kept = graphs.reduce(inters.withColumn("frozen", F.col("id") % 10 == 0), ties, bars)
+    return kept.select("system", "id", F.round("ctx_grade", 6).alias("ctx_grade"))
+
+
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) = 1")
+def best_per_key(spark, d):
+    best = graphs.best_per(t(spark, d, "lineitem"), ["l_partkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey")])
+    return best.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+# sets
+
+
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS linked FROM customer")
+def semi_anti(spark, d):
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    met = F.col("c_custkey") == F.col("o_custkey")
+    return c.join(o, met, "left_semi").select("c_custkey", F.lit(True).alias("linked")).union(c.join(o, met, "left_anti").select("c_custkey", F.lit(False)))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
+def register_original(spark, d):
+    return t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'lost' AS kind FROM (SELECT l_partkey % 97 AS k FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_partkey % 97 FROM lineitem WHERE l_returnflag = 'N') UNION ALL SELECT 'new' FROM (SELECT l_partkey % 97 AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT ALL SELECT l_partkey % 97 FROM lineitem WHERE l_returnflag = 'A')) GROUP BY 1")
+def sheet_difference(spark, d):
+    k = t(spark, d, "lineitem").select("l_returnflag", (F.col("l_partkey") % 97).alias("k"))
+    a, b = (k.where(F.col("l_returnflag") == f).select("k") for f in "AN")
+    return a.exceptAll(b).select(F.lit("lost").alias("kind")).union(b.exceptAll(a).select(F.lit("new"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ordered time
+
+
+@query("SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS movement FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
+def movement_islands(spark, d):
+    return rhythm.movements(t(spark, d, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user").select("conv_id", "turn", "movement")
+
+
+@query("SELECT conv_id, turn, CAST(sum(CASE WHEN role <> 'user' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS number, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS \"offset\" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def measure_numbers(spark, d):
+    c = rhythm.numbered(t(spark, d, "conversations"), ["conv_id"], ["turn"], F.col("role") != "user")
+    return rhythm.offsets(c.withColumn("size", F.length("text")), ["conv_id"], ["turn"], "size").select("conv_id", "turn", "number", "offset")
+
+
+@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
+def signature_vote(spark, d):
+    return rhythm.vote(t(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(n // g AS BIGINT) AS num, CAST(d // g AS BIGINT) AS den FROM (SELECT *, CAST(l_quantity AS BIGINT) * 12 + 7 * l_linenumber AS n, l_linenumber * 12 AS d, gcd(CAST(l_quantity AS BIGINT) * 12 + 7 * l_linenumber, l_linenumber * 12) AS g FROM lineitem)")
+def rational_sums(spark, d):
+    a = rational.fraction(F.col("l_quantity").cast("bigint"), F.col("l_linenumber"))
+    s = rational.plus(F.col("a"), rational.fraction(F.lit(7), F.lit(12)))
+    return t(spark, d, "lineitem").withColumn("a", a).withColumn("s", s).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "s.num", "s.den")
+
+
+@query()
+def time_slots(spark, d):
+    e = t(spark, d, "events").withColumn("minute", F.hour("ts") * 60 + F.minute("ts")).withColumn("day", F.to_date("ts"))
+    return rhythm.slots(e, ["user_id", "day"], "minute", "event_id", 45)
+
+
+@query()
+def voice_mapping(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("start"))
+    return rhythm.voices(o.withColumn("stop", F.col("start") + 90), ["o_custkey"], "start", "stop", "o_orderkey")
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_orderkey, l_linenumber, max(CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END) AS staves FROM lineitem GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey, l_orderkey) AS n FROM p)
+SELECT l_suppkey, l_orderkey, l_linenumber, i - coalesce(max(CASE WHEN staves = 2 THEN i END) OVER (PARTITION BY l_suppkey, l_orderkey), n) AS logical FROM q""")
+def part_collation(spark, d):
+    p = t(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max(F.when(F.col("l_quantity") > 40, 2).otherwise(1)).alias("staves"))
+    return rhythm.collate(p, ["l_suppkey"], "l_orderkey", "l_linenumber", "staves")
+
+
+# scalar functions and text
+
+_SPECS = "(VALUES (1, '1-3, 5 7, 9-'), (2, '4'), (3, ''), (4, '10 2 99')) AS s(id, spec)"
+
+
+@query(f"SELECT id, CASE id WHEN 1 THEN '1-3,5,7,9-12' WHEN 2 THEN '4' WHEN 3 THEN '' ELSE '10,2' END AS encoded FROM {_SPECS}")
+def natural_spec(spark, d):
+    s = spark.createDataFrame([(1, "1-3, 5 7, 9-"), (2, "4"), (3, ""), (4, "10 2 99")], "id int, spec string")
+    return s.select("id", text.encode_spec(text.decode_spec(F.col("spec"), 12)).alias("encoded"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs FROM pages")
+def text_scan(spark, d):
+    h = F.col("html")
+    return t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(h, F.lit("<p[ >]"), 0)).alias("paragraphs"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query(f"""SELECT id, round(x * cos(-atan(0.02)) - y * sin(-atan(0.02)), 6) AS rx, round(x * sin(-atan(0.02)) + y * cos(-atan(0.02)), 6) AS ry,
+CAST(pow(greatest(x - 30, 0, 30 - (x + w)), 2) + pow(greatest(y - 25, 0, 25 - (y + h)), 2) AS BIGINT) AS away, round(1.5 + 2 * x - 0.25 * x * x, 6) AS poly FROM ({_BOX})""")
+def geometry_functions(spark, d):
+    b = _boxes(spark, d)
+    at = {c: F.col(c) for c in "xywh"}
+    rx, ry = geometry.rotated(F.col("x"), F.col("y"), F.lit(0.02))
+    return b.select("id", F.round(rx, 6).alias("rx"), F.round(ry, 6).alias("ry"), big(geometry.distance_sq(at, F.lit(30), F.lit(25))).alias("away"), F.round(geometry.horner([1.5, 2.0, -0.25], F.col("x").cast("double")), 6).alias("poly"))
+
+
+# models
+
+_WEIGHTS = [[0.1 * k, *[((i * 7 + k * 3) % 11 - 5) / 10 for i in range(64)]] for k in range(4)]
+_DENSE = "WITH o AS (SELECT vec_id, unnest([" + ", ".join(f"1 / (1 + exp(-({row[0]!r} + list_dot_product(CAST(embedding AS DOUBLE[]), [{', '.join(map(repr, row[1:]))}]))))" for row in _WEIGHTS) + "]) AS score, unnest(range(4)) AS shape FROM embeddings)"
+
+
+@query(_DENSE + "SELECT vec_id, CAST(shape AS INTEGER) AS shape, round(score, 6) AS score FROM o")
+def dense_layer(spark, d):
+    out = t(spark, d, "embeddings").select("vec_id", F.posexplode(grades.dense(_WEIGHTS, F.col("embedding"))).alias("shape", "score"))
+    return out.select("vec_id", "shape", F.round("score", 6).alias("score"))
+
+
+@query(_DENSE + "SELECT vec_id, CAST(shape AS INTEGER) AS shape FROM o WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, shape) <= 2")
+def top_evaluations(spark, d):
+    out = t(spark, d, "embeddings").select("vec_id", F.posexplode(grades.dense(_WEIGHTS, F.col("embedding"))).alias("shape", "score")).where("score >= 0.2")
+    w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "shape")
+    return out.withColumn("k", F.row_number().over(w)).where("k <= 2").select("vec_id", "shape")
+
+
+@query()
+def minimum_assignment(spark, d):
+    s = t(spark, d, "supplier").withColumn("k", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("k <= 4")
+    c = t(spark, d, "customer").withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("k <= 4")
+    costs = s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_nationkey", "s_suppkey", "c_custkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("cost"))
+    whole = costs.withColumn("rows", F.size(F.collect_set("s_suppkey").over(Window.partitionBy("s_nationkey")))).withColumn("columns", F.size(F.collect_set("c_custkey").over(Window.partitionBy("s_nationkey"))))
+    return joins.assignment(whole.where("rows <= columns"), ["s_nationkey"], "s_suppkey", "c_custkey", "cost").select("s_nationkey", "s_suppkey", "c_custkey")
+
+
+@query("SELECT a.r_name || '>' || b.r_name AS picked FROM region a JOIN region b ON a.r_name <> b.r_name")
+def arrangements(spark, d):
+    return joins.arrangements(t(spark, d, "region"), "r_name", 2).select(F.array_join("picked", ">").alias("picked"))
+
+
+def _pixels(spark, d):
+    e = t(spark, d, "events").groupBy((F.col("user_id") % 8).cast("int").alias("image"), F.hour("ts").alias("x"), (F.dayofmonth("ts") - 1).alias("y"))
+    return e.agg((F.count("*") * 16 % 256).cast("int").alias("v"))
+
+
+@query()
+def image_median(spark, d):
+    return images.per_image(_pixels(spark, d), images.median)
+
+
+@query()
+def image_chamfer(spark, d):
+    return images.per_image(_pixels(spark, d), lambda m: images.chamfer(m < 64))
+
+
+@query("""WITH p AS (SELECT CAST(user_id % 8 AS INTEGER) AS image, CAST(hour(ts) AS INTEGER) AS x, CAST(day(ts) - 1 AS INTEGER) AS y, CASE WHEN count(*) * 16 % 256 < 64 THEN 0 ELSE 3 END AS v FROM events GROUP BY ALL),
+t AS (SELECT * FROM (VALUES (0, 0, 0, 6.0), (1, 0, 0, 6.0), (0, 1, 1, 1.0), (1, 1, 1, 4.0)) AS t(dx, dy, e, w))
+SELECT q.image, q.x, q.y, round(sum(w * abs((CASE WHEN p.v = 0 THEN 0 ELSE 1 END) - e)) / sum(w), 6) AS score FROM p q, t JOIN p ON p.image = q.image AND p.x = q.x + dx AND p.y = q.y + dy GROUP BY ALL""")
+def template_match(spark, d):
+    p = _pixels(spark, d).withColumn("v", F.when(F.col("v") < 64, 0).otherwise(3))
+    found = images.template_score(p, [(0, 0, 0, 6), (1, 0, 0, 6), (0, 1, 1, 1), (1, 1, 1, 4)], p.select("image", "x", "y"))
+    return found.select("image", "x", "y", F.round("score", 6).alias("score"))
+
+
+# documents and stages
+
+
+@query("SELECT o_orderkey, to_json(list({'line': l_linenumber, 'part': l_partkey, 'qty': CAST(l_quantity AS INTEGER)} ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER))) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def nested_export(spark, d):
+    j = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = j.select("o_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("qty"))
+    return files.nested(rows, ["o_orderkey"], ["line", "part", "qty"], ["line", "part", "qty"], "lines").select("o_orderkey", F.to_json("lines").alias("lines"))
+
+
+@query("SELECT part, name, conv_id, turn FROM (SELECT 0 AS part, 'first' AS name, conv_id, turn FROM conversations WHERE turn IN (0, 1) UNION ALL SELECT 1, 'all', conv_id, turn FROM conversations)")
+def play_list(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn")
+    return files.play_list([(c, "first", [0, 1]), (c, "all", None)], "turn").select("part", "name", "conv_id", "turn")
+
+
+@query(_RLE + "SELECT event_type, length, count(*) AS n FROM runs WHERE length >= 2 GROUP BY ALL")
+def stage_runner(spark, d):
+    stages = Stages(t(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), [
+        ("runs", lambda e: sequences.rle(e, ["user_id"], ["ts", "event_id"], "event_type")),
+        ("purge", lambda r: sequences.purge(r, F.col("length") < 2)[0]),
+        ("scale", lambda r: sequences.histogram(r, ["event_type"], "length")),
+    ])
+    return stages.reach("scale")
