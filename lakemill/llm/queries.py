@@ -8,7 +8,7 @@ from .language_id import op1_language_id
 from .line_quality import OP9_SQL, op9_line_quality
 from .mixing import OP4_SQL, op4_mixing
 from .quality_classifier import op3_quality_classifier
-from .secret_scan import op7_secret_scan
+from .secret_scan import OP7_SQL, op7_secret_scan
 from .simhash import op6_simhash
 from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_store import op10_token_store
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_line_quality": op9_line_quality,
     "op10_token_store": op10_token_store,
 }
-SQL: dict[str, str] = {"op2_cover_tree": OP2_SQL, "op4_mixing": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_line_quality": OP9_SQL}
+SQL: dict[str, str] = {
+    "op2_cover_tree": OP2_SQL,
+    "op4_mixing": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op7_secret_scan": OP7_SQL,
+    "op9_line_quality": OP9_SQL,
+}
