@@ -188,11 +188,11 @@ OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(_rule_sql(r, k) for k, r in enumerate(BASE_RULES + MORE_RULES))}),
 s AS (SELECT doc_id, kind, o, least, length(h[k]) AS n, length(v[k]) AS size,
-             list_sum(list_transform(g[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1 : k - 1], lambda x: length(x))), 0) AS at
+             list_sum(list_transform(g[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1 : k - 1], lambda x: length(x))), 0) AS p
       FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM m)),
-w AS (SELECT doc_id, kind, o, CAST(at AS BIGINT) AS at, kind || ':' || CAST(at AS BIGINT) || ':' || CAST(at + n AS BIGINT) AS span FROM s WHERE size >= least)
+w AS (SELECT doc_id, kind, o, CAST(p AS BIGINT) AS p, kind || ':' || CAST(p AS BIGINT) || ':' || CAST(p + n AS BIGINT) AS span FROM s WHERE size >= least)
 SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)},
-       sha256(coalesce(string_agg(span, ',' ORDER BY at, o) FILTER (o < {len(BASE_RULES)}), '')) AS base_sha256,
-       coalesce(string_agg(span, ',' ORDER BY at, o), '') AS spans
+       sha256(coalesce(string_agg(span, ',' ORDER BY p, o) FILTER (o < {len(BASE_RULES)}), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY p, o), '') AS spans
 FROM d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id
 """
