@@ -13,7 +13,7 @@ def split_list(text: Column) -> Column:
 
 def code_points(text: Column) -> Column:
     """Upper-case hexadecimal code points joined by commas."""
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.hex(F.unicode(c) if hasattr(F, "unicode") else F.ascii(c))), ",")
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.hex(F.ascii(c))), ",")
 
 
 def without_spaces(text: Column) -> Column:
@@ -60,3 +60,43 @@ def chord_name(text: Column) -> Column:
     pattern = r"^([A-G])([#b]?)([^/]*)(?:/([A-G][#b]?))?$"
     part = lambda k: F.regexp_extract(text, pattern, k)
     return F.struct(part(1).alias("root"), part(2).alias("alter"), part(3).alias("kind"), part(4).alias("bass"))
+
+
+def words_at(line: Column) -> Column:
+    """The words of a line with their first and last character places: array<struct<word, start, stop>>."""
+    parts = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    none = F.expr("cast(array() as array<struct<word: string, start: int, stop: int>>)")
+
+    def add(s: Column, w: Column) -> Column:
+        start = F.call_function("locate", w, line, s["at"]) - 1
+        own = F.struct(w.alias("word"), start.cast("int").alias("start"), (start + F.length(w) - 1).cast("int").alias("stop"))
+        return F.struct((start + F.length(w) + 1).cast("int").alias("at"), F.concat(s["words"], F.array(own)).alias("words"))
+
+    return F.aggregate(parts, F.struct(F.lit(1).alias("at"), none.alias("words")), add, lambda s: s["words"])
+
+
+def lyric(text: Column) -> Column:
+    """A leading verse number, the rest, and whether the text is punctuation only."""
+    return F.struct(F.regexp_extract(text, r"^([0-9]+)\.?", 1).alias("number"), F.regexp_replace(text, r"^[0-9]+\.?\s*", "").alias("rest"), text.rlike(r"^[\p{Punct}\s]+$").alias("mark"))
+
+
+def role(text: Column, height: Column, above: Column) -> Column:
+    """What a sentence is, by its form and place: the first rule that holds."""
+    return (
+        F.when(text.rlike(r"^\s*\d+\s*$"), "Number").when(text.rlike(r"(?i)\b(copyright|\(c\)|all rights)\b") | text.contains("©"), "Rights")
+        .when(above & (height > 2), "Title").when(text.rlike(r"(?i)^(words|lyrics|poem) by\b"), "Lyricist").when(text.rlike(r"(?i)^(music|composed) by\b"), "Composer")
+        .when(text.rlike(r"^[A-G][#b]?(m|maj|min|dim|aug|sus)?\d*(/[A-G][#b]?)?$"), "Chord").when(above, "Direction").otherwise("Lyrics")
+    )
+
+
+def export_name(pattern: Column, parts: dict[str, Column]) -> Column:
+    """Replaces each {name} of the pattern; names without a value stay."""
+    for name, value in parts.items():
+        pattern = F.replace(pattern, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("{" + name + "}")))
+    return pattern
+
+
+def alias(name: Column, patterns: list[str]) -> Column:
+    """The first group of the first pattern that the name matches; null if none does."""
+    found = [F.when(name.rlike(p), F.regexp_extract(name, p, 1)) for p in patterns]
+    return F.coalesce(*found, F.lit(None).cast("string"))
