@@ -73,7 +73,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.5) -> float:
 
 
 class Model:
-    def __init__(self, p: np.ndarray, u: np.ndarray, bins: int = 24, steps: int = 300, decay: float = 1e-3):
+    def __init__(self, p: np.ndarray, u: np.ndarray, bins: int = 12, steps: int = 1500, decay: float = 1e-5):
         """p, u: features of trusted positives and of unlabelled text."""
         both = np.vstack([p, u])
         self.edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, bins + 1)[:-1])) for k in range(both.shape[1])]
