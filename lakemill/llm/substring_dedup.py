@@ -1,15 +1,19 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
-Suffixes (here: of the words from each place on, cut to the window length) are split by variable-length prefixes: the
-cut points of a range partitioning, which Spark draws so that groups fit in memory. Inside a group the sorted suffixes
-are the leaves of the group's suffix tree, and neighbours' common prefixes give its inner nodes. The topmost nodes of
-depth `window` or more are repeats: their leaves begin with the same window of words. Runs of such places
-in a document are its maximal repeats.
-
-Only suffixes that can repeat are sent: two equal windows have the same smallest 5-word hash (their anchor), so
-windows whose anchor stands in one text only are left out, without losing any repeat. Copies within one piece of input
-are merged before the exchange, so a passage that many documents share gives a row for each piece only.
-Whole copies of a text don't enter at all: each of their windows starts in the first copy.
+The suffixes of a text are represented by those that begin at its anchors: in each window of words, the 5-word run with
+the smallest hash. Equal windows have equal anchors at equal places, so two places that repeat a window always meet at
+an anchor. A suffix carries the words back to where its first window begins, so that each window around an anchor
+is a number of words before it and the rest after it.
+
+Suffixes are split by their prefixes: ranges of prefixes are cut so that a group fits in memory, and a group is worked
+off in chunks that end where a prefix ends. In a chunk the suffix trees are built a level at a time: a node of depth d
+is a class of suffixes with equal first d words, and mirrored trees hold the words before the anchor. A node of depth
+window - k whose leaves share k words before the anchor, too, is a repeat of a whole window; neighbouring repeats
+in a document make its maximal repeats.
+
+Only anchors of two different texts or more are sent. Copies within one piece of input are merged before the exchange, so
+a passage that many documents share gives a row for each piece only. Whole copies of a text don't enter at all: each of
+their windows starts in the first copy.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from .common import discard, documents, materialise, pieces
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 GRAM = 5  # words of an anchor
+CHUNK = 50_000  # suffixes whose trees are built at once, or all of one prefix
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,8 +58,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * ODD
 
 
-def anchors(words: list[str], window: int) -> np.ndarray:
-    """For each window of the document, the smallest hash of its 5-word runs."""
+def anchors(words: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the document, the smallest hash of its 5-word runs, and all the runs' hashes."""
     gram = min(GRAM, window)
     h = _HASHES.of(words)
     n = len(h) - gram + 1
@@ -67,7 +72,15 @@ def anchors(words: list[str], window: int) -> np.ndarray:
     while step * 2 <= wide:  # minima of runs of 2, 4, 8 ...
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    return np.minimum(low[:m], low[wide - step : wide - step + m])
+    return np.minimum(low[:m], low[wide - step : wide - step + m]), g
+
+
+def places_of(low: np.ndarray, g: np.ndarray, windows: np.ndarray, wide: int) -> np.ndarray:
+    """Where the anchors of the given windows stand: the first run with the smallest hash."""
+    at = np.zeros(len(windows), dtype=np.int64)
+    for k in range(wide - 1, -1, -1):
+        at = np.where(g[windows + k] == low[windows], windows + k, at)
+    return at
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,7 +106,7 @@ def anchor_table(rows: DataFrame, window: int) -> DataFrame:
                 words = _WORDS(text)
                 if doc is None or len(words) < window:
                     continue
-                a = np.unique(anchors(words, window))
+                a = np.unique(anchors(words, window)[0])
                 got.append(a)
                 docs.append(np.full(len(a), doc, dtype=np.int64))
                 cs.append(np.full(len(a), c, dtype=np.int64))
@@ -115,97 +128,133 @@ def notes(table: DataFrame, whole: DataFrame) -> DataFrame:
     return materialise(marks.join(whole, ["doc", "c"], "full").select("doc", "c", "marks", F.coalesce("copy", F.lit(False)).alias("copy")), "notes")
 
 
-SUFFIX = "suffix string, low bigint, high bigint, docs binary, texts binary, places binary"
+SUFFIX = "prefix string, suffix string, back int, docs binary, texts binary, places binary"
 
 
 def suffixes(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
-    """A row for each distinct candidate suffix of a piece of input: its words, the least and largest id, and where it stands."""
+    """A row for each distinct suffix of a piece of input: the anchor's words (prefix), all words from the first window
+    of that anchor to the end of its last one (suffix), how many of them come before the anchor (back), and the
+    documents, texts and places of the anchor."""
+    gram = min(GRAM, window)
 
     def run(batches):
         for batch in pieces(batches, 8_000_000):
             where: dict[str, list[int]] = {}
-            docs, texts, places = [], [], []
+            prefixes, backs, docs, texts, places = [], [], [], [], []
             for doc, text, c, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = _WORDS(text)
                 if len(words) < window:
                     continue
-                at = np.flatnonzero(np.isin(anchors(words, window), np.array(marks, dtype=np.int64).view(np.uint64))).tolist()
-                for i in at:
-                    where.setdefault(" ".join(words[i : i + window]), []).append(len(docs))
+                low, g = anchors(words, window)
+                held = np.flatnonzero(np.isin(low, np.array(marks, dtype=np.int64).view(np.uint64)))
+                if not len(held):
+                    continue
+                at = places_of(low, g, held, window - gram + 1)
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(held) != 1)]))
+                last = np.concatenate([first[1:], [len(held)]]) - 1
+                for p, i, j in zip(at[first].tolist(), held[first].tolist(), held[last].tolist(), strict=True):
+                    key = " ".join(words[i : j + window])
+                    own = where.get(key)
+                    if own is None:
+                        own = where[key] = []
+                        prefixes.append(" ".join(words[p : p + gram]))
+                        backs.append(p - i)
+                    own.append(len(docs))
                     docs.append(doc)
                     texts.append(c)
-                    places.append(i)
+                    places.append(p)
             if not where:
                 continue
             d, t, p = np.array(docs, dtype="<i8"), np.array(texts, dtype="<i8"), np.array(places, dtype="<i4")
-            keys = list(where)
+            keys, members = list(where), list(where.values())
             for at in range(0, len(keys), 20_000):
-                some = [where[k] for k in keys[at : at + 20_000]]
-                own = [d[x] for x in some]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[at : at + 20_000], pa.string()), pa.array([int(x.min()) for x in own], pa.int64()), pa.array([int(x.max()) for x in own], pa.int64()),
-                    pa.array([x.tobytes() for x in own], pa.binary()), pa.array([t[x].tobytes() for x in some], pa.binary()), pa.array([p[x].tobytes() for x in some], pa.binary())],
-                    names=["suffix", "low", "high", "docs", "texts", "places"])
+                part = slice(at, at + 20_000)
+                packed = [pa.array([x[own].tobytes() for own in members[part]], pa.binary()) for x in (d, t, p)]
+                yield pa.RecordBatch.from_arrays([pa.array(prefixes[part], pa.string()), pa.array(keys[part], pa.string()), pa.array(backs[part], pa.int32()), *packed], names=["prefix", "suffix", "back", "docs", "texts", "places"])
 
     marked = rows.join(noted.where("NOT copy AND marks IS NOT NULL").select("doc", "c", "marks"), ["doc", "c"])
     return materialise(marked.select("doc", "text", "c", "marks").mapInArrow(run, SUFFIX), "suffixes")
 
 
-def common_words(a: str, b: str) -> int:
-    """The length in words of two suffixes' common prefix."""
-    if a == b:
-        return a.count(" ") + 1
-    n = 0
-    for x, y in zip(a.split(" "), b.split(" "), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def deep_nodes(leaves, depth: int):
-    """The topmost nodes of that depth or more of the suffix tree with the given sorted leaves (suffix, ...), as lists of leaves."""
-    node: list = []
-    for leaf in leaves:
-        if node and common_words(node[-1][0], leaf[0]) < depth:
-            yield node
-            node = []
-        node.append(leaf)
-    if node:
-        yield node
+class Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def deeper(node: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The next level of the trees: nodes split by the next word (-1: the suffix has ended)."""
+    return np.unique(node * (int(words.max(initial=-1)) + 2) + words + 1, return_inverse=True)[1]
+
+
+def repeated(suffix: list[str], back: np.ndarray, owner: np.ndarray, docs: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each occurrence (owner: its suffix, docs: its document) the windows that also start in a document with a smaller
+    id, as bits: bit k is the window that begins k words before the anchor."""
+    number, m, most = Numbers(), len(suffix), window - gram
+    after, before = np.full((m, window), -1, dtype=np.int64), np.full((m, most), -1, dtype=np.int64)
+    ahead = np.zeros(m, dtype=np.int64)
+    for r, (text, b) in enumerate(zip(suffix, back.tolist(), strict=True)):
+        codes = [number[w] for w in text.split(" ")]
+        ahead[r] = len(codes) - b
+        after[r, : len(codes) - b] = codes[b:]
+        if b:
+            before[r, :b] = codes[b - 1 :: -1]
+    right = [np.zeros(m, dtype=np.int64)]
+    for d in range(window):
+        right.append(deeper(right[-1], after[:, d]))
+    left, bits = np.zeros(m, dtype=np.int64), np.zeros(len(docs), dtype=np.int64)
+    for k in range(most + 1):
+        if k:
+            left = deeper(left, before[:, k - 1])
+        there = ((back >= k) & (ahead >= window - k))[owner]
+        own = owner[there]
+        if not len(own):
+            continue
+        node = np.unique(right[window - k][own] * (int(left.max()) + 1) + left[own], return_inverse=True)[1]
+        order = np.argsort(node, kind="stable")
+        least = np.minimum.reduceat(docs[there][order], np.flatnonzero(np.diff(node[order], prepend=-1)))
+        bits[np.flatnonzero(there)] |= (docs[there] > least[node]).astype(np.int64) << k
+    return bits
 
 
 def repeats(found: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """(doc, c, place): the starts of windows that also start in a document with a smaller id."""
+    """(doc, c, found): found has (place of an anchor, bits of its repeated windows) of each text that has some."""
+    gram = min(GRAM, window)
+
+    def solve(held: list) -> pa.RecordBatch:
+        suffix = [x for h in held for x in h.column("suffix").to_pylist()]
+        back = np.concatenate([h.column("back").to_numpy() for h in held]).astype(np.int64)
+        raw = {n: [x for h in held for x in h.column(n).to_pylist()] for n in ("docs", "texts", "places")}
+        times = np.array([len(x) // 8 for x in raw["docs"]], dtype=np.int64)
+        docs, texts = (np.frombuffer(b"".join(raw[n]), dtype="<i8") for n in ("docs", "texts"))
+        places = np.frombuffer(b"".join(raw["places"]), dtype="<i4")
+        bits = repeated(suffix, back, np.repeat(np.arange(len(suffix)), times), docs, window, gram)
+        some = bits > 0
+        return pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(texts[some]), pa.array(places[some]), pa.array(bits[some])], names=["doc", "c", "place", "bits"])
 
     def run(batches):
-        def leaves():
-            for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)
-
-        out: tuple[list, list, list] = ([], [], [])
-        held = 0
-        for node in deep_nodes(leaves(), window):
-            least = min(x[1] for x in node)
-            for _, _, high, docs, texts, places in node:
-                if high > least:
-                    d = np.frombuffer(docs, dtype="<i8")
-                    later = d > least
-                    for column, raw, kind in zip(out, (docs, texts, places), ("<i8", "<i8", "<i4"), strict=True):
-                        column.append(np.frombuffer(raw, dtype=kind)[later])
-                    held += len(d)
-            if held >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "c", "place"])
-                out, held = ([], [], []), 0
+        held, rows = [], 0
+        for batch in batches:
+            if rows >= CHUNK:  # cut where the last prefix begins; a prefix is never split
+                last = held[-1].column("prefix")[-1].as_py()
+                whole = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(whole.column("prefix").to_numpy(zero_copy_only=False) == last, True))
+                if cut:
+                    yield solve(whole.slice(0, cut).to_batches())
+                    held = whole.slice(cut).to_batches()
+                    rows = sum(h.num_rows for h in held)
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "c", "place"])
+            yield solve(held)
 
     n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // group_rows))
-    grouped = found.repartitionByRange(n, "suffix").sortWithinPartitions("suffix")
-    return grouped.mapInArrow(run, "doc bigint, c bigint, place int").groupBy("doc", "c").agg(F.collect_list("place").alias("places"))
+    grouped = found.repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
+    return grouped.mapInArrow(run, "doc bigint, c bigint, place int, bits bigint").groupBy("doc", "c").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 500_000, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 200_000, digests: bool = False) -> DataFrame:
     """Removes each word covered by a window of words that also starts in a document with a smaller id.
 
     Returns id_col, n_words, n_removed and kept (the kept words joined by one space), or with digests=True
@@ -223,21 +272,21 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     found = materialise(repeats(leaves, window, group_rows), "repeats")
     discard(leaves)
     # a copy has no places of its own; all of its windows go
-    marks = found.withColumn("copy", F.lit(False)).unionByName(whole.select("doc", "c", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy")))
+    marks = found.withColumn("copy", F.lit(False)).unionByName(whole.select("doc", "c", F.lit(None).cast("array<struct<place: int, bits: bigint>>").alias("found"), F.lit(True).alias("copy")))
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         for batch in pieces(batches):
             n, gone, kept, spans = [], [], [], []
-            for text, places, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, hits, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = _WORDS(text)
                 n.append(len(words))
                 if copy and len(words) >= window:
                     edges = np.array([0, len(words)])
-                elif places:
-                    # covered[i]: how many windows begin at i or before and reach it
+                elif hits:
+                    # the running sum of step says how many repeated windows cover a word
                     step = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.array(places)
+                    at = np.array([h["place"] - k for h in hits for k in range(window) if h["bits"] >> k & 1])
                     np.add.at(step, at, 1)
                     np.add.at(step, at + window, -1)
                     covered = np.cumsum(step)[:-1] > 0
@@ -262,7 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     result = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "kept string, spans array<struct<start: bigint, stop: bigint>>")
-    return rows.join(marks, ["doc", "c"], "left").select("doc", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(run, result)
+    return rows.join(marks, ["doc", "c"], "left").select("doc", "text", "found", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(run, result)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

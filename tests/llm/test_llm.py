@@ -81,11 +81,12 @@ def test_forward_sums_all_segmentations():
     def brute(rest):
         if not rest:
             return np.ones(2)
-        out = sum((own[rest[:n]] * brute(rest[n:]) for n in range(1, 4) if rest[:n] in own), np.zeros(2))
-        return out if rest[0] in own or out.any() else probs[len(pieces)] * brute(rest[1:])
+        out = sum((own[rest[:n]] * brute(rest[n:]) for n in range(1, min(3, len(rest)) + 1) if rest[:n] in own), np.zeros(2))
+        return out if rest[0] in own else out + probs[len(pieces)] * brute(rest[1:])
 
     words = ["a", "ab", "abab", "bbaba"]
     got = np.exp(language_id.log_likelihoods(lattice, probs, words))
+    assert brute("▁") == pytest.approx(own["▁"])
     for w, g in zip(words, got, strict=True):
         assert g == pytest.approx(brute("▁" + w), rel=1e-4)
     learned = language_id.learn(lattice, [Counter({"ab": 5, "a": 1}), Counter({"bb": 3})], rounds=2)
@@ -246,10 +247,12 @@ def test_substring_dedup_against_brute_force(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_deep_nodes():
-    leaves = [(x,) for x in sorted(["a b c", "a b d", "a b d", "a x y", "b b b"])]
-    assert [len(n) for n in substring_dedup.deep_nodes(leaves, 2)] == [3, 1, 1]
-    assert [len(n) for n in substring_dedup.deep_nodes(leaves, 3)] == [1, 2, 1, 1]
+def test_tree_levels():
+    # the anchor is "m n": one suffix each, k words before it
+    suffix, back = ["a m n x", "b m n x", "a m n y", "a m n x"], np.array([1, 1, 1, 1])
+    bits = substring_dedup.repeated(suffix, back, np.arange(4), np.array([1, 2, 3, 4]), window=3, gram=2)
+    # bit 0: "m n x" again in 2 and 4; bit 1: "a m n" again in 3 and 4
+    assert bits.tolist() == [0, 1, 2, 3]
 
 
 # 6
