@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs with columns column0, column1 and so on, the new name of each old one, and what puts the old ones back:
+    no column of the input can then clash with one that an operator adds."""
+    names = {c: f"column{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, lambda df: df.select(*[df[new].alias(old) for old, new in names.items()])
+
+
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(0)).cast("string"))

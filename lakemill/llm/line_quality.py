@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, documents, materialise
+from .common import WORD_GAP, documents, materialise, plain_names
 
 #: Fixed character class of the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -100,29 +100,31 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min
     Null texts count as empty, null hosts are one host; repeated rows are judged alike; a document without lines
     loses nothing; an empty table gives no row; columns of docs named as the results are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate", "lakemill")
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in made and not c.startswith("lakemill")]
     rows = materialise(statistics(docs.select(*dict.fromkeys([*carry, text_col, host_col])), text_col, host_col).select(*carry, F.col(host_col).alias("lakemill_host"), "lakemill"), "lines")
     each = rows.select(F.col("lakemill_host").alias("host"), "lakemill.uid", "lakemill.content", F.explode("lakemill.l.lines").alias("line")).select("host", "uid", "content", "line.key", "line.chars")
     sizes = rows.select("lakemill_host", "lakemill.content").distinct().groupBy("lakemill_host").agg(F.count("*").alias("docs"))
     shared = each.select("host", "key", "content").distinct().groupBy("key").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= min_docs)
     above = shared.join(sizes, shared["host"].eqNullSafe(sizes["lakemill_host"])).where(F.col("n") > max_share * F.col("docs")).select("key")
-    lost = each.join(above, "key").groupBy("uid").agg(F.sum("chars").alias("lost"), F.collect_set("key").alias("boilerplate"))
-    joined = rows.join(lost, rows["lakemill.uid"] == lost["uid"], "left")
+    lost = each.join(above, "key").groupBy(F.col("uid").alias("lakemill_uid")).agg(F.sum("chars").alias("lakemill_lost"), F.collect_set("key").alias("lakemill_gone"))
+    joined = rows.join(lost, rows["lakemill.uid"] == lost["lakemill_uid"], "left")
     w = F.col("lakemill.w")
     failed = (w["n_words"] < 20) | (100 * w["n_repeat_words"] > 30 * w["n_words"])
     size = F.aggregate("lakemill.l.lines", F.lit(0).cast("bigint"), lambda a, x: a + x["chars"])
     return joined.select(
         *carry, w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), "lakemill.n_symbols", "lakemill.l.n_dup_lines", w["n_repeat_words"].alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & (F.coalesce("lost", F.lit(0)) <= max_lost * size)).alias("kept"), F.coalesce("boilerplate", F.expr("cast(array() as array<bigint>)")).alias("boilerplate"),
+        failed.alias("base_failed"), (~failed & (F.coalesce("lakemill_lost", F.lit(0)) <= max_lost * size)).alias("kept"), F.coalesce("lakemill_gone", F.expr("cast(array() as array<bigint>)")).alias("boilerplate"),
     )
 
 
 def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that judge() keeps, without their boilerplate lines; the columns of docs."""
-    judged = judge(docs, text_col, host_col, **limits).where("kept")
-    held = F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("boilerplate", line_key(host_col, x)))
-    return judged.withColumn(text_col, F.when(F.size("boilerplate") > 0, F.array_join(held, "\n")).otherwise(F.col(text_col))).select(*docs.columns)
+    rows, name, back = plain_names(docs)
+    text, host = name[text_col], name[host_col]
+    judged = judge(rows, text, host, **limits).where("kept")
+    held = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("boilerplate", line_key(host, x)))
+    return back(judged.withColumn(text, F.when(F.size("boilerplate") > 0, F.array_join(held, "\n")).otherwise(F.col(text))))
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, plain_names
 from .line_quality import words
 
 NONE = "(none)"
@@ -106,14 +106,15 @@ def mix(docs: DataFrame, paths: dict[str, Column], weights: dict[tuple, float],
     return out.select(*[F.col(f"mix_in_{c}").alias(c) for c in carry], *[F.col(a).alias(f"mix_{level}") for a, level in zip(at, levels, strict=True)], "mix_tokens", F.col("copies").alias("mix_copies"))
 
 
-def tree(docs: DataFrame) -> dict[str, Column]:
-    return {"domain": domain_of(docs["source"]), "lang": docs["lang"], "source": docs["source"]}
+def tree(docs: DataFrame, source: str = "source", lang: str = "lang") -> dict[str, Column]:
+    return {"domain": domain_of(docs[source]), "lang": docs[lang], "source": docs[source]}
 
 
-def apply(docs: DataFrame, **parameters) -> DataFrame:
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The mixture itself: each row of docs as often as mix() takes it; the columns of docs."""
-    mixed = mix(docs, tree(docs), WEIGHTS, seed=SEED, **parameters).where("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    rows, name, back = plain_names(docs)
+    mixed = mix(rows, tree(rows, name["source"], name["lang"]), WEIGHTS, seed=SEED, id_col=name[id_col], text_col=name[text_col], **parameters).where("mix_copies > 0")
+    return back(mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

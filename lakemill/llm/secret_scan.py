@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, plain_names
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,8 @@ def described(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scan_args) -> DataFrame:
     """docs with each secret replaced by its kind in brackets; overlapping spans are replaced together. Null texts stay null."""
-    text = F.col(text_col)
+    rows, name, back = plain_names(docs)
+    text = F.col(name[text_col])
 
     def step(acc, s):
         gap = F.substring(text, acc["pos"] + 1, s["at"] - acc["pos"])
@@ -164,8 +165,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sc
 
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     masked = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    found = scan(docs, id_col=id_col, text_col=text_col, **scan_args)
-    return found.withColumn(text_col, F.when(text.isNotNull() & (F.size("secret_spans") > 0), masked).otherwise(text)).select(*docs.columns)
+    found = scan(rows, id_col=name[id_col], text_col=name[text_col], **scan_args)
+    return back(found.withColumn(name[text_col], F.when(text.isNotNull() & (F.size("secret_spans") > 0), masked).otherwise(text)))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, documents, materialise, pieces
+from .common import discard, documents, materialise, pieces, plain_names
 from .graph import components
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -180,14 +180,15 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     roots = components(links(nodes)).select(F.col("node").alias("fp"), "root")
     labelled = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = labelled.groupBy("root").agg(F.min("first").alias("first"))
-    of_fp = labelled.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("lakemill_fp"), "first")
+    of_fp = labelled.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("lakemill_fp"), F.col("first").alias("lakemill_least"))
     out = rows.join(of_fp, "lakemill_fp")
-    return out.select(*carry, "lakemill_fp", (F.col("first.uid") == F.col("lakemill_uid")).alias("lakemill_first"), F.col("first.id").alias("lakemill_component"))
+    return out.select(*carry, "lakemill_fp", (F.col("lakemill_least.uid") == F.col("lakemill_uid")).alias("lakemill_first"), F.col("lakemill_least.id").alias("lakemill_component"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """One document of each group: that with the smallest id. The columns of docs."""
-    return group(docs, id_col, text_col, shingle).where("lakemill_first").select(*docs.columns)
+    rows, name, back = plain_names(docs)
+    return back(group(rows, name[id_col], name[text_col], shingle).where("lakemill_first"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
