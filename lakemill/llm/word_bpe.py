@@ -15,7 +15,7 @@ import numpy as np
 import regex
 
 #: Bounds of the caches of one Python worker, in entries. prepare() empties a full cache before the next piece of input, so memory stays bounded.
-WORD_CACHE, FRAGMENT_CACHE = 400_000, 300_000
+WORD_CACHE, FRAGMENT_CACHE = 200_000, 100_000
 NO_RANK = 1 << 40
 
 
