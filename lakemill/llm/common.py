@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+_watchers: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,13 +36,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchange files of steps that nothing refers to any more
     out = spark.read.schema(df.schema).parquet(path)
     out.lakemill_path = path
+    for own in _watchers:
+        own.append(path)
     return out
 
 
+@contextmanager
+def kept_tables():
+    """Gathers the paths of the tables that materialise() writes meanwhile."""
+    own: list[str] = []
+    _watchers.append(own)
+    try:
+        yield own
+    finally:
+        _watchers.remove(own)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that materialise() wrote and that no frame still to be computed reads."""
-    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.lakemill_path)
-    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(table.sparkSession, table.lakemill_path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
