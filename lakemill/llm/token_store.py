@@ -78,12 +78,20 @@ class CachedTokenizer:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             self.parts = word_bpe.part_finder(json.load(f))
-        self.of_part = Cache(self.whole, most)
+        self.symbols = word_bpe.byte_symbols()
+        self.model = self.library.model
+        self.of_part = Cache(self.part, most)
         self.of_word = Cache(self.word, most)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def part(self, part: str) -> bytes:
+        """A pre-token needs the library's model only: it is normalised and split already."""
+        symbols = self.symbols
+        mapped = part if part.isascii() and part.isprintable() else "".join([symbols[b] for b in part.encode()])
+        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+
     def word(self, word: str) -> bytes:
         word, part = word_bpe.WordBPE.lower(word), self.of_part
         if word.isalpha():  # letters alone are one pre-token, and so is a single mark after them
