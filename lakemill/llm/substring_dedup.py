@@ -6,7 +6,8 @@ an anchor. A suffix carries the words back to where its first window begins, so
 is a number of words before it and the rest after it.
 
 Suffixes are split by their prefixes: ranges of prefixes are cut so that a group fits in memory, and a group is worked
-off in chunks that end where a prefix ends. In a chunk the suffix trees are built a level at a time: a node of depth d
+off in chunks that end where a prefix ends. A prefix of more suffixes than a chunk holds is split further, down to the
+windows around it (by_window). In a chunk the suffix trees are built a level at a time: a node of depth d
 is a class of suffixes with equal first d words, and mirrored trees hold the words before the anchor. A node of depth
 window - k whose leaves share k words before the anchor, too, is a repeat of a whole window; neighbouring repeats
 in a document make its maximal repeats.
@@ -31,7 +32,7 @@ from .common import discard, documents, materialise, pieces
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 GRAM = 5  # words of an anchor
-CHUNK = 50_000  # suffixes whose trees are built at once, or all of one prefix
+CHUNK = 50_000  # suffixes whose trees are built at once; a prefix of more is split by windows
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,8 +218,50 @@ def repeated(suffix: list[str], back: np.ndarray, owner: np.ndarray, docs: np.nd
     return bits
 
 
+HITS = "doc bigint, c bigint, place int, bits bigint"
+
+
+def crowded(found: DataFrame, most: int) -> DataFrame:
+    """(prefix): the prefixes of more than most rows; there are at most rows / most of them."""
+    return materialise(found.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > most).select("prefix"), "crowded")
+
+
+def by_window(found: DataFrame, window: int) -> DataFrame:
+    """What repeats() finds, before it is gathered by text, for prefixes of any number of suffixes: each whole window is a
+    group of its own and is reduced to its smallest document by partial minima, so no task holds all of a prefix."""
+
+    def cut(batches):
+        for batch in pieces(batches, 1_000_000):
+            windows, k, rows = [], [], []
+            for r, (suffix, back) in enumerate(zip(batch.column("suffix").to_pylist(), batch.column("back").to_pylist(), strict=True)):
+                words = suffix.split(" ")
+                for i in range(len(words) - window + 1):
+                    windows.append(" ".join(words[i : i + window]))
+                    k.append(back - i)
+                    rows.append(r)
+            docs = [np.frombuffer(x, dtype="<i8") for x in batch.column("docs").to_pylist()]
+            low, high = (np.array([f(x) for x in docs], dtype=np.int64)[rows] for f in (np.min, np.max))
+            packed = [batch.column(n).take(pa.array(rows, pa.int64())) for n in ("docs", "texts", "places")]
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(k, pa.int32()), pa.array(low), pa.array(high), *packed], names=["window", "k", "low", "high", "docs", "texts", "places"])
+
+    def hits(batches):
+        for batch in pieces(batches, 4_000_000):
+            raw = {n: batch.column(n).to_pylist() for n in ("docs", "texts", "places")}
+            times = np.array([len(x) // 8 for x in raw["docs"]], dtype=np.int64)
+            docs, texts = (np.frombuffer(b"".join(raw[n]), dtype="<i8") for n in ("docs", "texts"))
+            places = np.frombuffer(b"".join(raw["places"]), dtype="<i4")
+            k, least = (np.repeat(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64), times) for n in ("k", "least"))
+            some = docs > least
+            yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(texts[some]), pa.array(places[some]), pa.array(np.int64(1) << k[some])], names=["doc", "c", "place", "bits"])
+
+    each = found.select("suffix", "back", "docs", "texts", "places").mapInArrow(cut, "window string, k int, low bigint, high bigint, docs binary, texts binary, places binary")
+    least = each.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("window", "least")
+    return each.join(least, "window").select("k", "least", "docs", "texts", "places").mapInArrow(hits, HITS)
+
+
 def repeats(found: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """(doc, c, found): found has (place of an anchor, bits of its repeated windows) of each text that has some."""
+    """(doc, c, found): found has (place of an anchor, bits of its repeated windows) of each text that has some; a place
+    may come several times, with different bits."""
     gram = min(GRAM, window)
 
     def solve(held: list) -> pa.RecordBatch:
@@ -249,9 +292,15 @@ def repeats(found: DataFrame, window: int, group_rows: int) -> DataFrame:
         if held:
             yield solve(held)
 
+    full = crowded(found, CHUNK)
+    some = not full.isEmpty()
+    rest = found.join(full, "prefix", "left_anti") if some else found
     n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // group_rows))
-    grouped = found.repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
-    return grouped.mapInArrow(run, "doc bigint, c bigint, place int, bits bigint").groupBy("doc", "c").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
+    grouped = rest.repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
+    out = grouped.mapInArrow(run, HITS)
+    if some:
+        out = out.union(by_window(found.join(full, "prefix", "left_semi"), window))
+    return out.groupBy("doc", "c").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 200_000, digests: bool = False) -> DataFrame:

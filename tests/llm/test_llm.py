@@ -247,6 +247,32 @@ def test_substring_dedup_against_brute_force(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_a_hot_phrase_is_never_one_group(spark, monkeypatch):
+    rng, chunk, batch = random.Random(9), 300, 100
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    at = int(substring_dedup.anchors(words, 13)[1].argmin())
+    phrase = words[at : at + 5]
+    side = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    texts = [" ".join(side(rng.randint(4, 9)) + phrase + side(rng.randint(4, 9))) for _ in range(2000)]
+    texts += [" ".join([*rng.choice(texts).split(), "end"]) for _ in range(200)]
+    plain = substring_dedup.repeated
+
+    def bounded(suffix, *others):
+        assert len(suffix) <= chunk + batch, f"{len(suffix)} suffixes at once"
+        return plain(suffix, *others)
+
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(substring_dedup, "repeated", bounded)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = list(enumerate(texts))
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == Counter(brute_removed(rows)) and sum(k[2] for k in got) > 2000
+
+
 def test_tree_levels():
     # the anchor is "m n": one suffix each, k words before it
     suffix, back = ["a m n x", "b m n x", "a m n y", "a m n x"], np.array([1, 1, 1, 1])
