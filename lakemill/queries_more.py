@@ -136,6 +136,15 @@ def word_scan(spark, d):
     return w.select("doc_id", (F.col("k") + 1).alias("k"), "w.word", (F.col("w.stop") - F.col("w.start") + 1).alias("size"))
 
 
+@query("""WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents),
+w AS (SELECT doc_id, line_number, unnest(regexp_extract_all(line, '[^ \\t\\r\\f\\x0B]+')) AS word, generate_subscripts(regexp_extract_all(line, '[^ \\t\\r\\f\\x0B]+'), 1) AS k FROM h)
+SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, CAST(k AS INTEGER) AS k, word, CAST(length(word) AS INTEGER) AS size FROM w""")
+def word_scan_lines(spark, d):
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    w = lines.select("doc_id", "n", F.posexplode(text.words_at(F.col("line"))).alias("k", "w"))
+    return w.select("doc_id", (F.col("n") + 1).alias("line_number"), (F.col("k") + 1).alias("k"), "w.word", (F.col("w.stop") - F.col("w.start") + 1).alias("size"))
+
+
 @query("SELECT page_id, regexp_extract(url, '/([a-z0-9-]+)/?$', 1) AS tail, 'export-' || page_id || '-{none}.xml' AS name FROM pages")
 def export_names(spark, d):
     p = t(spark, d, "pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import text
 from lakemill.operators import clusters, curves, rules
+from lakemill.queries import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_circle_and_ellipse(spark):
@@ -80,3 +85,11 @@ def test_text_helpers(spark):
     ).first()
     assert [tuple(w) for w in r["w"]] == [("ab", 2, 3), ("a", 5, 5), ("ab", 8, 9)]
     assert (r["l"]["number"], r["l"]["rest"], r["r"], r["e"], r["n"], r["c"]) == ("2", "Glo-", "Chord", "3-{b}", "12", "61,42")
+
+
+def test_word_scan_covers_all_lines(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = Counter((r["doc_id"], n + 1, k + 1, w) for r in docs for n, line in enumerate((r["text"] or "").split("\n")) for k, w in enumerate(re.findall(r"[^ \t\r\f\v]+", line)))
+    got = QUERIES["word_scan_lines"](spark, DATA).collect()
+    assert Counter((r["doc_id"], r["line_number"], r["k"], r["word"]) for r in got) == want
+    assert all(r["size"] == len(r["word"]) for r in got) and max(r["line_number"] for r in got) > 1
