@@ -81,16 +81,22 @@ def best_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def best_subset(own: float, partners: list[tuple[float, float]], conflicts: set[tuple[int, int]], most: int = 16) -> float:
-    """The contextual grade with the best subset of partners (grade, ratio) of which no two are in conflict."""
+    """The contextual grade with the best subset of partners (grade, ratio) of which no two are in conflict.
+
+    All conflict-free subsets of the conflicting partners are tried; there may be 2 ** most of them.
+    """
     useful = [k for k, (_, r) in enumerate(partners) if r > 1]
     gain = {k: partners[k][0] * (partners[k][1] - 1) for k in useful}
     clash = {k for pair in conflicts for k in pair if k in gain}
-    if len(clash) > most:
-        raise ValueError(f"{len(clash)} conflicting partners are out of bounds")
+    tried = 0
     free = sum(v for k, v in gain.items() if k not in clash)
 
     def grow(left: list[int], held: tuple[int, ...]) -> float:
+        nonlocal tried
         if not left:
+            tried += 1
+            if tried > 2**most:
+                raise ValueError(f"{len(clash)} conflicting partners are out of bounds")
             return sum(gain[k] for k in held)
         k, rest = left[0], left[1:]
         best = grow(rest, held)

@@ -363,8 +363,8 @@ def exclusion_insert(spark, d):
 @query()
 def sig_reduction(spark, d):
     inters, supports = _sig(spark, d)
-    bars = supports.where("(src + dst) % 4 = 0").select("system", "src", "dst")
-    ties = supports.where("(src + dst) % 4 = 1")
+    bars = supports.where("(src + dst) % 2 = 0").select("system", "src", "dst")
+    ties = supports.where("(src + dst) % 2 = 1")
     kept = graphs.reduce(inters.withColumn("frozen", F.col("id") % 10 == 0), ties, bars)
     return kept.select("system", "id", F.round("ctx_grade", 6).alias("ctx_grade"))
 

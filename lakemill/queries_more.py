@@ -158,6 +158,12 @@ def competing_inters(spark, d):
     return graphs.canonical(e, "src", "dst").groupBy(F.col("src").alias("suppkey")).agg(F.count("*").alias("parts"))
 
 
+@query("SELECT l_suppkey AS suppkey, count(DISTINCT 1000000 + l_partkey) AS parts FROM lineitem GROUP BY 1")
+def competing_inters_all(spark, d):
+    e = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst"))
+    return graphs.canonical(e, "src", "dst").groupBy(F.col("src").alias("suppkey")).agg(F.count("*").alias("parts"))
+
+
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r, count(*) OVER (PARTITION BY user_id) AS c FROM v)
 SELECT user_id, round(avg(m), 6) AS slope FROM k WHERE r <= greatest(1, round_even(c * 0.5, 0)) GROUP BY user_id""")
 def global_slope(spark, d):

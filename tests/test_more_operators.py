@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import text
-from lakemill.operators import clusters, curves, rules
+from lakemill.operators import clusters, curves, graphs, rules
 from lakemill.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -93,3 +93,29 @@ def test_word_scan_covers_all_lines(spark):
     got = QUERIES["word_scan_lines"](spark, DATA).collect()
     assert Counter((r["doc_id"], r["line_number"], r["k"], r["word"]) for r in got) == want
     assert all(r["size"] == len(r["word"]) for r in got) and max(r["line_number"] for r in got) > 1
+
+
+def test_all_edges_are_used(spark):
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    want = Counter(k for k, _ in {(r["l_suppkey"], r["l_partkey"]) for r in rows})
+    assert {r["suppkey"]: r["parts"] for r in QUERIES["competing_inters_all"](spark, DATA).collect()} == want
+
+
+def test_many_partners_in_conflict():
+    pairs = set(combinations(range(32), 2))
+    assert graphs.best_subset(0.2, [(k / 40, 2) for k in range(32)], pairs) == pytest.approx((1 + 31 / 40) * 0.2 / (1 + 31 / 40 * 0.2))
+    with pytest.raises(ValueError):
+        graphs.best_subset(0.2, [(0.5, 2)] * 34, {(2 * k, 2 * k + 1) for k in range(17)})
+
+
+def test_sig_reduction_gives_every_edge_a_kind(spark, monkeypatch):
+    seen = {}
+
+    def reduce(inters, supports, exclusions):
+        seen.update(edges=supports.select("src", "dst").collect() + exclusions.select("src", "dst").collect())
+        return inters.withColumn("ctx_grade", inters["grade"])
+
+    monkeypatch.setattr(graphs, "reduce", reduce)
+    QUERIES["sig_reduction"](spark, "/root/testdata/sf0.1")
+    nation = [r["s_nationkey"] for r in spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").collect()]
+    assert len(set(seen["edges"])) == len(seen["edges"]) == sum(n * (n - 1) // 2 for n in Counter(nation).values())
