@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,42 +14,53 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-_watchers: list[list[str]] = []
+#: Where set, Spark deletes the exchange files of an action when it ends; the tables that materialise() writes need none of them.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what SparkContext's checkpoint directory is. There is no
+    fallback: executors of a cluster can't see a local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lakemill-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        if not current.isDefined():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = current.get()
+    return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends, no executor is needed."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the exchange files of steps that nothing refers to any more
-    out = spark.read.schema(df.schema).parquet(path)
-    out.lakemill_path = path
-    for own in _watchers:
-        own.append(path)
-    return out
+#: The folder, below the shared one, of the tables of the scratch() that surrounds a call.
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
 
 
 @contextmanager
-def kept_tables():
-    """Gathers the paths of the tables that materialise() writes meanwhile."""
-    own: list[str] = []
-    _watchers.append(own)
+def scratch(spark: SparkSession):
+    """Tables that materialise() writes meanwhile, in this thread, are deleted at the end."""
+    inner = f"{_scratch.get()}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(inner)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, shared_folder(spark) + inner)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}{_scratch.get()}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends, no executor is needed."""
+    spark = df.sparkSession
+    path = path or new_folder(spark, name)
+    before = spark.conf.get(FREES, None)
+    spark.conf.set(FREES, "true")
     try:
-        yield own
+        df.write.parquet(path)
     finally:
-        _watchers.remove(own)
+        spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -57,9 +68,11 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a table that materialise() wrote and that no frame still to be computed reads."""
-    delete(table.sparkSession, table.lakemill_path)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialise() wrote and that no frame still to be computed reads."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            delete(table.sparkSession, folder)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +87,8 @@ def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[D
 
 
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
-    """crc32 of the id written as text; null ids count as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(0)).cast("string"))
+    """crc32 of the id written as text; null ids count as the empty text, whose crc32 is 0."""
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")))
 
 
 def pieces(batches, limit: int = 16_000_000):

@@ -1,20 +1,21 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
-The suffixes of a text are represented by those that begin at its anchors: in each window of words, the 5-word run with
-the smallest hash. Equal windows have equal anchors at equal places, so two places that repeat a window always meet at
-an anchor. A suffix carries the words back to where its first window begins, so that each window around an anchor
-is a number of words before it and the rest after it.
-
-Suffixes are split by their prefixes: ranges of prefixes are cut so that a group fits in memory, and a group is worked
-off in chunks that end where a prefix ends. A prefix of more suffixes than a chunk holds is split further, down to the
-windows around it (by_window). In a chunk the suffix trees are built a level at a time: a node of depth d
-is a class of suffixes with equal first d words, and mirrored trees hold the words before the anchor. A node of depth
-window - k whose leaves share k words before the anchor, too, is a repeat of a whole window; neighbouring repeats
-in a document make its maximal repeats.
-
-Only anchors of two different texts or more are sent. Copies within one piece of input are merged before the exchange, so
-a passage that many documents share gives a row for each piece only. Whole copies of a text don't enter at all: each of
-their windows starts in the first copy.
+A suffix is a word position of a text with the words from there on, and the word before it. Every suffix that can
+repeat a window is indexed: a window can repeat only if its anchor, its 5-word run with the smallest hash, stands in two
+different texts (equal windows have equal anchors). Neighbouring suffixes of that kind are kept together as a fragment of the text
+until the suffixes are dealt.
+
+Suffixes are dealt to groups by prefixes of variable length. Suffixes are counted for each two-word prefix; the prefixes
+of more suffixes than a group may hold are lengthened and counted again, until each group fits (LEVELS). Only
+a prefix that is a whole window can stay too large: then all its suffixes are leaves of one node, and
+that node's smallest document comes from partial minima (crowded), not from a tree.
+
+In a group the suffix tree is built from the sorted suffixes and the words that neighbours share. Its suffixes are cut STEP - 1 words
+beyond a window. Internal nodes as deep as a window or deeper are repeats; those whose leaves have different words before them
+are the maximal repeats. A leaf below a node with a smaller document gives a removed range as long as the node is deep, where the
+node is maximal, or at every STEP-th word of the document: the cut suffixes of a long repeat don't know where it begins.
+
+Whole copies of a text don't enter: each of their windows starts in the first copy.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from .common import discard, documents, materialise, pieces
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 GRAM = 5  # words of an anchor
-CHUNK = 50_000  # suffixes whose trees are built at once; a prefix of more is split by windows
+STEP = 4  # suffixes are cut STEP - 1 words beyond a window
+LEVELS = (2, 3, 5, 8)  # words of the prefixes that are tried before the whole window
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,18 +78,12 @@ def anchors(words: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(low[:m], low[wide - step : wide - step + m]), g
 
 
-def places_of(low: np.ndarray, g: np.ndarray, windows: np.ndarray, wide: int) -> np.ndarray:
-    """Where the anchors of the given windows stand: the first run with the smallest hash."""
-    at = np.zeros(len(windows), dtype=np.int64)
-    for k in range(wide - 1, -1, -1):
-        at = np.where(g[windows + k] == low[windows], windows + k, at)
-    return at
-
-
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, text and c, a hash of the text; an id together with c names a text."""
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} has to be an integer column")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("c"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text"), F.xxhash64(text).alias("c"))
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -122,59 +118,148 @@ def shared_anchors(table: DataFrame) -> DataFrame:
     return materialise(table.groupBy("a").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("a"), "shared")
 
 
-def notes(table: DataFrame, whole: DataFrame) -> DataFrame:
-    """(doc, c, marks, copy): a document's shared anchors, and whether it is a copy of another."""
-    marks = table.join(shared_anchors(table), "a").groupBy("doc", "c").agg(F.collect_list("a").alias("marks"))
+def notes(rows: DataFrame, table: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc, c, tag, marks, copy): a document's shared anchors, and whether it is a copy of another. tag is c where an id
+    has several texts, else 0."""
+    shared = shared_anchors(table)
+    marks = table.join(shared, "a").groupBy("doc", "c").agg(F.collect_list("a").alias("marks"))
+    several = rows.groupBy("doc").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("doc", F.lit(True).alias("several"))
     whole = whole.withColumn("copy", F.lit(True))
-    return materialise(marks.join(whole, ["doc", "c"], "full").select("doc", "c", "marks", F.coalesce("copy", F.lit(False)).alias("copy")), "notes")
+    joined = marks.join(whole, ["doc", "c"], "full").join(several, "doc", "left")
+    out = materialise(joined.select("doc", "c", F.when(F.col("several"), F.col("c")).otherwise(0).alias("tag"), "marks", F.coalesce("copy", F.lit(False)).alias("copy")), "notes")
+    discard(shared)
+    return out
 
 
-SUFFIX = "prefix string, suffix string, back int, docs binary, texts binary, places binary"
+FRAGMENT = "doc bigint, tag bigint, at int, lead int, n int, anchor bigint, words string"
 
 
-def suffixes(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
-    """A row for each distinct suffix of a piece of input: the anchor's words (prefix), all words from the first window
-    of that anchor to the end of its last one (suffix), how many of them come before the anchor (back), and the
-    documents, texts and places of the anchor."""
-    gram = min(GRAM, window)
+def fragments(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
+    """A row for each run of neighbouring windows with shared anchors: the place of its first word, how many windows it has (n), and
+    its words, with the one word before them where there is one (lead). Runs with the same smallest anchor come
+    to lie together, which only helps to merge equal suffixes early; AQE splits a large group of them."""
 
     def run(batches):
         for batch in pieces(batches, 8_000_000):
-            where: dict[str, list[int]] = {}
-            prefixes, backs, docs, texts, places = [], [], [], [], []
-            for doc, text, c, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            for doc, tag, text, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = _WORDS(text)
-                if len(words) < window:
-                    continue
-                low, g = anchors(words, window)
-                held = np.flatnonzero(np.isin(low, np.array(marks, dtype=np.int64).view(np.uint64)))
-                if not len(held):
+                low, _ = anchors(words, window)
+                held = np.isin(low, np.array(marks, dtype=np.int64).view(np.uint64))
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], held.astype(np.int8), [0]])))
+                if not len(edges):
                     continue
-                at = places_of(low, g, held, window - gram + 1)
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(held) != 1)]))
-                last = np.concatenate([first[1:], [len(held)]]) - 1
-                for p, i, j in zip(at[first].tolist(), held[first].tolist(), held[last].tolist(), strict=True):
-                    key = " ".join(words[i : j + window])
+                least = np.minimum.reduceat(np.append(low, np.uint64(2**64 - 1)), edges)[::2].view(np.int64).tolist()
+                for (i, j), a in zip(edges.reshape(-1, 2).tolist(), least, strict=True):
+                    lead = int(i > 0)
+                    for column, value in zip(out, (doc, tag, i, lead, j - i, a, " ".join(words[i - lead : j + window - 1])), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc", "tag", "at", "lead", "n", "anchor", "words"])
+
+    marked = rows.join(noted.where("NOT copy AND marks IS NOT NULL").select("doc", "c", "tag", "marks"), ["doc", "c"])
+    return materialise(marked.select("doc", "tag", "text", "marks").mapInArrow(run, FRAGMENT).hint("rebalance", "anchor"), "fragments")
+
+
+def prefix_hashes(batch: pa.RecordBatch, lengths: list[int]) -> tuple[list[list[str]], np.ndarray, list[np.ndarray]]:
+    """The words of a batch of fragments, the places of their suffixes among all of these words, and for each length a hash of
+    the suffixes' prefixes of so many words."""
+    words = [x.split(" ") for x in batch.column("words").to_pylist()]
+    h = np.concatenate([_HASHES.of(w) for w in words])
+    begins = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]]) + batch.column("lead").to_numpy()
+    n = batch.column("n").to_numpy()
+    spots = np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())
+    out, rolled, done = [], np.zeros(len(spots), dtype=np.uint64), 0
+    for length in lengths:
+        for k in range(done, length):
+            rolled = rolled * ODD + h[spots + k]
+        done = length
+        out.append(mixed(rolled).view(np.int64))
+    return words, spots, out
+
+
+def heavy_prefixes(frags: DataFrame, window: int, most: int) -> tuple[DataFrame | None, list[int]]:
+    """(prefix) of more than most suffixes, as hashes, over all lengths tried, and these lengths.
+
+    A longer length is tried only while some prefix is too heavy, and counts only what a heavy shorter one begins. Two prefixes
+    of one hash are merely dealt together. There are at most (suffixes / most) heavy prefixes of a length.
+    """
+    levels = [*(n for n in LEVELS if n < window), window]
+    heavy, last = None, None
+    for k, length in enumerate(levels):
+
+        def count(batches, lengths=levels[max(0, k - 1) : k + 1]):
+            for batch in pieces(batches, 8_000_000):
+                if batch.num_rows:
+                    hashes = prefix_hashes(batch, lengths)[2]
+                    long, at, n = np.unique(hashes[-1], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[0][at]), pa.array(long), pa.array(n)], names=["short", "long", "n"])
+
+        counted = frags.mapInArrow(count, "short bigint, long bigint, n bigint")
+        if last is not None:
+            counted = counted.join(last.withColumnRenamed("prefix", "short"), "short", "left_semi")
+        last = materialise(counted.groupBy(F.col("long").alias("prefix")).agg(F.sum("n").alias("n")).where(F.col("n") > most).select("prefix"), "heavy")
+        if last.isEmpty():
+            return heavy, levels[: k + 1]
+        heavy = last if heavy is None else heavy.union(last)
+    return heavy, levels
+
+
+def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
+    """A row for each distinct suffix, with the word before it, of a piece of input: the hashes of its prefixes of the given lengths, its
+    words, and the documents, tags and places where it stands."""
+    names = [f"h{n}" for n in lengths]
+    reach = window + STEP - 1
+
+    def run(batches):
+        for batch in pieces(batches, 8_000_000):
+            if not batch.num_rows:
+                continue
+            words, spots, hashes = prefix_hashes(batch, lengths)
+            where: dict[str, list[int]] = {}
+            firsts, at = [], 0
+            for w, lead, n in zip(words, batch.column("lead").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if not lead:
+                    w = ["", *w]  # a text's first suffix has no word before it
+                for p in range(n):
+                    key = " ".join(w[p : p + 1 + reach])
                     own = where.get(key)
                     if own is None:
-                        own = where[key] = []
-                        prefixes.append(" ".join(words[p : p + gram]))
-                        backs.append(p - i)
-                    own.append(len(docs))
-                    docs.append(doc)
-                    texts.append(c)
-                    places.append(p)
-            if not where:
-                continue
-            d, t, p = np.array(docs, dtype="<i8"), np.array(texts, dtype="<i8"), np.array(places, dtype="<i4")
-            keys, members = list(where), list(where.values())
-            for at in range(0, len(keys), 20_000):
-                part = slice(at, at + 20_000)
-                packed = [pa.array([x[own].tobytes() for own in members[part]], pa.binary()) for x in (d, t, p)]
-                yield pa.RecordBatch.from_arrays([pa.array(prefixes[part], pa.string()), pa.array(keys[part], pa.string()), pa.array(backs[part], pa.int32()), *packed], names=["prefix", "suffix", "back", "docs", "texts", "places"])
+                        where[key] = own = []
+                        firsts.append(at)
+                    own.append(at)
+                    at += 1
+            n = batch.column("n").to_numpy()
+            of = np.repeat(np.arange(len(n)), n)
+            docs, tags = (batch.column(c).to_numpy()[of].astype("<i8") for c in ("doc", "tag"))
+            places = (batch.column("at").to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype("<i4")
+            members, keys = list(where.values()), list(where)
+            for k in range(0, len(keys), 20_000):
+                part = slice(k, k + 20_000)
+                packed = [pa.array([x[own].tobytes() for own in members[part]], pa.binary()) for x in (docs, tags, places)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(h[firsts[part]]) for h in hashes), pa.array(keys[part], pa.string()), *packed], names=[*names, "suffix", "docs", "tags", "places"])
+
+    return frags.mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", suffix string, docs binary, tags binary, places binary")
+
+
+class SuffixTree:
+    """The suffix tree of suffixes given as rows of word codes (a row that has ended holds codes of its own).
+
+    order sorts the suffixes; shared is how many words each has in common with the one before it. The leaves below a node of
+    depth d are a run of suffixes that share d words or more; level(d) gives, for each suffix, the number of its node there.
+    """
 
-    marked = rows.join(noted.where("NOT copy AND marks IS NOT NULL").select("doc", "c", "marks"), ["doc", "c"])
-    return materialise(marked.select("doc", "text", "c", "marks").mapInArrow(run, SUFFIX), "suffixes")
+    def __init__(self, codes: np.ndarray):
+        m, self.depth = codes.shape
+        self.order = np.lexsort(codes.T[::-1])
+        self.codes = codes[self.order]
+        same = self.codes[1:] == self.codes[:-1]
+        self.shared = np.concatenate([[-1], np.where(same.all(axis=1), self.depth, (~same).argmax(axis=1))]) if m else np.zeros(0, dtype=np.int64)
+
+    def level(self, d: int) -> np.ndarray:
+        node = np.empty(len(self.order), dtype=np.int64)
+        node[self.order] = np.cumsum(self.shared < d) - 1
+        return node
 
 
 class Numbers(dict):
@@ -183,166 +268,169 @@ class Numbers(dict):
         return n
 
 
-def deeper(node: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The next level of the trees: nodes split by the next word (-1: the suffix has ended)."""
-    return np.unique(node * (int(words.max(initial=-1)) + 2) + words + 1, return_inverse=True)[1]
-
-
-def repeated(suffix: list[str], back: np.ndarray, owner: np.ndarray, docs: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each occurrence (owner: its suffix, docs: its document) the windows that also start in a document with a smaller
-    id, as bits: bit k is the window that begins k words before the anchor."""
-    number, m, most = Numbers(), len(suffix), window - gram
-    after, before = np.full((m, window), -1, dtype=np.int64), np.full((m, most), -1, dtype=np.int64)
-    ahead = np.zeros(m, dtype=np.int64)
-    for r, (text, b) in enumerate(zip(suffix, back.tolist(), strict=True)):
-        codes = [number[w] for w in text.split(" ")]
-        ahead[r] = len(codes) - b
-        after[r, : len(codes) - b] = codes[b:]
-        if b:
-            before[r, :b] = codes[b - 1 :: -1]
-    right = [np.zeros(m, dtype=np.int64)]
-    for d in range(window):
-        right.append(deeper(right[-1], after[:, d]))
-    left, bits = np.zeros(m, dtype=np.int64), np.zeros(len(docs), dtype=np.int64)
-    for k in range(most + 1):
-        if k:
-            left = deeper(left, before[:, k - 1])
-        there = ((back >= k) & (ahead >= window - k))[owner]
-        own = owner[there]
-        if not len(own):
-            continue
-        node = np.unique(right[window - k][own] * (int(left.max()) + 1) + left[own], return_inverse=True)[1]
-        order = np.argsort(node, kind="stable")
-        least = np.minimum.reduceat(docs[there][order], np.flatnonzero(np.diff(node[order], prepend=-1)))
-        bits[np.flatnonzero(there)] |= (docs[there] > least[node]).astype(np.int64) << k
-    return bits
-
-
-HITS = "doc bigint, c bigint, place int, bits bigint"
-
-
-def crowded(found: DataFrame, most: int) -> DataFrame:
-    """(prefix): the prefixes of more than most rows; there are at most rows / most of them."""
-    return materialise(found.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > most).select("prefix"), "crowded")
-
-
-def by_window(found: DataFrame, window: int) -> DataFrame:
-    """What repeats() finds, before it is gathered by text, for prefixes of any number of suffixes: each whole window is a
-    group of its own and is reduced to its smallest document by partial minima, so no task holds all of a prefix."""
+def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """For each occurrence (owner: its suffix, docs: its document) how many words from there on are to be removed (0: none)."""
+    number, m, reach = Numbers(), len(keys), window + STEP - 1
+    codes = np.repeat(-1 - np.arange(m)[:, None], reach, axis=1)  # where a suffix has ended, it is like no other
+    left = -1 - np.arange(m)  # so is the word before a text
+    for r, key in enumerate(keys):
+        first, *rest = key.split(" ")
+        codes[r, : len(rest)] = [number[w] for w in rest]
+        if first:
+            left[r] = number[first]
+    tree = SuffixTree(codes)
+    out = np.zeros(len(docs), dtype=np.int64)
+    for d in range(window, reach + 1):
+        node = tree.level(d)
+        of = node[owner]
+        size = int(node.max(initial=-1)) + 1
+        least = np.full(size, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, docs)
+        low, high = np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+        np.minimum.at(low, node, left)
+        np.maximum.at(high, node, left)
+        maximal = (low != high) | (low < 0)
+        hit = docs > least[of]
+        out[hit] = np.where(maximal[of[hit]] | (places[hit] % STEP == 0), d, 0)  # the deepest node counts
+    return out
+
+
+HITS = "doc bigint, tag bigint, place int, length int"
+
+
+def opened(batch: pa.RecordBatch | pa.Table, *columns: str) -> list[np.ndarray]:
+    """How many places each row has, and the packed columns, opened."""
+    raw = [batch.column(n).to_pylist() for n in columns]
+    kinds = {"docs": "<i8", "tags": "<i8", "places": "<i4"}
+    times = np.array([len(x) // 8 for x in raw[0]], dtype=np.int64)
+    return [times, *(np.frombuffer(b"".join(x), dtype=kinds[n]).astype(np.int64) for n, x in zip(columns, raw, strict=True))]
+
+
+def hits(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    some = length > 0
+    return pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(tags[some]), pa.array(places[some], pa.int32()), pa.array(length[some], pa.int32())], names=["doc", "tag", "place", "length"])
+
+
+def crowded(found: DataFrame, window: int) -> DataFrame:
+    """What trees find, for windows of more suffixes than a group may hold: the nodes from such a window downwards are reduced to
+    their smallest documents by partial minima."""
 
     def cut(batches):
-        for batch in pieces(batches, 1_000_000):
-            windows, k, rows = [], [], []
-            for r, (suffix, back) in enumerate(zip(batch.column("suffix").to_pylist(), batch.column("back").to_pylist(), strict=True)):
-                words = suffix.split(" ")
-                for i in range(len(words) - window + 1):
-                    windows.append(" ".join(words[i : i + window]))
-                    k.append(back - i)
+        for batch in pieces(batches, 2_000_000):
+            times, docs = opened(batch, "docs")
+            if not len(times):
+                continue
+            nodes, length, rows = [], [], []
+            for r, suffix in enumerate(batch.column("suffix").to_pylist()):
+                words = suffix.split(" ")[1:]
+                for d in range(window, len(words) + 1):
+                    nodes.append(" ".join(words[:d]))
+                    length.append(d)
                     rows.append(r)
-            docs = [np.frombuffer(x, dtype="<i8") for x in batch.column("docs").to_pylist()]
-            low, high = (np.array([f(x) for x in docs], dtype=np.int64)[rows] for f in (np.min, np.max))
-            packed = [batch.column(n).take(pa.array(rows, pa.int64())) for n in ("docs", "texts", "places")]
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.string()), pa.array(k, pa.int32()), pa.array(low), pa.array(high), *packed], names=["window", "k", "low", "high", "docs", "texts", "places"])
+            begins = np.cumsum(times) - times
+            low, high = np.minimum.reduceat(docs, begins)[rows], np.maximum.reduceat(docs, begins)[rows]
+            packed = [batch.column(n).take(pa.array(rows, pa.int64())) for n in ("docs", "tags", "places")]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(length, pa.int32()), pa.array(low), pa.array(high), *packed], names=["node", "length", "low", "high", "docs", "tags", "places"])
 
-    def hits(batches):
+    def mark(batches):
         for batch in pieces(batches, 4_000_000):
-            raw = {n: batch.column(n).to_pylist() for n in ("docs", "texts", "places")}
-            times = np.array([len(x) // 8 for x in raw["docs"]], dtype=np.int64)
-            docs, texts = (np.frombuffer(b"".join(raw[n]), dtype="<i8") for n in ("docs", "texts"))
-            places = np.frombuffer(b"".join(raw["places"]), dtype="<i4")
-            k, least = (np.repeat(batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64), times) for n in ("k", "least"))
-            some = docs > least
-            yield pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(texts[some]), pa.array(places[some]), pa.array(np.int64(1) << k[some])], names=["doc", "c", "place", "bits"])
-
-    each = found.select("suffix", "back", "docs", "texts", "places").mapInArrow(cut, "window string, k int, low bigint, high bigint, docs binary, texts binary, places binary")
-    least = each.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("window", "least")
-    return each.join(least, "window").select("k", "least", "docs", "texts", "places").mapInArrow(hits, HITS)
-
-
-def repeats(found: DataFrame, window: int, group_rows: int) -> DataFrame:
-    """(doc, c, found): found has (place of an anchor, bits of its repeated windows) of each text that has some; a place
-    may come several times, with different bits."""
-    gram = min(GRAM, window)
+            times, docs, tags, places = opened(batch, "docs", "tags", "places")
+            least, length = (np.repeat(batch.column(n).to_numpy(), times) for n in ("least", "length"))
+            yield hits(docs, tags, places, np.where(docs > least, length, 0))
+
+    each = found.select("suffix", "docs", "tags", "places").mapInArrow(cut, "node string, length int, low bigint, high bigint, docs binary, tags binary, places binary")
+    least = materialise(each.groupBy("node").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("node", "least"), "least")
+    return each.join(least, "node").select("length", "least", "docs", "tags", "places").mapInArrow(mark, HITS)
+
+
+def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
+    """(doc, tag, found): found has (place, length) of removed ranges of each text that has some."""
 
     def solve(held: list) -> pa.RecordBatch:
-        suffix = [x for h in held for x in h.column("suffix").to_pylist()]
-        back = np.concatenate([h.column("back").to_numpy() for h in held]).astype(np.int64)
-        raw = {n: [x for h in held for x in h.column(n).to_pylist()] for n in ("docs", "texts", "places")}
-        times = np.array([len(x) // 8 for x in raw["docs"]], dtype=np.int64)
-        docs, texts = (np.frombuffer(b"".join(raw[n]), dtype="<i8") for n in ("docs", "texts"))
-        places = np.frombuffer(b"".join(raw["places"]), dtype="<i4")
-        bits = repeated(suffix, back, np.repeat(np.arange(len(suffix)), times), docs, window, gram)
-        some = bits > 0
-        return pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(texts[some]), pa.array(places[some]), pa.array(bits[some])], names=["doc", "c", "place", "bits"])
+        table = pa.Table.from_batches(held)
+        times, docs, tags, places = opened(table, "docs", "tags", "places")
+        return hits(docs, tags, places, repeated(table.column("suffix").to_pylist(), np.repeat(np.arange(len(times)), times), docs, places, window))
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, last = [], 0, None
         for batch in batches:
-            if rows >= CHUNK:  # cut where the last prefix begins; a prefix is never split
-                last = held[-1].column("prefix")[-1].as_py()
-                whole = pa.Table.from_batches(held)
-                cut = int(np.searchsorted(whole.column("prefix").to_numpy(zero_copy_only=False) == last, True))
-                if cut:
-                    yield solve(whole.slice(0, cut).to_batches())
-                    held = whole.slice(cut).to_batches()
-                    rows = sum(h.num_rows for h in held)
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
+            if not batch.num_rows:
+                continue
+            groups = batch.column("group").to_numpy()
+            begins = np.flatnonzero(np.concatenate([[groups[0] != last], groups[1:] != groups[:-1]]))
+            if rows + batch.num_rows > group_rows and len(begins):  # cut where the last group begins; none is split
+                cut = int(begins[-1])
+                held += [batch.slice(0, cut)] if cut else []
+                if held:
+                    yield solve(held)
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows, last = rows + batch.num_rows, groups[-1]
         if held:
             yield solve(held)
 
-    full = crowded(found, CHUNK)
-    some = not full.isEmpty()
-    rest = found.join(full, "prefix", "left_anti") if some else found
-    n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // group_rows))
-    grouped = rest.repartitionByRange(n, "prefix").sortWithinPartitions("prefix")
+    heavy, lengths = heavy_prefixes(frags, window, group_rows)
+    found = suffixes(frags, window, lengths)
+    total = frags.agg(F.sum("n")).first()[0] or 0
+    n = max(int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // group_rows))
+    full = None
+    if heavy is None:
+        found = found.withColumn("group", F.col(f"h{lengths[0]}"))
+    else:
+        # the shortest prefix that isn't heavy; none of a length beyond that is
+        group = F.lit(None).cast("bigint")
+        for length in reversed(lengths):
+            mark = heavy.select(F.col("prefix").alias(f"h{length}"), F.lit(True).alias(f"heavy{length}"))
+            found = found.join(mark, f"h{length}", "left")
+            group = F.when(F.col(f"heavy{length}").isNull(), F.col(f"h{length}")).otherwise(group)
+        found = found.withColumn("group", group)
+        if lengths[-1] == window:
+            full = crowded(found.where("group IS NULL"), window)
+    packed = ("suffix", "docs", "tags", "places")
+    grouped = found.where("group IS NOT NULL").select("group", *packed).repartition(n, "group").sortWithinPartitions("group")
     out = grouped.mapInArrow(run, HITS)
-    if some:
-        out = out.union(by_window(found.join(full, "prefix", "left_semi"), window))
-    return out.groupBy("doc", "c").agg(F.collect_list(F.struct("place", "bits")).alias("found"))
+    if full is not None:
+        out = out.union(full)
+    return out.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "length")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 200_000, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 100_000, digests: bool = False) -> DataFrame:
     """Removes each word covered by a window of words that also starts in a document with a smaller id.
 
     Returns id_col, n_words, n_removed and kept (the kept words joined by one space), or with digests=True
-    kept_sha256; without digests also spans, the removed word ranges (start, stop exclusive): the maximal repeats.
-    A null text has no words. A row with a null id has no place in the order: it is neither compared nor changed.
-    Rows with the same id are not compared with each other, whether they repeat a text or not. Texts shorter than a
-    window stay; an empty table gives no row; other columns of docs are ignored.
+    kept_sha256; without digests also spans, the removed word ranges (start, stop exclusive). group_rows is how many
+    suffixes a tree may hold. Ids are integers (another type raises TypeError). A null text has no words. A row with a null id has
+    no place in the order: it is neither compared nor changed. Rows with the same id are not compared with each
+    other, whether they repeat a text or not. Texts shorter than a window stay; an empty table gives no row; other
+    columns of docs are ignored.
     """
     rows = prepared(docs, id_col, text_col)
     whole = copies(rows)
     anchored = anchor_table(rows, window)
-    noted = notes(anchored, whole)
+    noted = notes(rows, anchored, whole)
     discard(anchored)
-    leaves = suffixes(rows, noted, window)
-    found = materialise(repeats(leaves, window, group_rows), "repeats")
-    discard(leaves)
+    frags = fragments(rows, noted, window)
+    found = materialise(repeats(frags, window, group_rows).join(noted.where("NOT copy").select("doc", "tag", "c"), ["doc", "tag"]).select("doc", "c", "found"), "repeats")
+    discard(frags)
+    discard(noted)
     # a copy has no places of its own; all of its windows go
-    marks = found.withColumn("copy", F.lit(False)).unionByName(whole.select("doc", "c", F.lit(None).cast("array<struct<place: int, bits: bigint>>").alias("found"), F.lit(True).alias("copy")))
+    marks = found.withColumn("copy", F.lit(False)).unionByName(whole.select("doc", "c", F.lit(None).cast("array<struct<place: int, length: int>>").alias("found"), F.lit(True).alias("copy")))
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         for batch in pieces(batches):
             n, gone, kept, spans = [], [], [], []
-            for text, hits, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, ranges, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 words = _WORDS(text)
                 n.append(len(words))
+                cuts: list[tuple[int, int]] = []
                 if copy and len(words) >= window:
-                    edges = np.array([0, len(words)])
-                elif hits:
-                    # the running sum of step says how many repeated windows cover a word
-                    step = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.array([h["place"] - k for h in hits for k in range(window) if h["bits"] >> k & 1])
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + window, -1)
-                    covered = np.cumsum(step)[:-1] > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                else:
-                    edges = np.zeros(0, dtype=np.int64)
-                cuts = edges.reshape(-1, 2).tolist()
+                    cuts.append((0, len(words)))
+                for place, length in sorted((h["place"], h["length"]) for h in ranges or ()):
+                    if cuts and place <= cuts[-1][1]:
+                        cuts[-1] = (cuts[-1][0], max(cuts[-1][1], place + length))
+                    else:
+                        cuts.append((place, place + length))
                 left, last = [], 0
                 for a, b in cuts:
                     left += words[last:a]
@@ -360,7 +448,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     result = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "kept string, spans array<struct<start: bigint, stop: bigint>>")
-    return rows.join(marks, ["doc", "c"], "left").select("doc", "text", "found", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(run, result)
+    joined = rows.join(marks, ["doc", "c"], "left")
+    return joined.select(F.col("doc").cast(kind).alias("doc"), "text", "found", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(run, result)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

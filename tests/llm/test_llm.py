@@ -242,43 +242,66 @@ def test_substring_dedup_against_brute_force(spark):
     texts = [" ".join(rng.choice([rng.choice(shared), rng.choice("ijklmnop"), rng.choice("ij")]) for _ in range(rng.randint(0, 9))) for _ in range(80)]
     df = awkward(spark).select("doc_id", "text", "key", "docs", "suffix", "kept").union(spark.createDataFrame([(100 + i, t, 1, "d", "s", "k") for i, t in enumerate(texts + texts[:5])], "doc_id bigint, text string, key int, docs string, suffix string, kept string"))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(df, group_rows=50).collect())
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(df, group_rows=200).collect())
     assert got == Counter(brute_removed(rows)) and sum(k[2] for k in got) > 500
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
 def test_a_hot_phrase_is_never_one_group(spark, monkeypatch):
-    rng, chunk, batch = random.Random(9), 300, 100
-    words = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
-    at = int(substring_dedup.anchors(words, 13)[1].argmin())
-    phrase = words[at : at + 5]
+    """2,000 documents share one passage of 20 words, and 5,000 a phrase of five with different neighbours; trees stay small."""
+    rng, bound = random.Random(9), 500
     side = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
-    texts = [" ".join(side(rng.randint(4, 9)) + phrase + side(rng.randint(4, 9))) for _ in range(2000)]
-    texts += [" ".join([*rng.choice(texts).split(), "end"]) for _ in range(200)]
+    passage, phrase = [f"p{k}" for k in range(20)], [f"q{k}" for k in range(5)]
+    texts = [" ".join(side(rng.randint(4, 9)) + passage + side(rng.randint(4, 9))) for _ in range(2000)]
+    texts += [" ".join(side(rng.randint(4, 9)) + phrase + side(rng.randint(4, 9))) for _ in range(5000)]
     plain = substring_dedup.repeated
 
-    def bounded(suffix, *others):
-        assert len(suffix) <= chunk + batch, f"{len(suffix)} suffixes at once"
-        return plain(suffix, *others)
+    def bounded(keys, *others):
+        assert len(others[1]) <= 3 * bound, f"{len(others[1])} suffixes at once"
+        return plain(keys, *others)
 
-    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
     monkeypatch.setattr(substring_dedup, "repeated", bounded)
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
     try:
         rows = list(enumerate(texts))
-        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), group_rows=bound).collect())
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == Counter(brute_removed(rows)) and sum(k[2] for k in got) > 2000
 
 
-def test_tree_levels():
-    # the anchor is "m n": one suffix each, k words before it
-    suffix, back = ["a m n x", "b m n x", "a m n y", "a m n x"], np.array([1, 1, 1, 1])
-    bits = substring_dedup.repeated(suffix, back, np.arange(4), np.array([1, 2, 3, 4]), window=3, gram=2)
-    # bit 0: "m n x" again in 2 and 4; bit 1: "a m n" again in 3 and 4
-    assert bits.tolist() == [0, 1, 2, 3]
+def test_suffix_tree_nodes():
+    rng = random.Random(2)
+    text = [rng.randrange(3) for _ in range(300)]
+    reach = 6
+    rows = np.repeat(-1 - np.arange(len(text))[:, None], reach, axis=1)
+    for i in range(len(text)):
+        own = text[i : i + reach]
+        rows[i, : len(own)] = own
+    tree = substring_dedup.SuffixTree(rows)
+    for d in range(1, reach + 1):
+        node, want = tree.level(d), {}
+        for i in range(len(text)):
+            want.setdefault(tuple(rows[i, :d]), []).append(i)
+        got = {}
+        for i, k in enumerate(node.tolist()):
+            got.setdefault(k, []).append(i)
+        assert sorted(got.values()) == sorted(want.values())
+
+
+def test_ranges_of_maximal_repeats():
+    # windows of 3 words; the word before each suffix comes first
+    keys = ["a m n o x", "b m n o x", "a m n o y", " m n p"]
+    # the first two share four words (a maximal repeat), with the third they share three; where all have one word before them, only every fourth place counts
+    length = lambda owner, docs, places: substring_dedup.repeated(keys, np.array(owner), np.array(docs), np.array(places), 3).tolist()
+    assert length([0, 1, 2, 3], [1, 2, 3, 4], [1, 1, 1, 0]) == [0, 4, 3, 0]
+    assert length([0, 2], [1, 2], [1, 1]) == [0, 0] and length([0, 2], [1, 2], [1, 4]) == [0, 3]
+
+
+def test_ids_of_another_type_are_refused(spark):
+    with pytest.raises(TypeError, match="integer"):
+        substring_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # 6
