@@ -273,8 +273,10 @@ def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.nd
     number, m, reach = Numbers(), len(keys), window + STEP - 1
     codes = np.repeat(-1 - np.arange(m)[:, None], reach, axis=1)  # where a suffix has ended, it is like no other
     left = -1 - np.arange(m)  # so is the word before a text
+    ahead = np.zeros(m, dtype=np.int64)
     for r, key in enumerate(keys):
         first, *rest = key.split(" ")
+        ahead[r] = len(rest)
         codes[r, : len(rest)] = [number[w] for w in rest]
         if first:
             left[r] = number[first]
@@ -290,7 +292,7 @@ def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.nd
         np.minimum.at(low, node, left)
         np.maximum.at(high, node, left)
         maximal = (low != high) | (low < 0)
-        hit = docs > least[of]
+        hit = (docs > least[of]) & (ahead[owner] >= d)
         out[hit] = np.where(maximal[of[hit]] | (places[hit] % STEP == 0), d, 0)  # the deepest node counts
     return out
 

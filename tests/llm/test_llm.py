@@ -294,9 +294,11 @@ def test_ranges_of_maximal_repeats():
     # windows of 3 words; the word before each suffix comes first
     keys = ["a m n o x", "b m n o x", "a m n o y", " m n p"]
     # the first two share four words (a maximal repeat), with the third they share three; where all have one word before them, only every fourth place counts
-    length = lambda owner, docs, places: substring_dedup.repeated(keys, np.array(owner), np.array(docs), np.array(places), 3).tolist()
+    length = lambda owner, docs, places, keys=keys: substring_dedup.repeated(keys, np.array(owner), np.array(docs), np.array(places), 3).tolist()
     assert length([0, 1, 2, 3], [1, 2, 3, 4], [1, 1, 1, 0]) == [0, 4, 3, 0]
-    assert length([0, 2], [1, 2], [1, 1]) == [0, 0] and length([0, 2], [1, 2], [1, 4]) == [0, 3]
+    assert length([3, 3], [1, 2], [0, 0]) == [0, 3], "both texts end after three words"
+    some = keys[::2]
+    assert length([0, 1], [1, 2], [1, 1], some) == [0, 0] and length([0, 1], [1, 2], [1, 4], some) == [0, 3]
 
 
 def test_ids_of_another_type_are_refused(spark):
