@@ -3,8 +3,8 @@
 Every node shares its budget among its children by weight. A child whose subtree can't fill its share (all of its
 tokens, max_epochs times) gives the rest to its siblings by their weights; as a node's own share was limited to what
 its subtree holds, only what all siblings together can't take has moved on to the ancestors' siblings.
-A leaf's budget is whole epochs and then the longest prefix, in that epoch's seeded order, that fits.
-DataFrame functions only.
+A leaf's budget is whole epochs and then the longest prefix, in that epoch's seeded order, that fits. No leaf is sorted:
+its prefix's end is found digit by digit of the seeded hash, from sums. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -67,43 +67,84 @@ def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: dict[tuple, flo
     return leaves.join(got, [*levels], "left").withColumn("budget", F.floor(F.coalesce("budget", F.lit(0.0)) + 1e-6))
 
 
-def mix(docs: DataFrame, paths: dict[str, Column], weights: dict[tuple, float], share: float = 0.6, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bucket_tokens: int = 2_000_000) -> DataFrame:
+#: More leaves than this aren't broadcast.
+MOST_LEAVES = 100_000
+
+
+def _digits(h: str, tie: str) -> list[Column]:
+    """A row's place in its epoch, a few digits at a time: those of the seeded hash, the whole of it, then those of a second hash, which
+    parts rows of one id."""
+    return [F.substring(h, 1, 3), F.substring(h, 4, 3), F.col(h), F.substring(tie, 1, 3), F.substring(tie, 4, 3)]
+
+
+def ends(slim: DataFrame, plan: DataFrame, at: tuple[str, ...], most_rows: int) -> tuple[DataFrame, int]:
+    """plan with the digits at which each leaf's prefix ends (cut0, cut1, ...; null: the whole leaf fits), rest less the tokens before
+    them, and how many digits there are.
+
+    Tokens are summed for each value of the leading digits, the value in which the prefix ends is opened by the next
+    ones, and so on until no leaf has more than most_rows rows at its end. A window sees the sums of one leaf's values only.
+    """
+    path = plan
+    keys = _digits("mix_h", "mix_tie")
+    for k, key in enumerate(keys):
+        inside = slim.select(*at, "mix_h", "mix_tie", "mix_tokens").join(path.select(*at, "rest", *[f"cut{i}" for i in range(k)]), [*at])
+        for i in range(k):
+            inside = inside.where(keys[i] == F.col(f"cut{i}"))
+        sums = inside.groupBy(*at, key.alias("digit")).agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows"), F.first("rest").alias("rest"))
+        sums = sums.withColumn("until", F.sum("n").over(Window.partitionBy(*at).orderBy("digit"))).where("until > rest")
+        cut = sums.groupBy(*at).agg(F.min(F.struct("digit", (F.col("until") - F.col("n")).alias("before"), "rows")).alias("cut"))
+        path = path.join(cut, [*at], "left").withColumn("rest", F.col("rest") - F.coalesce("cut.before", F.lit(0))).withColumn(f"cut{k}", F.col("cut.digit")).withColumn("rows", F.col("cut.rows")).drop("cut")
+        path = materialise(path, "mix-ends")
+        if (path.agg(F.max("rows")).first()[0] or 0) <= most_rows:
+            break
+        path = path.drop("rows")
+    return path.drop("rows"), k + 1
+
+
+def mix(docs: DataFrame, paths: dict[str, Column], weights: dict[tuple, float], share: float = 0.6, max_epochs: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, most_rows: int = 1000) -> DataFrame:
     """The columns of docs named in carry (all by default), the tree's levels (named in paths), mix_tokens and mix_copies.
 
-    The total budget is share of all tokens (words). copies is how often a row is taken, 0 to max_epochs. A null level
+    The total budget is share of all tokens (words). mix_copies is how often a row is taken, 0 to max_epochs. A null level
     is the node "(none)"; null and empty texts have no tokens and are taken in whole epochs only, or where the prefix
-    passes their place; rows with equal id are ordered by an inner number; an empty table gives no row.
-    A leaf of any size is ordered in buckets of about bucket_tokens by the leading digits of the seeded hash:
-    totals of buckets are summed, and only the bucket in which a prefix ends is sorted.
+    passes their place; rows with equal or null ids are ordered by a hash of the text and an inner number; an empty table gives no
+    row; columns of docs named as the results (mix_ and a level, mix_tokens, mix_copies) are replaced.
+    A leaf of any size is never sorted: see ends(). Only about most_rows rows at the end of its prefix are.
     """
     levels = tuple(paths)
-    carry = [c for c in (docs.columns if carry is None else carry) if not c.startswith("mix_")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in {f"mix_{level}" for level in levels} | {"mix_tokens", "mix_copies"}]
     text_words = F.size(words(F.col(text_col))).cast("bigint")
-    rows = docs.select(*[F.col(c).alias(f"mix_in_{c}") for c in carry], F.col(id_col).alias("mix_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"mix_level_{k}") for k, c in enumerate(paths.values())], text_words.alias("mix_tokens"), F.monotonically_increasing_id().alias("mix_uid"))
+    inner = {c: f"mix_in_{k}" for k, c in enumerate(carry)}
+    uid = F.monotonically_increasing_id()
+    rows = docs.select(*[F.col(c).alias(n) for c, n in inner.items()], F.col(id_col).cast("string").alias("mix_id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"mix_level_{k}") for k, c in enumerate(paths.values())], text_words.alias("mix_tokens"), uid.alias("mix_uid"), F.lower(F.lpad(F.hex(F.xxhash64(text_col, uid)), 16, "0")).alias("mix_tie"))
     rows = materialise(rows, "mix")
     at = tuple(f"mix_level_{k}" for k in range(len(levels)))
-    leaves = rows.groupBy(*at).agg(F.sum("mix_tokens").alias("tokens")).cache()
-    total = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
-    plan = budgets(leaves, at, weights, total, max_epochs)
-    epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
-    plan = materialise(plan.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).withColumn("buckets", F.ceil(F.greatest("tokens", F.lit(1)) / bucket_tokens)), "mix-plan")
-    leaves.unpersist()
-
-    # the slim rows: everything but the carried columns
-    slim = rows.select("mix_uid", "mix_id", "mix_tokens", *at).join(plan, [*at])
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs") + 1, F.coalesce(F.col("mix_id").cast("string"), F.lit(""))))
-    place = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") * F.col("buckets") / 4294967296)
-    slim = slim.select("mix_uid", "mix_id", "mix_tokens", *at, "epochs", "rest", digest.alias("h"), place.alias("bucket"))
-    sums = slim.groupBy(*at, "bucket").agg(F.sum("mix_tokens").alias("n"), F.first("rest").alias("r"))
-    until = F.sum("n").over(Window.partitionBy(*at).orderBy("bucket"))
-    sums = sums.withColumn("until", until).select(*at, "bucket", (F.col("until") - F.col("n")).alias("before"), F.when(F.col("until") <= F.col("r"), F.lit(1)).when(F.col("until") - F.col("n") > F.col("r"), F.lit(0)).alias("sure"))
-    placed = slim.join(sums, [*at, "bucket"])
-    ends = Window.partitionBy(*at, "bucket").orderBy("h", "mix_id", "mix_uid")
-    sure = placed.where("sure IS NOT NULL").select("mix_uid", (F.col("epochs") + F.col("sure")).cast("bigint").alias("copies"))
-    split = placed.where("sure IS NULL").withColumn("sum", F.col("before") + F.sum("mix_tokens").over(ends)).select("mix_uid", (F.col("epochs") + F.when(F.col("sum") <= F.col("rest"), 1).otherwise(0)).cast("bigint").alias("copies"))
-    taken = sure.union(split).withColumnRenamed("mix_uid", "uid")
-    out = rows.join(taken, rows["mix_uid"] == taken["uid"])
-    return out.select(*[F.col(f"mix_in_{c}").alias(c) for c in carry], *[F.col(a).alias(f"mix_{level}") for a, level in zip(at, levels, strict=True)], "mix_tokens", F.col("copies").alias("mix_copies"))
+    leaves = materialise(rows.groupBy(*at).agg(F.sum("mix_tokens").alias("tokens")), "mix-leaves")
+    n_leaves, tokens = leaves.agg(F.count("*"), F.sum("tokens")).first()
+    plan = budgets(leaves, at, weights, int((tokens or 0) * share), max_epochs)
+    epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("bigint")
+    plan = materialise(plan.withColumn("epochs", epochs).select(*at, "epochs", (F.col("budget") - F.col("epochs") * F.col("tokens")).cast("bigint").alias("rest")), "mix-plan")
+
+    def hashed(frame: DataFrame, table: DataFrame) -> DataFrame:
+        both = frame.join(F.broadcast(table) if n_leaves <= MOST_LEAVES else table, [*at])
+        return both.withColumn("mix_h", F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs") + 1, F.coalesce("mix_id", F.lit("")))))
+
+    slim = rows.select("mix_uid", "mix_id", "mix_tie", "mix_tokens", *at)
+    path, depth = ends(hashed(slim, plan.select(*at, "epochs")), plan, at, most_rows)
+    own, cut = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_digits("mix_h", "mix_tie")[:depth])]), F.struct(*[F.col(f"cut{i}").alias(f"k{i}") for i in range(depth)])
+    last = Window.partitionBy(*at).orderBy("mix_h", "mix_tie", "mix_uid").rowsBetween(Window.unboundedPreceding, 0)
+    at_end = hashed(slim, path).where(F.col("cut0").isNotNull() & (own == cut)).withColumn("fits", F.sum("mix_tokens").over(last) <= F.col("rest")).select(F.col("mix_uid").alias("uid"), "fits")
+    at_end = materialise(at_end, "mix-at-end")
+
+    def taken(frame: DataFrame) -> DataFrame:
+        sure = F.col("cut0").isNull() | (own < cut)
+        both = hashed(frame, path).join(at_end, F.col("mix_uid") == F.col("uid"), "left")
+        return both.withColumn("copies", (F.col("epochs") + F.coalesce("fits", sure).cast("int")).cast("bigint"))
+
+    if n_leaves <= MOST_LEAVES:
+        out = taken(rows)
+    else:  # rows with their texts aren't dealt by leaf
+        out = rows.join(taken(slim).select(F.col("mix_uid").alias("uid"), "copies"), F.col("mix_uid") == F.col("uid"))
+    return out.select(*[F.col(n).alias(c) for c, n in inner.items()], *[F.col(a).alias(f"mix_{level}") for a, level in zip(at, levels, strict=True)], "mix_tokens", F.col("copies").alias("mix_copies"))
 
 
 def tree(docs: DataFrame, source: str = "source", lang: str = "lang") -> dict[str, Column]:
@@ -114,7 +155,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **par
     """The mixture itself: each row of docs as often as mix() takes it; the columns of docs."""
     rows, name, back = plain_names(docs)
     mixed = mix(rows, tree(rows, name["source"], name["lang"]), WEIGHTS, seed=SEED, id_col=name[id_col], text_col=name[text_col], **parameters).where("mix_copies > 0")
-    return back(mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))))
+    return back(mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

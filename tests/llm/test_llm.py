@@ -208,13 +208,25 @@ def test_mixing_budgets_against_waterfilling(spark):
 def test_mixing_buckets_and_gaps(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     run = lambda d, **k: mixing.mix(d, mixing.tree(d), mixing.WEIGHTS, seed=7, carry=["doc_id"], **k)
-    whole, split = ({r["doc_id"]: r["mix_copies"] for r in run(docs, bucket_tokens=n).collect()} for n in (10**9, 300))
-    assert whole == split and max(whole.values()) <= 2
+    whole, split, deep = ({r["doc_id"]: r["mix_copies"] for r in run(docs, most_rows=n).collect()} for n in (10**9, 3, 0))
+    assert whole == split == deep and max(whole.values()) <= 2
     odd = awkward(spark)
     assert run(odd).count() == 12 and run(odd.limit(0)).count() == 0
     assert mixing.apply(odd).columns == odd.columns
 
 
+def test_rows_of_one_id_are_parted(spark, monkeypatch):
+    """A hot id and a hot null id: budgets are met to the row, and what is left to sort stays small."""
+    rows = [(1 if i % 2 else None, f"text {i} " + "w " * (i % 7), "en", "src0") for i in range(3000)] + [(10 + i, f"other {i}", "en", "src1") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = mixing.mix(docs, mixing.tree(docs), {}, share=0.5, seed=3, most_rows=5).toPandas()
+    plain = mixing.mix(docs, mixing.tree(docs), {}, share=0.5, seed=3, most_rows=10**9).toPandas()
+    assert sorted(map(tuple, got.astype(str).values.tolist())) == sorted(map(tuple, plain.astype(str).values.tolist()))
+    total = sum(len(WORDS(r[1])) for r in rows)
+    used = (got.mix_tokens * got.mix_copies).sum()
+    assert 0 <= total * 0.5 - used < 40
+
+
 # 5
 
 
