@@ -16,6 +16,7 @@ from .common import WORD_GAP, documents, materialise, plain_names
 SYMBOLS = "[#*$%&|<>]"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
+SPREAD = 16  # parts of a line's rows; below the least number of rows that a counted line has, so repeats stay fewer than rows
 
 
 def _once(value: Column, use) -> Column:
@@ -101,19 +102,23 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", min
     loses nothing; an empty table gives no row; columns of docs named as the results are replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boilerplate")
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in made and not c.startswith("lakemill")]
-    rows = materialise(statistics(docs.select(*dict.fromkeys([*carry, text_col, host_col])), text_col, host_col).select(*carry, F.col(host_col).alias("lakemill_host"), "lakemill"), "lines")
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
+    inner = {c: f"in_{k}" for k, c in enumerate(carry)}
+    plain = docs.select(*[F.col(c).alias(n) for c, n in inner.items()], F.col(text_col).alias("text"), F.col(host_col).alias("lakemill_host"))
+    rows = materialise(statistics(plain, "text", "lakemill_host").select(*inner.values(), "lakemill_host", "lakemill"), "lines")
     each = rows.select(F.col("lakemill_host").alias("host"), "lakemill.uid", "lakemill.content", F.explode("lakemill.l.lines").alias("line")).select("host", "uid", "content", "line.key", "line.chars")
     sizes = rows.select("lakemill_host", "lakemill.content").distinct().groupBy("lakemill_host").agg(F.count("*").alias("docs"))
     shared = each.select("host", "key", "content").distinct().groupBy("key").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= min_docs)
     above = shared.join(sizes, shared["host"].eqNullSafe(sizes["lakemill_host"])).where(F.col("n") > max_share * F.col("docs")).select("key")
-    lost = each.join(above, "key").groupBy(F.col("uid").alias("lakemill_uid")).agg(F.sum("chars").alias("lakemill_lost"), F.collect_set("key").alias("lakemill_gone"))
+    # a line may stand in a third of all rows: its rows are spread, and its verdict, one row, is repeated for each part
+    above = above.select("key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    lost = each.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int")).join(above, ["key", "salt"]).groupBy(F.col("uid").alias("lakemill_uid")).agg(F.sum("chars").alias("lakemill_lost"), F.collect_set("key").alias("lakemill_gone"))
     joined = rows.join(lost, rows["lakemill.uid"] == lost["lakemill_uid"], "left")
     w = F.col("lakemill.w")
     failed = (w["n_words"] < 20) | (100 * w["n_repeat_words"] > 30 * w["n_words"])
     size = F.aggregate("lakemill.l.lines", F.lit(0).cast("bigint"), lambda a, x: a + x["chars"])
     return joined.select(
-        *carry, w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), "lakemill.n_symbols", "lakemill.l.n_dup_lines", w["n_repeat_words"].alias("n_repeat_words"),
+        *[F.col(n).alias(c) for c, n in inner.items()], w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), "lakemill.n_symbols", "lakemill.l.n_dup_lines", w["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & (F.coalesce("lakemill_lost", F.lit(0)) <= max_lost * size)).alias("kept"), F.coalesce("lakemill_gone", F.expr("cast(array() as array<bigint>)")).alias("boilerplate"),
     )
 
