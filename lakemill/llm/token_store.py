@@ -174,23 +174,27 @@ class TokenStore:
         self.hash = hashlib.sha256(self.dictionary).digest()
 
     @classmethod
-    def write(cls, docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, dictionary_bytes: int = 65_536, level: int = 3, shard_bytes: int = 2_000_000) -> TokenStore:
+    def write(cls, docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, sample_bytes: int = 65_536, dictionary_bytes: int = 65_536, level: int = 3, shard_bytes: int = 2_000_000, part_bytes: int = 134_217_728) -> TokenStore:
         """Encodes, sorts by id and writes.
 
-        The dictionary is trained on about sample_docs documents picked by a hash of the id; that bound is all
-        that the driver ever holds. Null ids sort first; a null text has the end id only; repeated rows stay, in
-        no stated order among themselves; an empty table gives a store without shards; other columns are ignored.
+        The dictionary is trained on about sample_docs documents picked by a hash of the id, the first sample_bytes bytes of the
+        ids of each; twice that product is the most that the driver holds. A task writes about part_bytes bytes of
+        text. Ids are integers (another type raises TypeError); null ids sort first; a null text has the end id only;
+        repeated rows stay, in no stated order among themselves; an empty table gives a store without shards; other columns are
+        ignored.
         """
         spark = docs.sparkSession
+        if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{id_col} has to be an integer column")
         rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        total = rows.count()
+        total, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
         share = min(1_000_000, -(-sample_docs * 1_000_000 // max(1, total)))
         picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def serialise(batches):
             for batch in pieces(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([x + end for x in tokenizer(tokenizer_path).encode(batch.column(1).to_pylist())], pa.binary())], names=["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([(x + end)[:sample_bytes] for x in tokenizer(tokenizer_path).encode(batch.column(1).to_pylist())], pa.binary())], names=["ids"])
 
         samples = [bytes(r["ids"]) for r in picked.mapInArrow(serialise, "ids binary").take(2 * sample_docs)]
         dictionary = train_dictionary(samples, dictionary_bytes)
@@ -224,8 +228,9 @@ class TokenStore:
             if ids:
                 yield flush()
 
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(shards, SHARD).write.parquet(f"{folder}/shards")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // part_bytes))
+        order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # the hash parts rows of one id, or of none
+        rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(shards, SHARD).write.parquet(f"{folder}/shards")
         return cls(spark, folder)
 
     def shards(self) -> DataFrame:
@@ -234,8 +239,8 @@ class TokenStore:
     def read(self, with_ids: bool = False) -> DataFrame:
         """doc_id, start (tokens of all documents before it), n_tokens, ids_crc32 and, if asked for, ids.
 
-        A part is what one writing task wrote; there are as many as shuffle partitions at most, which bounds the
-        broadcast table of their starts.
+        A part is what one writing task wrote: the broadcast table of their starts has a row of 12 bytes for each part_bytes of text
+        (10 MB at 100 TB).
         """
         dictionary, dictionary_hash = self.dictionary, self.hash
 
