@@ -6,9 +6,10 @@ A pair of nodes is dropped if even their nearest points lie too far apart, linke
 enough, and otherwise replaced by the pairs of their children; small pairs are compared point by point. So the
 pairs above the threshold are exact.
 
-A label's vectors are dealt to blocks: the top of the tree is a bounded sample of vectors (pivots), each vector goes
-to the nearest, and large cells are split by a hash of the id. Each block has a tree of its own; pairs of blocks pass
-the same bound before their trees meet. A block pair returns sums and a spanning forest of its links, never the links.
+A label's vectors are dealt to blocks by the upper levels of the tree, which are built on the executors: a node that is too
+large for a block is split among pivots, a bounded sample of its own points. Each block has a tree of its own. Pairs of
+upper nodes pass the same bounds, level by level, until pairs of blocks are left whose trees meet. A block pair returns
+sums and a spanning forest of its links, never the links; neither does a pair that links whole.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import discard, materialise
 from .graph import components
 
 SLACK = 1e-9
 BRUTE = 16_384  # pairs of points that are compared at once
+SPREAD = 8  # parts of the rows of one vector
 
 
 class CoverTree:
@@ -165,49 +167,135 @@ def unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def blocks_of(points: DataFrame, block_rows: int, most_pivots: int) -> DataFrame:
-    """(label, dim, id, cell, part) of the points: their block. Only the pivots reach the driver."""
-    n = points.count()
-    share = min(1_000_000, -(-min(most_pivots, -(-n // block_rows)) * 1_000_000 // max(1, n)))
-    picked = points.where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1_000_000)) < share).select("label", "dim", "vector").take(most_pivots)
-    pivots: dict = {}
-    for k, r in enumerate(picked):
-        pivots.setdefault((r["label"], r["dim"]), []).append((k, r["vector"]))
-    ready = {key: (np.array([k for k, _ in v]), unit([x for _, x in v])) for key, v in pivots.items()}
-
-    def run(batches):
-        for batch in pieces(batches):
-            labels, dims, vectors = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            cells = np.full(batch.num_rows, -1, dtype=np.int64)
-            rows: dict = {}
-            for i, key in enumerate(zip(labels, dims, strict=True)):
-                rows.setdefault(key, []).append(i)
-            for key, own in rows.items():
-                if key in ready:
-                    numbers, at = ready[key]
-                    cells[own] = numbers[(unit([vectors[i] for i in own]) @ at.T).argmax(axis=1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
-
-    kinds = dict(points.dtypes)
-    celled = points.select("label", "dim", "id", "vector", "times").mapInArrow(run, f"label {kinds['label']}, dim int, id bigint, vector {kinds['vector']}, times bigint, cell bigint")
-    celled = materialise(celled, "cells")
-    sizes = celled.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    return celled.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+#: The key of a node of a label's tree. A node's name is its parent's, a dot and its place there.
+NODE = ["label", "dim", "node"]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, block_rows: int = 2048, most_pivots: int = 1024) -> DataFrame:
+def deal(points: DataFrame, block_rows: int, fan: int, part_rows: int) -> DataFrame:
+    """points with the leaf (block) of the upper tree that holds each: nodes of more than block_rows points are split among up to fan
+    pivots, a bounded sample of their own points, each point going to the nearest, level by level on the executors."""
+    kinds = dict(points.dtypes)
+    schema = f"label {kinds['label']}, dim int, node string, pid bigint, vector {kinds['vector']}, times bigint"
+
+    def split(key, rows, pivots):
+        near = (unit(rows.column("vector").to_pylist()) @ unit(pivots.column("vector").to_pylist()).T).argmax(axis=1)
+        names = pa.array([f"{key[2].as_py()}.{k}" for k in near.tolist()], pa.string())
+        return pa.table({"label": rows.column("label"), "dim": rows.column("dim"), "node": names, "pid": rows.column("pid"), "vector": rows.column("vector"), "times": rows.column("times")})
+
+    level = points.select("label", "dim", F.lit("0").alias("node"), "pid", "vector", "times")
+    done, salt = None, 0
+    while True:
+        sizes = materialise(level.groupBy(*NODE).agg(F.count("*").alias("n")).where(F.col("n") > block_rows), "sizes")
+        leaves = level.join(sizes, NODE, "left_anti")
+        done = leaves if done is None else done.union(leaves)
+        if sizes.isEmpty():
+            return done
+        large = level.join(sizes, NODE)
+        children = F.least(F.lit(fan), F.ceil(2 * F.col("n") / block_rows)).cast("int")
+        drawn = F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(1_000_000)) < F.ceil(4 * (children + 4) * 1_000_000 / F.col("n"))
+        chosen = large.where(drawn).groupBy(*NODE, "n").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("pid", F.lit(salt)).alias("h"), "vector"))), 1, fan).alias("p"))
+        chosen = chosen.select(*NODE, "n", F.explode(F.slice("p", F.lit(1), children)).alias("p"))
+        parts = F.ceil(F.col("n") / part_rows).cast("int")
+        pivots = materialise(chosen.select(*NODE, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("p.vector").alias("vector")), "pivots")
+        dealt = large.withColumn("part", F.pmod(F.xxhash64("pid"), parts).cast("int")).drop("n")
+        keys = [*NODE, "part"]
+        level = materialise(dealt.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(lambda key, a, b: split(key, a, b) if b.num_rows else pa.table({n: a.column(n) for n in (*NODE, "pid", "vector", "times")}), schema), "level")
+        salt += 1
+
+
+META = "parent string, node string, center array<double>, radius double, times bigint, rep bigint, leaf boolean"
+
+
+def upper_tree(blocks: DataFrame) -> DataFrame:
+    """All nodes, from the blocks upwards: a node's center is the mean of its children's, and its radius reaches beyond the farthest of theirs."""
+    kinds = dict(blocks.dtypes)
+    schema = f"label {kinds['label']}, dim int, {META}"
+
+    def gather(key, rows):
+        centers, radii = np.array(rows.column("center").to_pylist()), rows.column("radius").to_numpy()
+        center = centers.mean(axis=0)
+        center /= max(1e-300, float(np.sqrt((center * center).sum())))
+        name = key[2].as_py()
+        reach = float((distances(centers, center[None, :])[:, 0] + radii).max()) + SLACK
+        return pa.table({"label": rows.column("label")[:1], "dim": rows.column("dim")[:1], "parent": pa.array([name.rpartition(".")[0]], pa.string()), "node": [name], "center": pa.array([center.tolist()], pa.list_(pa.float64())), "radius": [reach], "times": pa.array([sum(rows.column("times").to_pylist())], pa.int64()), "rep": pa.array([min(rows.column("rep").to_pylist())], pa.int64()), "leaf": [False]})
+
+    nodes = blocks.select("label", "dim", F.regexp_replace("node", r"(^|\.)[^.]*$", "").alias("parent"), "node", "center", "radius", "times", "rep", F.lit(True).alias("leaf"))
+    deep = nodes.agg(F.max(F.size(F.split("node", r"\.")))).first()[0] or 0
+    for depth in range(deep - 1, 0, -1):  # the parents that stand at this depth
+        made = nodes.where(F.size(F.split("node", r"\.")) == depth + 1).groupBy("label", "dim", "parent").applyInArrow(gather, schema)
+        nodes = materialise(nodes.union(made), "nodes")
+    return nodes
+
+
+def descend_pairs(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (label, dim, a, b) of nodes, from the roots downwards: of blocks whose points have to be compared, and of nodes whose points
+    all link with each other. A pair is dropped where even the nearest points lie too far apart, and else
+    replaced by those of the children; a node meets itself, too, and no pair comes twice."""
+    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * least)))
+    nodes = materialise(nodes.select("label", "dim", "parent", "node", "center", "radius", "leaf"), "tree")
+    side = lambda s: nodes.select("label", "dim", F.col("parent").alias(f"parent_{s}"), F.col("node").alias(s), F.col("center").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.col("leaf").alias(f"leaf_{s}"))
+    apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    spread = F.col("ra") + F.col("rb")
+    whole = apart + spread <= reach - SLACK
+    verdict = F.when(apart > spread + reach + SLACK, "far").when(whole, "whole").when(F.col("leaf_a") & F.col("leaf_b"), "meet").otherwise("open")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        got = pairs.withColumn("verdict", F.when(F.col("a") == F.col("b"), F.when(2 * F.col("ra") <= reach - SLACK, "whole").when(F.col("leaf_a"), "meet").otherwise("open")).otherwise(verdict))
+        return materialise(got.where("verdict <> 'far'").select("label", "dim", "a", "b", "leaf_a", "leaf_b", "verdict"), "pairs")
+
+    roots = nodes.where("parent = ''")
+    first = roots.select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b"), F.col("center").alias("ca"), F.col("center").alias("cb"), F.col("radius").alias("ra"), F.col("radius").alias("rb"), F.col("leaf").alias("leaf_a"), F.col("leaf").alias("leaf_b"))
+    now, found = judged(first), []
+    while True:
+        found.append(now.where("verdict <> 'open'").select("label", "dim", "a", "b", "verdict"))
+        opened = now.where("verdict = 'open'")
+        if opened.isEmpty():
+            break
+        # a side that is a block already stays; the other one is replaced by its children
+        up = lambda s: nodes.where("parent <> ''").select("label", "dim", F.col("parent").alias(f"old_{s}"), F.col("node").alias(s)).union(nodes.where("leaf").select("label", "dim", F.col("node").alias(f"old_{s}"), F.col("node").alias(s)))
+        wide = opened.select("label", "dim", F.col("a").alias("old_a"), F.col("b").alias("old_b")).join(up("a"), ["label", "dim", "old_a"]).join(up("b"), ["label", "dim", "old_b"])
+        wide = wide.where((F.col("old_a") != F.col("old_b")) | (F.col("a") <= F.col("b"))).select("label", "dim", "a", "b")
+        now = judged(wide.join(side("a").drop("parent_a"), ["label", "dim", "a"]).join(side("b").drop("parent_b"), ["label", "dim", "b"]))
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    pairs = every.select("label", "dim", "a", "b", "verdict")
+    return pairs.where("verdict = 'meet'").drop("verdict"), pairs.where("verdict = 'whole'").drop("verdict")
+
+
+def whole_links(whole: DataFrame, nodes: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What pairs of nodes that link whole mean for points: (pid, links), and ties (u, v) that connect what they connect."""
+    facts = nodes.select("label", "dim", F.col("node").alias("b"), F.col("times").alias("gain"), F.col("rep").alias("v"))
+    both = whole.select("label", "dim", F.col("a").alias("node"), "b").union(whole.where("a <> b").select("label", "dim", F.col("b").alias("node"), F.col("a").alias("b")))
+    own = F.col("node") == F.col("b")
+    per_node = both.join(facts, ["label", "dim", "b"]).groupBy(*NODE).agg(F.sum("gain").alias("gain"), F.max(own).alias("itself"), F.min("v").alias("v"), F.collect_set("v").alias("vs"))
+    leaves = nodes.where("leaf").select("label", "dim", F.col("node").alias("block"))
+    steps = F.split("block", r"\.")
+    above = leaves.select("label", "dim", "block", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "."))).alias("node"))
+    of_block = materialise(above.join(per_node, NODE).groupBy("label", "dim", "block").agg(F.sum("gain").alias("gain"), F.sum(F.col("itself").cast("int")).alias("itself"), F.min("v").alias("v")), "whole")
+    spread = places.join(of_block.withColumnRenamed("block", "node"), NODE)
+    links = spread.select("pid", (F.col("gain") - F.col("itself") * F.col("times")).alias("links"))
+    ties = spread.select(F.col("pid").alias("u"), "v")
+    # the smallest partner ties a node's points to each other; its other partners are tied to that one
+    return links, ties.union(per_node.select(F.col("v").alias("u"), F.explode("vs").alias("v")))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, block_rows: int = 2048, fan: int = 32, part_rows: int = 50_000) -> DataFrame:
     """id_col, n_links, component_id and kept of each row.
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is least or more. Vectors
     that are null, zero, hold null or non-finite components, or have a null id link with nothing, as do vectors
-    of different lengths. n_links counts the ids linked directly, component_id is the smallest id that links reach
-    (itself included; null for a null id) and kept says whether that is the row's own. Equal vectors of a label are
-    one point with a count; repeated rows are one vector; an empty table gives no row; other columns are ignored.
+    of different lengths. A row with the id, label and vector of another is the same vector; one that has the id
+    only is another vector, even under the same label. n_links counts the other vectors linked directly,
+    component_id is the smallest id that links reach (itself included; null for a null id) and kept says whether that is the
+    row's own. An empty table gives no row; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
-    good = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & valid(F.col("vector")))
-    points = good.groupBy("label", "vector").agg(F.min("id").alias("point"), F.count_distinct("id").alias("times"))
-    points = materialise(points.select("label", F.size("vector").alias("dim"), F.col("point").alias("id"), "vector", "times"), "points")
+    rows = rows.withColumn("good", F.col("id").isNotNull() & F.col("label").isNotNull() & valid(F.col("vector")))
+    # two hashes name a vector under its label
+    names = [F.xxhash64("label", "vector").alias("h1"), F.xxhash64(F.lit(1), "vector", "label").alias("h2")]
+    points = rows.where("good").select("id", "label", "vector", *names).groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("id").alias("least_id"), F.count_distinct("id").alias("times"))
+    points = materialise(points.select("label", F.size("vector").alias("dim"), F.monotonically_increasing_id().alias("pid"), "vector", "times", "least_id", "h1", "h2"), "points")
     kinds = dict(points.dtypes)
 
     def pack(key, table):
@@ -215,22 +303,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         tree = CoverTree(x)
         center = x.mean(axis=0)
         center /= max(1e-300, float(np.sqrt((center * center).sum())))
-        spread = float(distances(x, center[None, :]).max())
-        body = pickle.dumps((tree, np.array(table.column("id").to_pylist())[tree.order], np.array(table.column("times").to_pylist())[tree.order]))
-        return pa.table({"label": pa.array([key[0].as_py()], table.schema.field("label").type), "dim": pa.array([key[1].as_py()], pa.int32()), "name": [f"{key[2].as_py()}:{key[3].as_py()}"], "center": pa.array([center.tolist()], pa.list_(pa.float64())), "spread": [spread], "body": pa.array([body], pa.binary())})
-
-    dealt = blocks_of(points, block_rows, most_pivots)
-    blocks = materialise(dealt.groupBy("label", "dim", "cell", "part").applyInArrow(pack, f"label {kinds['label']}, dim int, name string, center array<double>, spread double, body binary"), "blocks")
+        pids, times = np.array(table.column("pid").to_pylist()), np.array(table.column("times").to_pylist())
+        body = pickle.dumps((tree, pids[tree.order], times[tree.order]))
+        return pa.table({"label": table.column("label")[:1], "dim": table.column("dim")[:1], "node": [key[2].as_py()], "center": pa.array([center.tolist()], pa.list_(pa.float64())), "radius": [float(distances(x, center[None, :]).max())], "times": [int(times.sum())], "rep": [int(pids.min())], "body": pa.array([body], pa.binary())})
 
-    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * least)))
-    meta = blocks.select("label", "dim", "name", "center", "spread")
-    other = meta.select("label", "dim", F.col("name").alias("b"), F.col("center").alias("c2"), F.col("spread").alias("s2"))
-    apart = F.aggregate(F.zip_with("center", "c2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = meta.join(other, ["label", "dim"]).where((F.col("name") <= F.col("b")) & (F.sqrt(apart) <= F.col("spread") + F.col("s2") + reach + SLACK))
-    sides = pairs.select("label", "dim", F.col("name").alias("a"), "b", F.explode(F.array_distinct(F.array("name", "b"))).alias("name"))
+    dealt = materialise(deal(points, block_rows, fan, part_rows), "dealt")
+    blocks = materialise(dealt.groupBy(*NODE).applyInArrow(pack, f"label {kinds['label']}, dim int, node string, center array<double>, radius double, times bigint, rep bigint, body binary"), "blocks")
+    nodes = upper_tree(blocks)
+    pairs, whole = descend_pairs(nodes, least)
+    sides = pairs.select("label", "dim", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
 
     def meet(key, table):
-        bodies = dict(zip(table.column("name").to_pylist(), table.column("body").to_pylist(), strict=True))
+        bodies = dict(zip(table.column("node").to_pylist(), table.column("body").to_pylist(), strict=True))
         first, second = key[2].as_py(), key[3].as_py()
         a, ids_a, times_a = pickle.loads(bodies[first])
         same = first == second
@@ -251,17 +335,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         ids, links = (ids_a, links_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([links_a, links_b]))
         roots = ids[forest.find(np.arange(len(ids)))]
         some = (links > 0) | (roots != ids)
-        return pa.table({"id": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "root": pa.array(roots[some], pa.int64())})
+        return pa.table({"pid": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "root": pa.array(roots[some], pa.int64())})
 
-    met = sides.join(blocks.select("label", "dim", "name", "body"), ["label", "dim", "name"]).groupBy("label", "dim", "a", "b").applyInArrow(meet, "id bigint, links bigint, root bigint")
+    met = sides.join(blocks.select(*NODE, "body"), NODE).groupBy("label", "dim", "a", "b").applyInArrow(meet, "pid bigint, links bigint, root bigint")
     met = materialise(met, "met")
-    roots = components(met.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("point"), "root")
-    sums = met.groupBy(F.col("id").alias("point")).agg(F.sum("links").alias("links"))
-    of_point = points.select("label", "vector", "times", F.col("id").alias("point")).join(sums, "point", "left").join(roots, "point", "left")
-    of_point = of_point.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("root", "point").alias("root"))
-    joined = rows.withColumn("good", F.col("id").isNotNull() & F.col("label").isNotNull() & valid(F.col("vector"))).join(of_point, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")) & F.col("good"), "left")
-    component = F.coalesce("root", "id")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    gains, ties = met.select("pid", "links"), met.select(F.col("pid").alias("u"), F.col("root").alias("v"))
+    if not whole.isEmpty():
+        more, others = whole_links(whole, nodes, dealt.select(*NODE, "pid", "times"))
+        gains, ties = gains.union(more), ties.union(others)
+    roots = components(ties).select(F.col("node").alias("pid"), "root")
+    sums = gains.groupBy("pid").agg(F.sum("links").alias("links"))
+    slim = points.select("pid", "least_id", "times", "h1", "h2").join(sums, "pid", "left").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid"))
+    slim = materialise(slim.select("h1", "h2", "least_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), "root"), "linked")
+    discard(dealt, blocks, met)
+    firsts = slim.groupBy("root").agg(F.min("least_id").alias("component"))
+    # copies of one vector may be a third of all rows: they are spread, and their point's row is repeated for each part
+    of_point = slim.join(firsts, "root").select("h1", "h2", "links", "component", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    joined = rows.where("good").select("id", *names, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int").alias("part")).join(of_point, ["h1", "h2", "part"])
+    result = joined.select("id", "links", "component").union(rows.where("NOT good").select("id", F.lit(0).alias("links"), F.col("id").alias("component")))
+    return result.select(F.col("id").alias(id_col), F.col("links").cast("bigint").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,8 +125,8 @@ def test_cover_tree_against_all_pairs(spark):
     rows = [(i, x, i % 3) for i, x in enumerate(v)] + [(1000 + i, v[i], i % 3) for i in range(20)] + [(2000, v[0], None), (2001, None, 1), (2002, [0.0] * 16, 1), (2003, [float("nan")] * 16, 1), (2004, [None] * 16, 1), (2005, [float("inf")] * 16, 1), (2006, v[3][:8], 0), (None, v[0], 0), (5, v[5], 2)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, label int, vector string").withColumn("id", F.lit(1))
     want = brute_links(rows)
-    for size in (2048, 40):
-        got = cover_tree.near_duplicates(df, block_rows=size).collect()
+    for size, fan in ((2048, 32), (40, 32), (10, 2)):
+        got = cover_tree.near_duplicates(df, block_rows=size, fan=fan, part_rows=30).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r["n_links"], r["component_id"]) == want[r["vec_id"]], r
@@ -135,6 +135,34 @@ def test_cover_tree_against_all_pairs(spark):
     assert cover_tree.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_under_two_labels(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (1, [0.0, 1.0], 1), (3, [5.0, 5.0], 1), (1, [1.0, 0.0], 0), (1, [-1.0, 0.0], 0)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 0, 1, True), (3, 0, 3, True), (1, 1, 1, True), (1, 0, 1, True)])
+
+
+def test_pairs_of_blocks_grow_with_the_input_only(spark):
+    """Planted clusters, one of them a third of all vectors and tighter than the threshold: what the upper tree compares stays near linear."""
+    counts = {}
+    for n in (600, 2400):
+        rng = np.random.default_rng(5)
+        base = rng.normal(size=(n // 100, 24))
+        x = [base[i % len(base)] + rng.normal(scale=0.01, size=24) if i % 3 else base[0] + rng.normal(scale=0.002, size=24) for i in range(n)]
+        df = spark.createDataFrame([(i, 0, 24, [float(v) for v in row], 1) for i, row in enumerate(x)], "pid bigint, label int, dim int, vector array<double>, times bigint")
+        dealt = cover_tree.deal(df, 40, 8, 1000).toPandas()
+        blocks = []
+        for name, own in dealt.groupby("node"):
+            u = cover_tree.unit(own.vector.tolist())
+            center = u.mean(axis=0) / np.sqrt((u.mean(axis=0) ** 2).sum())
+            blocks.append((0, 24, name, center.tolist(), float(cover_tree.distances(u, center[None, :]).max()), len(own), int(own.pid.min())))
+            assert len(own) <= 40
+        nodes = cover_tree.upper_tree(spark.createDataFrame(blocks, "label int, dim int, node string, center array<double>, radius double, times bigint, rep bigint"))
+        meet, whole = cover_tree.descend_pairs(nodes, 0.98)
+        counts[n] = (meet.count() + whole.count(), len(blocks))
+    (few, b1), (many, b2) = counts[600], counts[2400]
+    assert many < 8 * few and many < b2 * b2 / 12, counts
+
+
 def test_cover_tree_invariants():
     x = cover_tree.unit(clusters(200, 3))
     tree = cover_tree.CoverTree(x)
