@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: Where set, Spark deletes the exchange files of an action when it ends; the tables that materialise() writes need none of them.
 FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -50,16 +51,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}{_scratch.get()}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends, no executor is needed."""
+def materialise(df: DataFrame, name: str, path: str | None = None, advisory: str | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends, no executor is needed. advisory is the
+    size of a partition at which AQE splits and joins them, where the session's own doesn't suit."""
     spark = df.sparkSession
     path = path or new_folder(spark, name)
-    before = spark.conf.get(FREES, None)
-    spark.conf.set(FREES, "true")
+    wanted = {FREES: "true"} | ({ADVISORY: advisory} if advisory else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(FREES) if before is None else spark.conf.set(FREES, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

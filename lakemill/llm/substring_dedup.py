@@ -5,7 +5,7 @@ repeat a window is indexed: a window can repeat only if its anchor, its 5-word r
 different texts (equal windows have equal anchors). Neighbouring suffixes of that kind are kept together as a fragment of the text
 until the suffixes are dealt.
 
-Suffixes are dealt to groups by prefixes of variable length. Suffixes are counted for each two-word prefix; the prefixes
+Suffixes are dealt to groups by prefixes of variable length. Suffixes are counted for each three-word prefix; the prefixes
 of more suffixes than a group may hold are lengthened and counted again, until each group fits (LEVELS). Only
 a prefix that is a whole window can stay too large: then all its suffixes are leaves of one node, and
 that node's smallest document comes from partial minima (crowded), not from a tree.
@@ -33,8 +33,10 @@ from .common import discard, documents, materialise, pieces
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 GRAM = 5  # words of an anchor
-STEP = 4  # suffixes are cut STEP - 1 words beyond a window
-LEVELS = (2, 3, 5, 8)  # words of the prefixes that are tried before the whole window
+STEP = 3  # suffixes are cut STEP - 1 words beyond a window
+LEVELS = (3, 5, 8)  # words of the prefixes that are tried before the whole window
+MOST_SENT = 100_000  # heavy prefixes of a length that are sent along with a task, to drop others early
+SPREAD = 8  # parts of the copies of one text
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +92,10 @@ def copies(rows: DataFrame) -> DataFrame:
     """(doc, c) of the texts that stand whole under a smaller id, too."""
     slim = rows.select("doc", "c", F.length("text").alias("n"))
     firsts = slim.groupBy("c", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").select("c", "n", "first")
-    return materialise(slim.join(firsts, ["c", "n"]).where("doc > first").select("doc", "c").distinct(), "copies")
+    # a group of copies may be a third of all rows
+    firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)).cast("int"))
+    return materialise(slim.join(firsts, ["c", "n", "part"]).where("doc > first").select("doc", "c").distinct(), "copies")
 
 
 def anchor_table(rows: DataFrame, window: int) -> DataFrame:
@@ -131,6 +136,8 @@ def notes(rows: DataFrame, table: DataFrame, whole: DataFrame) -> DataFrame:
     return out
 
 
+#: Where a suffix stands.
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("place", "<i4")])
 FRAGMENT = "doc bigint, tag bigint, at int, lead int, n int, anchor bigint, words string"
 
 
@@ -158,7 +165,7 @@ def fragments(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc", "tag", "at", "lead", "n", "anchor", "words"])
 
     marked = rows.join(noted.where("NOT copy AND marks IS NOT NULL").select("doc", "c", "tag", "marks"), ["doc", "c"])
-    return materialise(marked.select("doc", "tag", "text", "marks").mapInArrow(run, FRAGMENT).hint("rebalance", "anchor"), "fragments")
+    return materialise(marked.select("doc", "tag", "text", "marks").mapInArrow(run, FRAGMENT).hint("rebalance", "anchor"), "fragments", advisory="16m")
 
 
 def prefix_hashes(batch: pa.RecordBatch, lengths: list[int]) -> tuple[list[list[str]], np.ndarray, list[np.ndarray]]:
@@ -188,10 +195,15 @@ def heavy_prefixes(frags: DataFrame, window: int, most: int) -> tuple[DataFrame
     heavy, last = None, None
     for k, length in enumerate(levels):
 
-        def count(batches, lengths=levels[max(0, k - 1) : k + 1]):
+        known = np.array([r["prefix"] for r in last.limit(MOST_SENT + 1).collect()], dtype=np.int64) if last is not None else []
+
+        def count(batches, lengths=levels[max(0, k - 1) : k + 1], known=known if 0 < len(known) <= MOST_SENT else None):
             for batch in pieces(batches, 8_000_000):
                 if batch.num_rows:
                     hashes = prefix_hashes(batch, lengths)[2]
+                    if known is not None:
+                        some = np.isin(hashes[0], known)
+                        hashes = [h[some] for h in hashes]
                     long, at, n = np.unique(hashes[-1], return_index=True, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[0][at]), pa.array(long), pa.array(n)], names=["short", "long", "n"])
 
@@ -207,7 +219,7 @@ def heavy_prefixes(frags: DataFrame, window: int, most: int) -> tuple[DataFrame
 
 def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
     """A row for each distinct suffix, with the word before it, of a piece of input: the hashes of its prefixes of the given lengths, its
-    words, and the documents, tags and places where it stands."""
+    words, and its PLACEs."""
     names = [f"h{n}" for n in lengths]
     reach = window + STEP - 1
 
@@ -216,30 +228,33 @@ def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
             if not batch.num_rows:
                 continue
             words, spots, hashes = prefix_hashes(batch, lengths)
-            where: dict[str, list[int]] = {}
-            firsts, at = [], 0
+            where: dict[str, int] = {}
+            of: list[int] = []  # the number of each place's suffix
             for w, lead, n in zip(words, batch.column("lead").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 if not lead:
                     w = ["", *w]  # a text's first suffix has no word before it
-                for p in range(n):
-                    key = " ".join(w[p : p + 1 + reach])
-                    own = where.get(key)
-                    if own is None:
-                        where[key] = own = []
-                        firsts.append(at)
-                    own.append(at)
-                    at += 1
+                of += [where.setdefault(" ".join(w[p : p + 1 + reach]), len(where)) for p in range(n)]
             n = batch.column("n").to_numpy()
-            of = np.repeat(np.arange(len(n)), n)
-            docs, tags = (batch.column(c).to_numpy()[of].astype("<i8") for c in ("doc", "tag"))
-            places = (batch.column("at").to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype("<i4")
-            members, keys = list(where.values()), list(where)
+            places = np.zeros(len(of), dtype=PLACE)
+            places["doc"], places["tag"] = np.repeat(batch.column("doc").to_numpy(), n), np.repeat(batch.column("tag").to_numpy(), n)
+            places["place"] = np.repeat(batch.column("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(of))
+            # in order of their words, suffixes of one group lie side by side and compress well
+            keys = np.array([*where], dtype=object)
+            rank = np.argsort([k.partition(" ")[2] for k in keys])
+            number = np.empty(len(keys), dtype=np.int64)
+            number[rank] = np.arange(len(keys))
+            at = number[of]
+            order = np.argsort(at, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(keys)))])
+            firsts, keys, places = order[ends[:-1]], keys[rank], places[order]
             for k in range(0, len(keys), 20_000):
                 part = slice(k, k + 20_000)
-                packed = [pa.array([x[own].tobytes() for own in members[part]], pa.binary()) for x in (docs, tags, places)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(h[firsts[part]]) for h in hashes), pa.array(keys[part], pa.string()), *packed], names=[*names, "suffix", "docs", "tags", "places"])
+                offsets = ends[k : k + 20_001]
+                data = places[offsets[0] : offsets[-1]].tobytes()
+                packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(((offsets - offsets[0]) * PLACE.itemsize).astype("<i4").tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(h[firsts[part]]) for h in hashes), pa.array(keys[part], pa.string()), packed], names=[*names, "suffix", "places"])
 
-    return frags.mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", suffix string, docs binary, tags binary, places binary")
+    return frags.mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", suffix string, places binary")
 
 
 class SuffixTree:
@@ -270,16 +285,15 @@ class Numbers(dict):
 
 def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     """For each occurrence (owner: its suffix, docs: its document) how many words from there on are to be removed (0: none)."""
-    number, m, reach = Numbers(), len(keys), window + STEP - 1
-    codes = np.repeat(-1 - np.arange(m)[:, None], reach, axis=1)  # where a suffix has ended, it is like no other
-    left = -1 - np.arange(m)  # so is the word before a text
-    ahead = np.zeros(m, dtype=np.int64)
-    for r, key in enumerate(keys):
-        first, *rest = key.split(" ")
-        ahead[r] = len(rest)
-        codes[r, : len(rest)] = [number[w] for w in rest]
-        if first:
-            left[r] = number[first]
+    m, reach = len(keys), window + STEP - 1
+    number = Numbers({"": -1})
+    sizes = np.fromiter((k.count(" ") for k in keys), dtype=np.int64, count=m)  # words without the one before
+    flat = np.fromiter(map(number.__getitem__, " ".join(keys).split(" ")), dtype=np.int64)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    left = flat[begins]
+    left = np.where(left < 0, -1 - np.arange(m), left)  # the word before a text is like no other,
+    codes = np.repeat(-1 - np.arange(m)[:, None], reach, axis=1)  # and so is what follows where a suffix has ended
+    codes[np.arange(reach)[None, :] < sizes[:, None]] = np.delete(flat, begins)
     tree = SuffixTree(codes)
     out = np.zeros(len(docs), dtype=np.int64)
     for d in range(window, reach + 1):
@@ -292,7 +306,7 @@ def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.nd
         np.minimum.at(low, node, left)
         np.maximum.at(high, node, left)
         maximal = (low != high) | (low < 0)
-        hit = (docs > least[of]) & (ahead[owner] >= d)
+        hit = (docs > least[of]) & (sizes[owner] >= d)
         out[hit] = np.where(maximal[of[hit]] | (places[hit] % STEP == 0), d, 0)  # the deepest node counts
     return out
 
@@ -300,17 +314,20 @@ def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.nd
 HITS = "doc bigint, tag bigint, place int, length int"
 
 
-def opened(batch: pa.RecordBatch | pa.Table, *columns: str) -> list[np.ndarray]:
-    """How many places each row has, and the packed columns, opened."""
-    raw = [batch.column(n).to_pylist() for n in columns]
-    kinds = {"docs": "<i8", "tags": "<i8", "places": "<i4"}
-    times = np.array([len(x) // 8 for x in raw[0]], dtype=np.int64)
-    return [times, *(np.frombuffer(b"".join(x), dtype=kinds[n]).astype(np.int64) for n, x in zip(columns, raw, strict=True))]
+def opened(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many places each row of a packed column has, and all of them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype="<i4")[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype="<i4")
+    places = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(PLACE) if ends[-1] > ends[0] else np.zeros(0, dtype=PLACE)
+    return np.diff(ends) // PLACE.itemsize, places
 
 
-def hits(docs: np.ndarray, tags: np.ndarray, places: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+def hits(places: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
     some = length > 0
-    return pa.RecordBatch.from_arrays([pa.array(docs[some]), pa.array(tags[some]), pa.array(places[some], pa.int32()), pa.array(length[some], pa.int32())], names=["doc", "tag", "place", "length"])
+    own = places[some]
+    return pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(own["tag"]), pa.array(own["place"]), pa.array(length[some], pa.int32())], names=["doc", "tag", "place", "length"])
 
 
 def crowded(found: DataFrame, window: int) -> DataFrame:
@@ -319,7 +336,7 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
 
     def cut(batches):
         for batch in pieces(batches, 2_000_000):
-            times, docs = opened(batch, "docs")
+            times, places = opened(batch.column("places"))
             if not len(times):
                 continue
             nodes, length, rows = [], [], []
@@ -330,19 +347,19 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
                     length.append(d)
                     rows.append(r)
             begins = np.cumsum(times) - times
-            low, high = np.minimum.reduceat(docs, begins)[rows], np.maximum.reduceat(docs, begins)[rows]
-            packed = [batch.column(n).take(pa.array(rows, pa.int64())) for n in ("docs", "tags", "places")]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(length, pa.int32()), pa.array(low), pa.array(high), *packed], names=["node", "length", "low", "high", "docs", "tags", "places"])
+            low, high = np.minimum.reduceat(places["doc"], begins)[rows], np.maximum.reduceat(places["doc"], begins)[rows]
+            packed = batch.column("places").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(length, pa.int32()), pa.array(low), pa.array(high), packed], names=["node", "length", "low", "high", "places"])
 
     def mark(batches):
         for batch in pieces(batches, 4_000_000):
-            times, docs, tags, places = opened(batch, "docs", "tags", "places")
+            times, places = opened(batch.column("places"))
             least, length = (np.repeat(batch.column(n).to_numpy(), times) for n in ("least", "length"))
-            yield hits(docs, tags, places, np.where(docs > least, length, 0))
+            yield hits(places, np.where(places["doc"] > least, length, 0))
 
-    each = found.select("suffix", "docs", "tags", "places").mapInArrow(cut, "node string, length int, low bigint, high bigint, docs binary, tags binary, places binary")
+    each = found.select("suffix", "places").mapInArrow(cut, "node string, length int, low bigint, high bigint, places binary")
     least = materialise(each.groupBy("node").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("node", "least"), "least")
-    return each.join(least, "node").select("length", "least", "docs", "tags", "places").mapInArrow(mark, HITS)
+    return each.join(least, "node").select("length", "least", "places").mapInArrow(mark, HITS)
 
 
 def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
@@ -350,8 +367,8 @@ def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
 
     def solve(held: list) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        times, docs, tags, places = opened(table, "docs", "tags", "places")
-        return hits(docs, tags, places, repeated(table.column("suffix").to_pylist(), np.repeat(np.arange(len(times)), times), docs, places, window))
+        times, places = opened(table.column("places"))
+        return hits(places, repeated(table.column("suffix").to_pylist(), np.repeat(np.arange(len(times)), times), places["doc"], places["place"], window))
 
     def run(batches):
         held, rows, last = [], 0, None
@@ -388,8 +405,7 @@ def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
         found = found.withColumn("group", group)
         if lengths[-1] == window:
             full = crowded(found.where("group IS NULL"), window)
-    packed = ("suffix", "docs", "tags", "places")
-    grouped = found.where("group IS NOT NULL").select("group", *packed).repartition(n, "group").sortWithinPartitions("group")
+    grouped = found.where("group IS NOT NULL").select("group", "suffix", "places").repartition(n, "group").sortWithinPartitions("group")
     out = grouped.mapInArrow(run, HITS)
     if full is not None:
         out = out.union(full)
