@@ -74,7 +74,7 @@ MOST_LEAVES = 100_000
 def _digits(h: str, tie: str) -> list[Column]:
     """A row's place in its epoch, a few digits at a time: those of the seeded hash, the whole of it, then those of a second hash, which
     parts rows of one id."""
-    return [F.substring(h, 1, 3), F.substring(h, 4, 3), F.col(h), F.substring(tie, 1, 3), F.substring(tie, 4, 3)]
+    return [F.substring(h, 1, 2), F.substring(h, 3, 2), F.substring(h, 5, 2), F.col(h), F.substring(tie, 1, 2), F.substring(tie, 3, 2), F.substring(tie, 5, 2)]
 
 
 def ends(slim: DataFrame, plan: DataFrame, at: tuple[str, ...], most_rows: int) -> tuple[DataFrame, int]:
