@@ -10,6 +10,10 @@ A segment is a word of the perfect binary [23,12] Golay code's space, so it deco
 segments differ in one bit, the codeword of the one is among those that the other's one-bit neighbours decode to: up
 to six indices. One bit off also means opposite parity, so one side gives its own index and the other side the
 several. Rows that share a key are joined, and the join's condition verifies the distance.
+
+near_copies() looks for texts by the similarity of their shingles. A fingerprint of a whole text tells texts of 0.8 hardly from
+others (ten of its bits differ), so each text has several more, each of a small sample of its shingles. Their segments decode to
+codeword indices, too; texts that share the indices of a sample are verified by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -185,10 +189,149 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     return out.select(*carry, "lakemill_fp", (F.col("lakemill_least.uid") == F.col("lakemill_uid")).alias("lakemill_first"), F.col("lakemill_least.id").alias("lakemill_component"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """One document of each group: that with the smallest id. The columns of docs."""
+#: A text's further fingerprints: how many, and of how many shingles each.
+SAMPLES, SAMPLE = 6, 3
+#: Parts that the texts of one key are dealt to, and pairs of one text that are verified together.
+SALTS, MOST_PAIRS = 16, 1000
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 hashes of the text's word shingles (A-Z in lower case); of all words where they are fewer, of none where there is none."""
+    words = _WORDS((text or "").encode("utf-8", "replace").lower())
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip((ends - lengths).tolist(), ends[shingle - 1 :].tolist(), strict=False)], dtype=np.uint64))
+
+
+def sample_prints(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of samples: a sample holds the shingles whose hashes come first in one of SAMPLES orders, so texts that share most
+    of their shingles have most of their samples in common."""
+    out = []
+    for k in range(SAMPLES):
+        order = hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))  # a step of splitmix64
+        order = (order ^ (order >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        order = (order ^ (order >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        order ^= order >> np.uint64(31)
+        own = hashes[np.argpartition(order, SAMPLE - 1)[:SAMPLE]] if len(hashes) > SAMPLE else hashes
+        bits = np.unpackbits(np.sort(own).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        out.append(int(np.packbits(2 * bits > len(own), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def sample_keys(prints: np.ndarray, golay: Golay) -> np.ndarray:
+    """A key for each of a text's sample fingerprints (one row for a text): the codeword indices of its three segments, and which sample it is."""
+    key = np.broadcast_to(np.arange(prints.shape[1], dtype=np.int64) << 36, prints.shape).copy()
+    for k, (at, bits) in enumerate(SEGMENTS):
+        segment = ((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        key |= golay.index(segment.ravel()).reshape(prints.shape) << (12 * k)
+    return key
+
+
+def keyed_groups(nodes: DataFrame) -> DataFrame:
+    """(u, key, salt, top, leaders): the texts that share a key with another one, the key's smallest text, and the smallest ones of the
+    SALTS parts that its texts are dealt to. Parts keep a hot key from landing in one task. nodes: node, fp and keys."""
+    keyed = nodes.select(F.col("node").alias("u"), F.explode(F.concat("keys", F.array(F.col("fp").bitwiseOR(F.lit(-(1 << 63)))))).alias("key"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("tinyint"))
+    parts = materialise(keyed.groupBy("key", "salt").agg(F.min("u").alias("lo"), F.count("*").alias("n")), "key-parts")
+    tops = parts.groupBy("key").agg(F.min("lo").alias("top"), F.collect_list("lo").alias("leaders"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    members = materialise(keyed.join(parts.join(tops, "key").select("key", "salt", "top", "leaders"), ["key", "salt"]).select("u", "key", "salt", "top", "leaders"), "members")
+    discard(parts)
+    return members
+
+
+def similar(nodes: DataFrame, members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): verified links. Each text is compared with the smallest text of each of its keys, and with those whose whole fingerprints
+    differ from its own in a few bits. Where that fails, the smallest texts of its key's parts are tried, and then
+    the text of the key that has most links: copies of one original may be like the original only."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    asked = materialise(members.select("u", F.col("top").alias("v")).union(near).where("u <> v").distinct(), "asked")
+    found = materialise(verified(asked, sets, least), "similar")
+    failed = materialise(asked.join(found, ["u", "v"], "left_anti").select("u").distinct(), "failed")
+    if failed.isEmpty():
+        return found
+    loose = materialise(members.join(failed, "u"), "loose")
+    more = materialise(loose.select("u", F.explode("leaders").alias("v")).where("u <> v").distinct().join(asked, ["u", "v"], "left_anti"), "asked")
+    found = found.union(materialise(verified(more, sets, least), "similar"))
+    degree = found.select("u").union(found.select("v")).groupBy("u").agg(F.count("*").alias("n"))
+    best = members.join(degree, "u", "left").groupBy("key", "salt").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "u")).alias("best"))
+    hubs = best.groupBy("key").agg(F.max("best").alias("hub")).join(best.select("key", "salt"), "key").select("key", "salt", F.col("hub.u").alias("v"))
+    last = loose.join(hubs, ["key", "salt"]).select("u", "v").where("u <> v").distinct().join(asked.union(more), ["u", "v"], "left_anti")
+    return found.union(materialise(verified(materialise(last, "asked"), sets, least), "similar"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of least or more. A v with many pairs is repeated for parts of them."""
+    crowd = materialise(pairs.groupBy("v").agg(F.ceil(F.count("*") / MOST_PAIRS).cast("int").alias("parts")).where("parts > 1"), "crowd")
+    left = pairs.join(crowd, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    left = left.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u")
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")).join(crowd, "v", "left").select("v", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = F.size(F.array_intersect("x", "y"))
+    return left.join(right, ["v", "part"]).where(both >= least * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """id_col, node (the text's MD5) and first_id, first_node: the member of the row's group that stays.
+
+    Texts are linked if their sets of word shingles have a Jaccard similarity of least or more; groups are what links reach.
+    Fingerprints of whole texts within three bits and equal keys of sample fingerprints give the pairs to verify (see
+    similar()). All links found are true ones. A pair at 0.8 shares no key with a probability of about 2 % (1 - 0.8^3 for each
+    sample); links between two texts of which neither is compared with the other are found only by way of third ones. Equal texts are one node; texts without a word are alike;
+    a null text counts as empty. A null id sorts after all others; an empty table gives no row.
+    """
+    kind = docs.schema[id_col].dataType
+    given = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        golay = Golay()
+        for batch in pieces(batches):
+            if not batch.num_rows:
+                continue
+            texts = batch.column(2).to_pylist()
+            prints = np.array([sample_prints(shingle_hashes(t, shingle)) for t in texts], dtype=np.uint64)
+            whole = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array(list(sample_keys(prints, golay)), pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+
+    fields = [("id", kind), ("node", T.StringType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    rows = materialise(given.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields])), "prints")
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))
+    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(place).alias("first")), "nodes")
+    members = keyed_groups(nodes)
+    near = links(nodes.select("fp").distinct())
+    same = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    involved = members.select(F.col("u").alias("node")).union(nodes.join(same, "fp", "left_semi").select("node")).distinct()
+
+    def hashed(batches):
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    # the first row of a text stands for all of its copies; where that row is repeated, any of them does
+    wanted = nodes.join(involved, "node").select("node", F.col("first.id").alias("id"))
+    texts = given.join(wanted, (given["node"] == wanted["node"]) & given["id"].eqNullSafe(wanted["id"]), "left_semi").select("node", "text").dropDuplicates(["node"])
+    sets = materialise(texts.mapInArrow(hashed, "node string, hashes array<bigint>"), "shingles")
+    roots = components(similar(nodes, members, near, sets, least)).withColumnRenamed("root", "r")
+    grouped = nodes.select("node", "first").join(roots, "node", "left").withColumn("r", F.coalesce("r", "node"))
+    firsts = materialise(grouped.groupBy("r").agg(F.min("first").alias("stays")), "firsts")
+    discard(sets, members)
+    of_node = grouped.join(firsts, "r").select("node", F.col("stays.id").alias("first_id"), F.col("stays.node").alias("first_node"))
+    return rows.select(F.col("id").alias(id_col), "node").join(of_node, "node")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group of near_copies(): that with the smallest id, of equal ids that with the smallest MD5 of its text, of equal
+    texts any. The columns of docs, whatever their names."""
     rows, name, back = plain_names(docs)
-    return back(group(rows, name[id_col], name[text_col], shingle).where("lakemill_first"))
+    found = near_copies(rows, name[id_col], name[text_col], shingle, least)
+    stay = materialise(found.select(F.col("first_id").alias("stay_id"), F.col("first_node").alias("stay_node")).distinct(), "stay")
+    rows = rows.withColumn("node", F.md5(F.coalesce(F.col(name[text_col]), F.lit(""))))
+    kept = rows.join(stay, (F.col("node") == F.col("stay_node")) & F.col(name[id_col]).eqNullSafe(F.col("stay_id")), "left_semi")
+    return back(kept.dropDuplicates([name[id_col], "node"]))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

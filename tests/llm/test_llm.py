@@ -84,7 +84,7 @@ def test_forward_sums_all_segmentations():
         out = sum((own[rest[:n]] * brute(rest[n:]) for n in range(1, min(3, len(rest)) + 1) if rest[:n] in own), np.zeros(2))
         return out if rest[0] in own else out + probs[len(pieces)] * brute(rest[1:])
 
-    words = ["a", "ab", "abab", "bbaba"]
+    words = ["a", "ab", "abab", "bbaba", "abba" * 5]
     got = np.exp(language_id.log_likelihoods(lattice, probs, words))
     assert brute("▁") == pytest.approx(own["▁"])
     for w, g in zip(words, got, strict=True):
@@ -93,6 +93,51 @@ def test_forward_sums_all_segmentations():
     assert learned[:-1].sum(axis=0) == pytest.approx([1, 1]) and (learned[-1] == 0).all()
 
 
+def recursive_sum(own, unknown, longest, word):
+    """log P(word) for each language, summed over all segmentations from the end of the word backwards, in whole numbers' logs."""
+    total = [np.zeros(len(unknown))]
+    for end in range(1, len(word) + 1):
+        terms = [total[end - n] + np.log(own[word[end - n : end]]) for n in range(1, min(longest, end) + 1) if word[end - n : end] in own]
+        if word[end - 1] not in own:
+            terms.append(total[end - 1] + np.log(unknown))
+        total.append(np.logaddexp.reduce(terms))
+    return total[-1]
+
+
+def test_long_words_and_long_pieces_are_not_cut():
+    rng = np.random.default_rng(3)
+    pieces = ["▁", "▁a", "a", "b", "c", "ab", "abcabcabcabc", "bcabcabcabcabcab", "cabcabcabcabcabcabcab"]
+    lattice = language_id.Lattice(pieces)
+    probs = np.vstack([rng.uniform(0.001, 0.2, (len(pieces) + 1, 3)), np.zeros((1, 3))])
+    own = {p: probs[k] for k, p in enumerate(lattice.pieces)}
+    words = ["abc" * n for n in (1, 8, 10, 20, 400)] + ["abcx" * 30, "x" * 3000, "中文" * 700]
+    got = language_id.log_likelihoods(lattice, probs, words)
+    for w, g in zip(words, got, strict=True):
+        assert g == pytest.approx(recursive_sum(own, probs[len(pieces)], 21, "▁" + w), rel=1e-5)
+
+
+def test_language_predictions_against_brute_force(spark):
+    """Whole predictions and scores, from the learned model, by the recursive sum over every word of every text."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.learn_from(docs, public_tokenizers.path("piece_bpe_32k.model"), sample_docs=30, rounds=2)
+    lattice = language_id.Lattice(model.vocabulary)
+    own, unknown = {p: model.probs[k] for k, p in enumerate(lattice.pieces)}, model.probs[len(lattice.pieces)]
+    known: dict = {}
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert lattice.longest > 12
+    for r in docs.collect()[:60]:
+        total = model.prior.copy()
+        words = language_id.words_of(r["text"])
+        for w in words:
+            if w not in known:
+                known[w] = recursive_sum(own, unknown, lattice.longest, "▁" + w)
+            total = total + known[w]
+        want = got[r["doc_id"]]
+        if words:
+            assert want["lang_pred"] == model.langs[int(total.argmax())]
+            assert want["score"] == pytest.approx(float(np.exp(total.max() - np.logaddexp.reduce(total))), abs=1e-3)
+
+
 # 2
 
 
@@ -393,6 +438,53 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.group(df.limit(0)).count() == 0
 
 
+def brute_groups(texts, least=0.8, n=5):
+    """The smallest id of each text's group, by all pairs of shingle sets."""
+    sets = {}
+    for i, t in texts:
+        w = WORDS("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = []
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0):
+                pairs.append((i, j))
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}, pairs
+
+
+def edited(rng, words, share):
+    return " ".join("".join(rng.choice("klmnop") for _ in range(5)) if rng.random() < share else w for w in words)
+
+
+def test_near_copies_by_shingle_similarity(spark):
+    """Copies of one original with 1 to 3 of 100 words replaced (similarities from 0.7 to 1), some like the original only."""
+    rng, texts = random.Random(12), []
+    for _ in range(25):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randint(40, 400))]
+        texts += [" ".join(words), *(edited(rng, words, rng.choice([0.005, 0.01, 0.02])) for _ in range(rng.randint(1, 12)))]
+    rng.shuffle(texts)
+    rows = [*enumerate(texts), (5000, None), (5001, ""), (5002, " \n"), (5003, texts[0]), (5003, texts[0]), (5004, "one two"), (5005, "One  TWO")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, node string").withColumn("keys", F.lit(1))
+    got = {r["doc_id"]: r["first_id"] for r in simhash.near_copies(df).collect()}
+    want, pairs = brute_groups(rows)
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs) and len(pairs) > 150
+    assert all(want[i] == want[g] for i, g in got.items()), "no false link"
+    kept = simhash.dedup(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values())) and simhash.dedup(df).columns == df.columns
+    assert simhash.dedup(df.limit(0)).count() == 0
+    odd = awkward(spark)
+    assert {r["doc_id"] for r in simhash.dedup(odd).collect()} == {1, 3, 6, 8, 10}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(None, 3), (9, 9)], "a bigint, b bigint")
     assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(i, 0) for i in range(31)}
