@@ -466,7 +466,7 @@ def json_props(spark, d):
 
 
 @query(f"""SELECT id, round(x * cos(-atan(0.02)) - y * sin(-atan(0.02)), 6) AS rx, round(x * sin(-atan(0.02)) + y * cos(-atan(0.02)), 6) AS ry,
-CAST(pow(greatest(x - 30, 0, 30 - (x + w)), 2) + pow(greatest(y - 25, 0, 25 - (y + h)), 2) AS BIGINT) AS away, round(1.5 + 2 * x - 0.25 * x * x, 6) AS poly FROM ({_BOX})""")
+CAST(pow(greatest(x - 30, 0, 30 - (x + w - 1)), 2) + pow(greatest(y - 25, 0, 25 - (y + h - 1)), 2) AS BIGINT) AS away, round(1.5 + 2 * x - 0.25 * x * x, 6) AS poly FROM ({_BOX})""")
 def geometry_functions(spark, d):
     b = _boxes(spark, d)
     at = {c: F.col(c) for c in "xywh"}
@@ -558,4 +558,4 @@ def stage_runner(spark, d):
     return stages.reach("scale")
 
 
-from . import queries_more  # noqa: E402, F401  the rest of the queries register themselves here
+from . import queries_more, queries_sig  # noqa: E402, F401  the rest of the queries register themselves here

@@ -128,18 +128,10 @@ def voices_across_pages(spark, d):
     return clusters.across(ends, ["part"], "turn", ["role"]).select("part", "turn", "left", "right")
 
 
-@query("""WITH h AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents), w AS (SELECT doc_id, line, unnest(regexp_extract_all(line, '[^ \\t]+')) AS word, generate_subscripts(regexp_extract_all(line, '[^ \\t]+'), 1) AS k FROM h)
-SELECT doc_id, CAST(k AS INTEGER) AS k, word, CAST(length(word) AS INTEGER) AS size FROM w""")
-def word_scan(spark, d):
-    line = F.split("text", "\n")[0]
-    w = t(spark, d, "documents").select("doc_id", F.posexplode(text.words_at(line)).alias("k", "w"))
-    return w.select("doc_id", (F.col("k") + 1).alias("k"), "w.word", (F.col("w.stop") - F.col("w.start") + 1).alias("size"))
-
-
 @query("""WITH h AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents),
 w AS (SELECT doc_id, line_number, unnest(regexp_extract_all(line, '[^ \\t\\r\\f\\x0B]+')) AS word, generate_subscripts(regexp_extract_all(line, '[^ \\t\\r\\f\\x0B]+'), 1) AS k FROM h)
 SELECT doc_id, CAST(line_number AS INTEGER) AS line_number, CAST(k AS INTEGER) AS k, word, CAST(length(word) AS INTEGER) AS size FROM w""")
-def word_scan_lines(spark, d):
+def word_scan(spark, d):
     lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     w = lines.select("doc_id", "n", F.posexplode(text.words_at(F.col("line"))).alias("k", "w"))
     return w.select("doc_id", (F.col("n") + 1).alias("line_number"), (F.col("k") + 1).alias("k"), "w.word", (F.col("w.stop") - F.col("w.start") + 1).alias("size"))
@@ -151,15 +143,8 @@ def export_names(spark, d):
     return p.select("page_id", F.coalesce(text.alias(F.col("url"), ["/([a-z0-9-]+)/?$"]), F.lit("")).alias("tail"), text.export_name(F.lit("export-{page}-{none}.xml"), {"page": F.col("page_id")}).alias("name"))
 
 
-@query("""WITH f AS (SELECT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount < 0.01), r AS (SELECT a, b FROM f)
-SELECT a AS suppkey, count(DISTINCT b) AS parts FROM r GROUP BY 1""")
-def competing_inters(spark, d):
-    e = t(spark, d, "lineitem").where("l_quantity = 50 AND l_discount < 0.01").select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst"))
-    return graphs.canonical(e, "src", "dst").groupBy(F.col("src").alias("suppkey")).agg(F.count("*").alias("parts"))
-
-
 @query("SELECT l_suppkey AS suppkey, count(DISTINCT 1000000 + l_partkey) AS parts FROM lineitem GROUP BY 1")
-def competing_inters_all(spark, d):
+def edge_counts(spark, d):
     e = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (1000000 + F.col("l_partkey")).alias("dst"))
     return graphs.canonical(e, "src", "dst").groupBy(F.col("src").alias("suppkey")).agg(F.count("*").alias("parts"))
 

@@ -121,7 +121,7 @@ def test_spec_and_text(spark):
 def test_geometry(spark):
     box = lambda x, y, w, h: dict(zip("xywh", map(F.lit, (x, y, w, h)), strict=True))
     r = one(spark, geometry.iou(box(0, 0, 2, 2), box(1, 0, 2, 2)).alias("a"), geometry.touch(box(0, 0, 2, 2), box(2, 2, 1, 1)).alias("corner"), geometry.touch(box(0, 0, 2, 2), box(2, 1, 1, 1)).alias("edge"), geometry.distance_sq(box(0, 0, 2, 2), F.lit(5), F.lit(6)).alias("d"))
-    assert r["a"] == pytest.approx(1 / 3) and not r["corner"] and r["edge"] and r["d"] == 25
+    assert r["a"] == pytest.approx(1 / 3) and not r["corner"] and r["edge"] and r["d"] == 41
 
 
 def test_line_picks_its_axis(spark):
