@@ -10,6 +10,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_folder
+
 #: The words of every contract here: runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -19,18 +21,6 @@ ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what SparkContext's checkpoint directory is. There is no
-    fallback: executors of a cluster can't see a local folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not folder:
-        if not current.isDefined():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = current.get()
-    return folder.rstrip("/")
-
-
 #: The folder, below the shared one, of the tables of the scratch() that surrounds a call.
 _scratch: ContextVar[str] = ContextVar("scratch", default="")
 
