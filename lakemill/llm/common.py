@@ -16,6 +16,7 @@ from ..operators.tables import shared_folder
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: Where set, Spark deletes the exchange files of an action when it ends; the tables that materialise() writes need none of them.
 FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -41,12 +42,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}{_scratch.get()}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None, advisory: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None, advisory: str | None = None, batch_rows: int | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends, no executor is needed. advisory is the
-    size of a partition at which AQE splits and joins them, where the session's own doesn't suit."""
+    size of a partition at which AQE splits and joins them, batch_rows the rows of an Arrow batch, where the session's own don't suit:
+    batches of texts take memory on both sides."""
     spark = df.sparkSession
     path = path or new_folder(spark, name)
-    wanted = {FREES: "true"} | ({ADVISORY: advisory} if advisory else {})
+    wanted = {FREES: "true"} | ({ADVISORY: advisory} if advisory else {}) | ({BATCH: str(batch_rows)} if batch_rows else {})
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

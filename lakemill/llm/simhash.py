@@ -19,6 +19,8 @@ codeword indices, too; texts that share the indices of a sample are verified by
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     starts = (ends - lengths).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=False)], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -191,6 +198,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 #: A text's further fingerprints: how many, and of how many shingles each.
 SAMPLES, SAMPLE = 6, 3
+#: Texts in an Arrow batch.
+TEXTS = 1000
 #: Parts that the texts of one key are dealt to, and pairs of one text that are verified together.
 SALTS, MOST_PAIRS = 16, 1000
 
@@ -218,9 +227,12 @@ def sample_prints(hashes: np.ndarray) -> list[int]:
         order = (order ^ (order >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         order = (order ^ (order >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         order ^= order >> np.uint64(31)
-        own = hashes[np.argpartition(order, SAMPLE - 1)[:SAMPLE]] if len(hashes) > SAMPLE else hashes
-        bits = np.unpackbits(np.sort(own).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-        out.append(int(np.packbits(2 * bits > len(own), bitorder="little").view("<u8")[0]))
+        own = (hashes[np.argpartition(order, SAMPLE - 1)[:SAMPLE]] if len(hashes) > SAMPLE else hashes).tolist()
+        if len(own) == 3:  # a bit that two of three have
+            a, b, c = own
+            out.append(a & b | a & c | b & c)
+        else:  # a bit that all have: of two, that is over half
+            out.append(reduce(and_, own) if own else 0)
     return out
 
 
@@ -252,18 +264,18 @@ def similar(nodes: DataFrame, members: DataFrame, near: DataFrame, sets: DataFra
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
     asked = materialise(members.select("u", F.col("top").alias("v")).union(near).where("u <> v").distinct(), "asked")
-    found = materialise(verified(asked, sets, least), "similar")
+    found = materialise(verified(asked, sets, least), "similar", advisory="16m")
     failed = materialise(asked.join(found, ["u", "v"], "left_anti").select("u").distinct(), "failed")
     if failed.isEmpty():
         return found
     loose = materialise(members.join(failed, "u"), "loose")
     more = materialise(loose.select("u", F.explode("leaders").alias("v")).where("u <> v").distinct().join(asked, ["u", "v"], "left_anti"), "asked")
-    found = found.union(materialise(verified(more, sets, least), "similar"))
+    found = found.union(materialise(verified(more, sets, least), "similar", advisory="16m"))
     degree = found.select("u").union(found.select("v")).groupBy("u").agg(F.count("*").alias("n"))
     best = members.join(degree, "u", "left").groupBy("key", "salt").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "u")).alias("best"))
     hubs = best.groupBy("key").agg(F.max("best").alias("hub")).join(best.select("key", "salt"), "key").select("key", "salt", F.col("hub.u").alias("v"))
     last = loose.join(hubs, ["key", "salt"]).select("u", "v").where("u <> v").distinct().join(asked.union(more), ["u", "v"], "left_anti")
-    return found.union(materialise(verified(materialise(last, "asked"), sets, least), "similar"))
+    return found.union(materialise(verified(materialise(last, "asked"), sets, least), "similar", advisory="16m"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -294,12 +306,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if not batch.num_rows:
                 continue
             texts = batch.column(2).to_pylist()
-            prints = np.array([sample_prints(shingle_hashes(t, shingle)) for t in texts], dtype=np.uint64)
-            whole = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            hashes = [shingle_hashes(t, shingle) for t in texts]
+            prints = np.array([sample_prints(h) for h in hashes], dtype=np.uint64)
+            whole = np.array([majority(h) if len(h) else 0 for h in hashes], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array(list(sample_keys(prints, golay)), pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
 
     fields = [("id", kind), ("node", T.StringType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
-    rows = materialise(given.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields])), "prints")
+    rows = materialise(given.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields])), "prints", batch_rows=TEXTS)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("node"))
     nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(place).alias("first")), "nodes")
     members = keyed_groups(nodes)
@@ -314,7 +327,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the first row of a text stands for all of its copies; where that row is repeated, any of them does
     wanted = nodes.join(involved, "node").select("node", F.col("first.id").alias("id"))
     texts = given.join(wanted, (given["node"] == wanted["node"]) & given["id"].eqNullSafe(wanted["id"]), "left_semi").select("node", "text").dropDuplicates(["node"])
-    sets = materialise(texts.mapInArrow(hashed, "node string, hashes array<bigint>"), "shingles")
+    sets = materialise(texts.mapInArrow(hashed, "node string, hashes array<bigint>"), "shingles", advisory="16m", batch_rows=TEXTS)
     roots = components(similar(nodes, members, near, sets, least)).withColumnRenamed("root", "r")
     grouped = nodes.select("node", "first").join(roots, "node", "left").withColumn("r", F.coalesce("r", "node"))
     firsts = materialise(grouped.groupBy("r").agg(F.min("first").alias("stays")), "firsts")
