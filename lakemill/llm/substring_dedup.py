@@ -147,7 +147,7 @@ def fragments(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
     to lie together, which only helps to merge equal suffixes early; AQE splits a large group of them."""
 
     def run(batches):
-        for batch in pieces(batches, 8_000_000):
+        for batch in pieces(batches, 4_000_000):
             out: list[list] = [[] for _ in range(7)]
             for doc, tag, text, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = _WORDS(text)
@@ -198,7 +198,7 @@ def heavy_prefixes(frags: DataFrame, window: int, most: int) -> tuple[DataFrame
         known = np.array([r["prefix"] for r in last.limit(MOST_SENT + 1).collect()], dtype=np.int64) if last is not None else []
 
         def count(batches, lengths=levels[max(0, k - 1) : k + 1], known=known if 0 < len(known) <= MOST_SENT else None):
-            for batch in pieces(batches, 8_000_000):
+            for batch in pieces(batches, 2_000_000):
                 if batch.num_rows:
                     hashes = prefix_hashes(batch, lengths)[2]
                     if known is not None:
@@ -219,12 +219,12 @@ def heavy_prefixes(frags: DataFrame, window: int, most: int) -> tuple[DataFrame
 
 def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
     """A row for each distinct suffix, with the word before it, of a piece of input: the hashes of its prefixes of the given lengths, its
-    words, and its PLACEs."""
+    words and the one before it, and its PLACEs."""
     names = [f"h{n}" for n in lengths]
     reach = window + STEP - 1
 
     def run(batches):
-        for batch in pieces(batches, 8_000_000):
+        for batch in pieces(batches, 2_000_000):
             if not batch.num_rows:
                 continue
             words, spots, hashes = prefix_hashes(batch, lengths)
@@ -233,14 +233,14 @@ def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
             for w, lead, n in zip(words, batch.column("lead").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 if not lead:
                     w = ["", *w]  # a text's first suffix has no word before it
-                of += [where.setdefault(" ".join(w[p : p + 1 + reach]), len(where)) for p in range(n)]
+                of += [where.setdefault(" ".join([*w[p + 1 : p + 1 + reach], w[p]]), len(where)) for p in range(n)]
             n = batch.column("n").to_numpy()
             places = np.zeros(len(of), dtype=PLACE)
             places["doc"], places["tag"] = np.repeat(batch.column("doc").to_numpy(), n), np.repeat(batch.column("tag").to_numpy(), n)
             places["place"] = np.repeat(batch.column("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(of))
             # in order of their words, suffixes of one group lie side by side and compress well
             keys = np.array([*where], dtype=object)
-            rank = np.argsort([k.partition(" ")[2] for k in keys])
+            rank = np.argsort(keys)
             number = np.empty(len(keys), dtype=np.int64)
             number[rank] = np.arange(len(keys))
             at = number[of]
@@ -287,13 +287,14 @@ def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.nd
     """For each occurrence (owner: its suffix, docs: its document) how many words from there on are to be removed (0: none)."""
     m, reach = len(keys), window + STEP - 1
     number = Numbers({"": -1})
-    sizes = np.fromiter((k.count(" ") for k in keys), dtype=np.int64, count=m)  # words without the one before
-    flat = np.fromiter(map(number.__getitem__, " ".join(keys).split(" ")), dtype=np.int64)
+    sizes = np.fromiter((k.count(" ") for k in keys), dtype=np.int64, count=m)  # words without the one before, which comes last
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *(np.fromiter(map(number.__getitem__, " ".join(keys[k : k + 10_000]).split(" ")), dtype=np.int64) for k in range(0, m, 10_000))])
     begins = np.cumsum(sizes + 1) - sizes - 1
-    left = flat[begins]
+    before = begins + sizes
+    left = flat[before]
     left = np.where(left < 0, -1 - np.arange(m), left)  # the word before a text is like no other,
     codes = np.repeat(-1 - np.arange(m)[:, None], reach, axis=1)  # and so is what follows where a suffix has ended
-    codes[np.arange(reach)[None, :] < sizes[:, None]] = np.delete(flat, begins)
+    codes[np.arange(reach)[None, :] < sizes[:, None]] = np.delete(flat, before)
     tree = SuffixTree(codes)
     out = np.zeros(len(docs), dtype=np.int64)
     for d in range(window, reach + 1):
@@ -341,7 +342,7 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
                 continue
             nodes, length, rows = [], [], []
             for r, suffix in enumerate(batch.column("suffix").to_pylist()):
-                words = suffix.split(" ")[1:]
+                words = suffix.split(" ")[:-1]
                 for d in range(window, len(words) + 1):
                     nodes.append(" ".join(words[:d]))
                     length.append(d)

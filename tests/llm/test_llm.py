@@ -376,8 +376,8 @@ def test_suffix_tree_nodes():
 
 
 def test_ranges_of_maximal_repeats():
-    # windows of 3 words; the word before each suffix comes first
-    keys = ["a m n o x", "b m n o x", "a m n o y", " m n p"]
+    # windows of 3 words; the word before each suffix comes last
+    keys = ["m n o x a", "m n o x b", "m n o y a", "m n p "]
     # the first two share four words (a maximal repeat), with the third they share three; where all have one word before them, only every third place counts
     length = lambda owner, docs, places, keys=keys: substring_dedup.repeated(keys, np.array(owner), np.array(docs), np.array(places), 3).tolist()
     assert length([0, 1, 2, 3], [1, 2, 3, 4], [1, 1, 1, 0]) == [0, 4, 3, 0]
