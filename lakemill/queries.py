@@ -558,4 +558,4 @@ def stage_runner(spark, d):
     return stages.reach("scale")
 
 
-from . import queries_more, queries_sig  # noqa: E402, F401  the rest of the queries register themselves here
+from . import queries_geo, queries_more, queries_sig  # noqa: E402, F401  the rest of the queries register themselves here

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import clusters, curves, graphs, joins, rules, sequences
+from .operators import clusters, curves, graphs, joins, rules, scale, sequences
 from .queries import query, t
 
 _REL = """WITH rel AS (SELECT CASE l_orderkey % 3 WHEN 0 THEN 'HeadStem' WHEN 1 THEN 'AlterHead' ELSE 'BeamStem' END AS kind, l_suppkey AS src, 1000000 + l_partkey AS dst, max(l_discount) AS grade FROM lineitem GROUP BY ALL)"""
@@ -152,10 +152,8 @@ def edge_counts(spark, d):
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r, count(*) OVER (PARTITION BY user_id) AS c FROM v)
 SELECT user_id, round(avg(m), 6) AS slope FROM k WHERE r <= greatest(1, round_even(c * 0.5, 0)) GROUP BY user_id""")
 def global_slope(spark, d):
-    v = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("m"))
-    own = Window.partitionBy("user_id")
-    k = v.withColumn("r", F.row_number().over(own.orderBy(F.desc("n"), "event_type"))).withColumn("c", F.count("*").over(own))
-    return k.where(F.col("r") <= F.greatest(F.lit(1), F.rint(F.col("c") * 0.5))).groupBy("user_id").agg(F.round(F.avg("m"), 6).alias("slope"))
+    v = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("slope"))
+    return scale.mean_of_longest(v, ["user_id"], "n", "slope", 0.5, "event_type").select("user_id", F.round("slope", 6).alias("slope"))
 
 
 @query("""WITH d AS (SELECT l_suppkey, l_quantity, l_orderkey, l_linenumber, l_partkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS dy FROM lineitem)
