@@ -7,44 +7,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grades import WEAK, contextual
-from .tables import cut
+from .tables import cut, drop
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge: the smallest node of its component.
+def components(edges: DataFrame, most_rounds: int = 60, keep=cut) -> DataFrame:
+    """(node, root): every node that has an edge to another node, and the smallest node of its component.
 
-    Alternates large stars (larger neighbours move to a node's smallest neighbour) and small stars. Neighbours are
-    reduced by partial minima before each exchange; each round ends in a table, so no lineage grows.
+    edges: two columns of one type, in either direction, repeated or not; loops and nulls are ignored. Each round
+    first ties all larger neighbours of a node to its smallest one, then all smaller neighbours (large and small stars). Minima are
+    reduced partially before any exchange; the join that spreads them deals a hub's edges by the hub, which AQE splits where they
+    are many. Rounds end in a table (written by keep), and a round's table goes when the next one stands; the edges form stars
+    once nothing changes, after a number of rounds logarithmic in the diameter.
     """
     a, b = edges.columns[:2]
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
+    now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), "edges")
+        following = keep(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(now)
+        now = following
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.union(roots.select("root", "root").distinct())
+            return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
         before = seen
     raise RuntimeError("components did not settle")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Nodes reached from the seeds over undirected edges. A seed is in the result only if an edge leads back to it."""
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes reached from the seeds over undirected edges: all nodes of the seeds' components. A seed is in the result only if an edge
+    leads back to it, which a loop does, too."""
     a, b = edges.columns[:2]
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct()
-    found = cut(seeds.select(F.col(seeds.columns[0]).alias("u")).distinct().join(both, "u").select(F.col("v").alias("node")).distinct(), "closure")
-    n = found.count()
-    for _ in range(most_rounds):
-        found = cut(found.union(found.join(both, F.col("node") == F.col("u")).select("v")).distinct(), "closure")
-        if (m := found.count()) == n:
-            return found
-        n = m
-    raise RuntimeError("the closure did not settle")
+    start = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
+    found = components(edges.select(a, b))
+    roots = found.join(start, "node", "left_semi").select("root").distinct()
+    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).join(start, "node", "left_semi")
+    return found.join(roots, "root", "left_semi").select("node").union(loops).distinct()
 
 
 def canonical(edges: DataFrame, a: str, b: str) -> DataFrame:

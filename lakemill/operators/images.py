@@ -27,14 +27,32 @@ def per_image(pixels: DataFrame, run: Callable[[np.ndarray], np.ndarray], result
 def median(m: np.ndarray, radius: int = 1) -> np.ndarray:
     """Median of the square around each pixel, whose radius shrinks towards the borders."""
     h, w = m.shape
-    out = np.empty_like(m)
-    for y in range(h):
-        for x in range(w):
-            r = min(radius, x, y, w - 1 - x, h - 1 - y)
-            out[y, x] = np.sort(m[y - r : y + r + 1, x - r : x + r + 1], axis=None)[((2 * r + 1) ** 2 - 1) // 2]
+    ys, xs = np.indices(m.shape)
+    room = np.minimum(np.minimum(xs, w - 1 - xs), np.minimum(ys, h - 1 - ys))
+    out = m.copy()
+    for r in range(1, radius + 1):
+        if h <= 2 * r or w <= 2 * r:
+            break
+        squares = np.lib.stride_tricks.sliding_window_view(m, (2 * r + 1, 2 * r + 1)).reshape(h - 2 * r, w - 2 * r, -1)
+        middle = np.partition(squares, ((2 * r + 1) ** 2 - 1) // 2, axis=2)[:, :, ((2 * r + 1) ** 2 - 1) // 2]
+        inner = out[r : h - r, r : w - r]  # radius r for the border ring of that room, and for all within if r is the last
+        inner[room[r : h - r, r : w - r] >= r] = middle[room[r : h - r, r : w - r] >= r]
     return out
 
 
+def adaptive(m: np.ndarray, radius: int = 18, mean_weight: float = 0.7, deviation_weight: float = 0.9) -> np.ndarray:
+    """1 where a pixel is ink: at most mean_weight * mean + deviation_weight * deviation of the square around it, cut off at the borders.
+    Sums come from integral images, whatever the radius."""
+    h, w = m.shape
+    whole = lambda v: np.pad(np.cumsum(np.cumsum(v, axis=0), axis=1), ((1, 0), (1, 0)))
+    y0, y1 = np.maximum(0, np.arange(h) - radius), np.minimum(h, np.arange(h) + radius + 1)
+    x0, x1 = np.maximum(0, np.arange(w) - radius), np.minimum(w, np.arange(w) + radius + 1)
+    inside = lambda s: s[np.ix_(y1, x1)] - s[np.ix_(y0, x1)] - s[np.ix_(y1, x0)] + s[np.ix_(y0, x0)]
+    n = (y1 - y0)[:, None] * (x1 - x0)[None, :]
+    mean = inside(whole(m)) / n
+    return (m <= mean_weight * mean + deviation_weight * np.sqrt(np.abs(inside(whole(m * m)) / n - mean * mean))).astype(float)
+
+
 def gaussian(m: np.ndarray, radius: int = 2) -> np.ndarray:
     """Gaussian smoothing with deviation radius / 2, edges repeated."""
     k = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * (radius / 2) ** 2))
@@ -69,17 +87,22 @@ def open_(m: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def chamfer(ink: np.ndarray, straight: int = 3, diagonal: int = 4) -> np.ndarray:
-    """Distance to the nearest true pixel in 3-4 chamfer units, by a pass forward and one back; inf where there is none."""
-    h, w = ink.shape
+    """Distance to the nearest true pixel in 3-4 chamfer units, by a pass forward and one back; inf where there is none.
+
+    A row takes its least from the row before at once; steps along it are a running minimum of what is left after the steps so far.
+    """
     d = np.where(ink, 0.0, np.inf)
-    steps = [(-1, -1, diagonal), (-1, 0, straight), (-1, 1, diagonal), (0, -1, straight)]
-    for sign, ys, xs in ((1, range(h), range(w)), (-1, range(h - 1, -1, -1), range(w - 1, -1, -1))):
-        for y in ys:
-            for x in xs:
-                for dy, dx, c in steps:
-                    v, u = y + sign * dy, x + sign * dx
-                    if 0 <= v < h and 0 <= u < w:
-                        d[y, x] = min(d[y, x], d[v, u] + c)
+    along = straight * np.arange(ink.shape[1], dtype=float)
+    for _ in range(2):
+        for y in range(len(d)):
+            row = d[y]
+            if y:
+                up = d[y - 1]
+                row = np.minimum(row, up + straight)
+                row[1:] = np.minimum(row[1:], up[:-1] + diagonal)
+                row[:-1] = np.minimum(row[:-1], up[1:] + diagonal)
+            d[y] = np.minimum.accumulate(row - along) + along
+        d = d[::-1, ::-1]
     return d
 
 

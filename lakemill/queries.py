@@ -235,11 +235,9 @@ def bounding_boxes(spark, d):
 FROM b a JOIN b b ON a.p_brand = b.p_brand AND a.id < b.id) SELECT p_brand, "left", "right", round(dx * dy / CAST(areas - dx * dy AS DOUBLE), 6) AS iou FROM p WHERE dx > 0 AND dy > 0 AND dx * dy / CAST(areas - dx * dy AS DOUBLE) >= 0.05""")
 def overlap_self_join(spark, d):
     b = _boxes(spark, d).withColumn("right_x", F.col("x") + F.col("w"))
-    pairs = joins.overlap_pairs(b, ["p_brand"], "id", "x", "right_x", 25.0).select("p_brand", "left", "right")
-    side = lambda k, n: b.select(F.col("id").alias(n), *[F.col(c).alias(f"{c}{k}") for c in "xywh"])
-    met = pairs.join(side(1, "left"), "left").join(side(2, "right"), "right")
-    at = lambda k: {c: F.col(f"{c}{k}") for c in "xywh"}
-    return met.withColumn("iou", geometry.iou(at(1), at(2))).where("iou >= 0.05").select("p_brand", "left", "right", F.round("iou", 6).alias("iou"))
+    met = joins.overlap_pairs(b, ["p_brand"], "id", "x", "right_x", 25.0, carry=["x", "y", "w", "h"])
+    at = lambda k: {c: F.col(f"{c}_{k}") for c in "xywh"}
+    return met.withColumn("iou", geometry.iou(at("left"), at("right"))).where("iou >= 0.05").select("p_brand", "left", "right", F.round("iou", 6).alias("iou"))
 
 
 @query("""SELECT a.user_id, a.event_id AS purchase, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type <> 'purchase'
@@ -262,9 +260,9 @@ def asof_join(spark, d):
 @query("""SELECT s_suppkey, c_custkey, round(distance, 2) AS distance FROM (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS distance, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS k
 FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE k = 1""")
 def nearest_join(spark, d):
-    pairs = t(spark, d, "supplier").join(t(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    found = joins.closest(pairs, ["s_suppkey"], F.abs(F.col("s_acctbal") - F.col("c_acctbal")), "c_custkey", "c_custkey")
-    return found.select("s_suppkey", "c_custkey", F.round("distance", 2).alias("distance"))
+    left = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
+    right = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    return joins.nearest(left, right, ["nation"], "s_acctbal", "c_acctbal", "c_custkey").select("s_suppkey", "c_custkey", F.round("distance", 2).alias("distance"))
 
 
 @query("SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) = (SELECT count(DISTINCT l_returnflag || l_linestatus) FROM lineitem)")
@@ -513,16 +511,6 @@ def _pixels(spark, d):
     return e.agg((F.count("*") * 16 % 256).cast("int").alias("v"))
 
 
-@query()
-def image_median(spark, d):
-    return images.per_image(_pixels(spark, d), images.median)
-
-
-@query()
-def image_chamfer(spark, d):
-    return images.per_image(_pixels(spark, d), lambda m: images.chamfer(m < 64))
-
-
 @query("""WITH p AS (SELECT CAST(user_id % 8 AS INTEGER) AS image, CAST(hour(ts) AS INTEGER) AS x, CAST(day(ts) - 1 AS INTEGER) AS y, CASE WHEN count(*) * 16 % 256 < 64 THEN 0 ELSE 3 END AS v FROM events GROUP BY ALL),
 t AS (SELECT * FROM (VALUES (0, 0, 0, 6.0), (1, 0, 0, 6.0), (0, 1, 1, 1.0), (1, 1, 1, 4.0)) AS t(dx, dy, e, w))
 SELECT q.image, q.x, q.y, round(sum(w * abs((CASE WHEN p.v = 0 THEN 0 ELSE 1 END) - e)) / sum(w), 6) AS score FROM p q, t JOIN p ON p.image = q.image AND p.x = q.x + dx AND p.y = q.y + dy GROUP BY ALL""")

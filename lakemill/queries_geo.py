@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from .operators import linking, moments, scale, supports
+from .operators import images, linking, moments, scale, supports
 from .queries import _RASTER, _raster_runs, big, query, t
+from .queries import _pixels as _grays
+
+_CROSS = np.array([[0, 1, 0], [1, 1, 1], [0, 1, 0]], dtype=bool)
 
 _BOXES = "box AS (SELECT p_partkey AS id, p_partkey % 12 // 6 AS staff, p_partkey // 4 * 37 % 2000 AS x, p_partkey // 4 * 53 % 300 + p_partkey % 4 * 6 AS y, 5 + p_size % 20 AS w, 3 + p_size % 11 AS h FROM part)"
 
@@ -174,3 +178,42 @@ def art_moments(spark, d):
 def runs_centroid(spark, d):
     c = moments.runs_centroid(_raster_runs(spark, d).withColumn("page", F.col("line") % 5), ["page"], "line", "start", "length")
     return c.select("page", "weight", F.round("along", 6).alias("along"), F.round("across", 6).alias("across"))
+
+
+_IMAGES = "e AS (SELECT CAST(user_id % 8 AS INTEGER) AS image, CAST(hour(ts) AS INTEGER) AS x, CAST(day(ts) - 1 AS INTEGER) AS y, count(*) * 16 % 256 AS v FROM events GROUP BY ALL), box AS (SELECT image, max(x) AS w, max(y) AS h FROM e GROUP BY image), full_ AS (SELECT image, unnest(range(0, w + 1)) AS x, h FROM box), m AS (SELECT f.image, f.x, f.y, coalesce(e.v, 255) AS v FROM (SELECT image, x, unnest(range(0, h + 1)) AS y FROM full_) f LEFT JOIN e ON e.image = f.image AND e.x = f.x AND e.y = f.y)"
+
+
+@query(f"""WITH {_IMAGES} SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CASE WHEN any_value(a.v) <= 0.7 * avg(b.v) + 0.9 * sqrt(abs(avg(b.v * b.v) - avg(b.v) * avg(b.v))) THEN 1.0 ELSE 0.0 END AS v
+FROM m a JOIN m b ON a.image = b.image AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3 GROUP BY a.image, a.x, a.y""")
+def image_adaptive(spark, d):
+    return images.per_image(_grays(spark, d), lambda m: images.adaptive(m, 3))
+
+
+@query(f"""WITH {_IMAGES} SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(min(b.v) AS DOUBLE) AS v FROM m a JOIN m b ON a.image = b.image AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 GROUP BY a.image, a.x, a.y""")
+def image_dilate(spark, d):
+    return images.per_image(_grays(spark, d), lambda m: images.dilate(m, _CROSS))
+
+
+@query(f"""WITH {_IMAGES}, p AS (SELECT a.image, a.x, a.y, min(b.v) AS v FROM m a JOIN m b ON a.image = b.image AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 GROUP BY a.image, a.x, a.y)
+SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(max(b.v) AS DOUBLE) AS v FROM p a JOIN p b ON a.image = b.image AND abs(a.x - b.x) + abs(a.y - b.y) <= 1 GROUP BY a.image, a.x, a.y""")
+def image_close(spark, d):
+    return images.per_image(_grays(spark, d), lambda m: images.close(m, _CROSS))
+
+
+@query(f"""WITH {_IMAGES}, s AS (SELECT image, x, y, v, least(x, y, max(x) OVER (PARTITION BY image) - x, max(y) OVER (PARTITION BY image) - y, 1) AS r FROM m)
+SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(list_sort(list(b.v))[CAST((count(*) + 1) / 2 AS INTEGER)] AS DOUBLE) AS v FROM s a JOIN m b ON a.image = b.image AND abs(a.x - b.x) <= a.r AND abs(a.y - b.y) <= a.r GROUP BY a.image, a.x, a.y""")
+def image_median(spark, d):
+    return images.per_image(_grays(spark, d), images.median)
+
+
+@query(f"""WITH {_IMAGES} SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, CAST(min(greatest(abs(a.x - b.x), abs(a.y - b.y)) * 3 + least(abs(a.x - b.x), abs(a.y - b.y))) AS DOUBLE) AS v
+FROM m a JOIN m b ON a.image = b.image AND b.v < 64 GROUP BY a.image, a.x, a.y""")
+def image_chamfer(spark, d):
+    return images.per_image(_grays(spark, d), lambda m: images.chamfer(m < 64))
+
+
+@query(f"""WITH {_IMAGES}, k AS (SELECT d, exp(-d * d / 2.0) / (1 + 2 * exp(-0.5) + 2 * exp(-2.0)) AS c FROM (SELECT unnest(range(-2, 3)) AS d)), b AS (SELECT image, max(x) AS w, max(y) AS h FROM m GROUP BY image),
+v1 AS (SELECT a.image, a.x, a.y, sum(c * n.v) AS v FROM m a JOIN b USING (image), k JOIN m n ON n.image = a.image AND n.x = a.x AND n.y = least(greatest(a.y + d, 0), h) GROUP BY a.image, a.x, a.y)
+SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, round(sum(c * n.v), 6) AS v FROM v1 a JOIN b USING (image), k JOIN v1 n ON n.image = a.image AND n.y = a.y AND n.x = least(greatest(a.x + d, 0), w) GROUP BY a.image, a.x, a.y""")
+def image_gaussian(spark, d):
+    return images.per_image(_grays(spark, d), images.gaussian).withColumn("v", F.round("v", 6))
