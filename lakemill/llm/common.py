@@ -10,7 +10,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import shared_folder
+from ..operators.tables import delete, shared_folder
+from ..operators.tables import drop as discard  # noqa: F401  for the operators beside this module
 
 #: The words of every contract here: runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -60,18 +61,6 @@ def materialise(df: DataFrame, name: str, path: str | None = None, advisory: str
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that materialise() wrote and that no frame still to be computed reads."""
-    for table in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            delete(table.sparkSession, folder)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

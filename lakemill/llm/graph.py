@@ -1,34 +1,13 @@
-"""Connected components of large graphs, by alternating large and small stars."""
+"""Connected components of large graphs, with this package's tables between the rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import graphs
 from .common import materialise
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): every node that has an edge to another node, and the smallest node of its component.
-
-    edges: two columns of one type, in either direction, repeated or not; loops and nulls are ignored. Each round
-    first ties all larger neighbours of a node to its smallest one, then all smaller neighbours; neighbours are
-    reduced by partial minima before any exchange, so a hub is no hot key. Rounds end in a table of the shared
-    folder; the edges then form stars once nothing changes, after a number of rounds logarithmic in the diameter.
-    """
-    a, b = edges.columns
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
-    now, before = materialise(now, "edges"), None
-    for _ in range(most_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.distinct(), "edges")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
-            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-        before = seen
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """See lakemill.operators.graphs.components."""
+    return graphs.components(edges, keep=materialise)
