@@ -72,6 +72,16 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.5) -> float:
     return float(np.clip((above_u / above_p).min(), 0.02, 0.98))
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of weights w, for binned rows, and the direction to descend against: its gradient, or where the part of the
+    negatives is below zero the way that pushes that part back up."""
+    zp, zu = p @ w, u @ w
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g = prior * (sigmoid(zp) - 1) @ p / len(p)
+    h = sigmoid(zu) @ u / len(u) - prior * sigmoid(zp) @ p / len(p)
+    return float(prior * np.logaddexp(0, -zp).mean() + max(0.0, rest)), g + h if rest >= 0 else -h
+
+
 class Model:
     def __init__(self, p: np.ndarray, u: np.ndarray, bins: int = 12, steps: int = 1500, decay: float = 1e-5):
         """p, u: features of trusted positives and of unlabelled text."""
@@ -89,14 +99,7 @@ class Model:
         hp, hu = (bp[1::2], bu[1::2]) if len(fp) < len(bp) and len(fu) < len(bu) else (bp, bu)
         self.prior = estimate_prior(hp @ w, hu @ w)
 
-        def risk(w):
-            zp, zu = bp @ w, bu @ w
-            rest = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
-            g = self.prior * (sigmoid(zp) - 1) @ bp / len(bp)
-            h = sigmoid(zu) @ bu / len(bu) - self.prior * sigmoid(zp) @ bp / len(bp)
-            return (g + h if rest >= 0 else -h) + decay * w
-
-        self.w = descend(risk, bp.shape[1], steps)
+        self.w = descend(lambda w: risk_gradient(w, bp, bu, self.prior)[1] + decay * w, bp.shape[1], steps)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(binned(x, self.edges) @ self.w)
@@ -108,29 +111,34 @@ def _features_of(batches, names):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=names)
 
 
-def classify(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 5000, threshold: float = 0.3) -> DataFrame:
-    """Scores every whole text of docs; returns id_col, score (0 to 1) and predicted (1 if score >= threshold).
+def learn_from(train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 5000) -> Model | None:
+    """A model, or None without positives or unlabelled rows.
 
     Learning is bounded: about sample_docs trusted positives (ids of train whose every label is 1) and as many
-    unlabelled rows of train, both picked by a hash of the id; only their features reach the driver. A null text
-    counts as empty and is scored as such; without positives or unlabelled rows every score is 0.5; repeated rows
-    each give a row; other columns are ignored.
+    unlabelled rows of train, both picked by a hash of the id; only their features reach the driver. Null ids have no label, and are
+    one id among the unlabelled.
     """
-    kind = dict(docs.dtypes)[id_col]
     texts = train.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     hashed = lambda salt: F.pmod(F.xxhash64(F.col("i"), F.lit(salt)), F.lit(1_000_000))
     share = lambda n: -(-sample_docs * 1_000_000 // max(1, n))
     good = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i IS NOT NULL AND y IS NOT NULL").groupBy("i").agg(F.min("y").alias("y")).where("y = 1").select("i").join(texts.select("i"), "i", "left_semi")
     picked = [r["i"] for r in good.where(hashed(1) < share(good.count())).take(2 * sample_docs)]
     if not picked or not (total := texts.count()):
-        return docs.select(id_col, F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"))
+        return None
     chosen = F.col("i").isin(picked)
     rows = texts.where(chosen | (hashed(2) < share(total))).select(F.struct(chosen.alias("p"), (hashed(2) < share(total)).alias("u")).alias("s"), "t")
     got = rows.mapInArrow(lambda batches: _features_of(batches, ["s", "x"]), "s struct<p: boolean, u: boolean>, x array<double>").take(8 * sample_docs)
     p, u = (np.array([r["x"] for r in got if r["s"][k]], dtype=float).reshape(-1, len(FEATURES)) for k in ("p", "u"))
-    if not len(p) or not len(u):
+    return Model(p, u) if len(p) and len(u) else None
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """id_col, score (0 to 1) and predicted (1 if score >= threshold) of every whole text of docs. A null text counts as empty and is
+    scored as such; without a model every score is 0.5; null ids stay null, repeated rows each give a row; other columns are
+    ignored; an empty table gives no row."""
+    kind = dict(docs.dtypes)[id_col]
+    if model is None:
         return docs.select(id_col, F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"))
-    model = Model(p, u)
 
     def run(batches):
         for batch in _features_of(batches, ["i", "x"]):
@@ -140,6 +148,11 @@ def classify(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
+def classify(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **learning) -> DataFrame:
+    """score() of docs with the model of learn_from(train, labels)."""
+    return score(docs, learn_from(train, labels, id_col, text_col, **learning), id_col, text_col, threshold)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn = crc_of_id() % 5 != 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -232,6 +233,33 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs.limit(0), docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_scores_and_risk_against_plain_loops(spark):
+    """Each score of a table is what the model's weights and bins give, summed in a loop; the risk's gradient is its slope."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_classifier.learn_from(docs, labels, sample_docs=150)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality_classifier.score(docs, model).collect()}
+    for r in docs.collect()[::10]:
+        x, z, at = quality_classifier.features(r["text"]), model.w[0], 1
+        for value, edges in zip(x, model.edges, strict=True):
+            for edge in edges:
+                z += model.w[at] if value > edge else 0
+                at += 1
+        want = 1 / (1 + math.exp(-z))
+        assert got[r["doc_id"]][0] == pytest.approx(want, abs=1e-9) and got[r["doc_id"]][1] == (got[r["doc_id"]][0] >= 0.3)
+    rng = np.random.default_rng(4)
+    p, u, w, prior = rng.integers(0, 2, (40, 5)).astype(float), rng.integers(0, 2, (60, 5)).astype(float), rng.normal(size=5), 0.3
+
+    def risk(w):
+        loss = lambda z: sum(math.log1p(math.exp(-v)) for v in z) / len(z)
+        return prior * loss(p @ w) + max(0.0, loss(-(u @ w)) - prior * loss(-(p @ w)))
+
+    value, slope = quality_classifier.risk_gradient(w, p, u, prior)
+    assert value == pytest.approx(risk(w))
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert slope[k] == pytest.approx((risk(w + step) - risk(w - step)) / 2e-6, abs=1e-5)
+
+
 def test_prior_and_risk_on_known_mixture():
     rng = np.random.default_rng(0)
     p = rng.normal(2, 1, (3000, 2))
