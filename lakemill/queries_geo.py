@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from .operators import images, linking, moments, scale, supports
+from .operators import clusters, images, linking, moments, rhythm, scale, supports
 from .queries import _RASTER, _raster_runs, big, query, t
 from .queries import _pixels as _grays
 
@@ -217,3 +217,22 @@ v1 AS (SELECT a.image, a.x, a.y, sum(c * n.v) AS v FROM m a JOIN b USING (image)
 SELECT a.image, CAST(a.x AS INTEGER) AS x, CAST(a.y AS INTEGER) AS y, round(sum(c * n.v), 6) AS v FROM v1 a JOIN b USING (image), k JOIN v1 n ON n.image = a.image AND n.y = a.y AND n.x = least(greatest(a.x + d, 0), w) GROUP BY a.image, a.x, a.y""")
 def image_gaussian(spark, d):
     return images.per_image(_grays(spark, d), images.gaussian).withColumn("v", F.round("v", 6))
+
+
+@query(_RASTER.replace("WITH ink", "WITH RECURSIVE ink") + """, f AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS o, count(*) OVER (PARTITION BY b) AS i, la, lb FROM
+(SELECT a.id AS a, b.id AS b, a.length AS la, b.length AS lb FROM ids a JOIN ids b ON b.line = a.line + 1 AND b.start <= a.start + a.length - 1 AND b.start + b.length - 1 >= a.start)),
+e AS (SELECT a, b FROM f WHERE o = 1 AND i = 1 AND greatest(la, lb) <= 2 * least(la, lb)), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT id AS node, id AS root FROM ids UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.root = w.a), s AS (SELECT node AS id, min(root) AS section FROM reach GROUP BY 1)
+SELECT section, min(line) AS first_line, count(*) AS lines, min(start) AS start, max(start + length - 1) AS stop, CAST(sum(length) AS BIGINT) AS weight, round(sum(length) / count(*), 6) AS thickness FROM ids JOIN s USING (id) GROUP BY section""")
+def section_table(spark, d):
+    members = clusters.sections(_raster_runs(spark, d), ["image"], "line", most_ratio=2.0)
+    return clusters.section_table(members, ["image"], "line").select("section", "first_line", "lines", "start", "stop", "weight", F.round("thickness", 6).alias("thickness"))
+
+
+@query()
+def part_alignment(spark, d):
+    """Conversations as systems, turns as parts: an ordered fold with memory, which SQL can't express."""
+    c = t(spark, d, "conversations")
+    staves = F.when(F.col("turn") % 4 == 1, 2).otherwise(1)
+    rows = c.select((F.col("conv_id") % 5).alias("score"), F.col("conv_id").alias("system"), F.col("turn").alias("place"), staves.alias("staves"), F.when(staves == 2, "5,5").otherwise("5").alias("config"), F.when(F.length("text") % 3 == 0, F.col("role")).alias("name"))
+    return rhythm.align_parts(rows, ["score"], "system", "place", "staves", "config", "name")

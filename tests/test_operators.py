@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakemill.functions import geometry, grades, rational, text
-from lakemill.operators import graphs, images, joins, rhythm, sequences, statistics
+from lakemill.operators import consistency, graphs, images, joins, rhythm, sequences, statistics, supports
 from lakemill.plans.stages import Stages
 from lakemill.sources import files
 
@@ -195,3 +195,52 @@ def test_part_collation_uses_the_anchor(spark):
     rows = [(1, 1, 1, 1), (1, 1, 2, 2), (1, 2, 1, 2), (1, 3, 1, 1)]
     got = {(r["s"], r["p"]): r["logical"] for r in rhythm.collate(spark.createDataFrame(rows, "k int, s int, p int, n int"), ["k"], "s", "p", "n").collect()}
     assert got == {(1, 1): -1, (1, 2): 0, (2, 1): 0, (3, 1): -1}
+
+
+def test_parts_are_aligned_with_those_of_earlier_systems(spark):
+    rows = [
+        (1, 1, 1, 1, "5", "Violin"), (1, 1, 2, 2, "5,5", "Piano"), (1, 1, 3, 1, "5", "Cello"),
+        (1, 2, 1, 2, "5,5", None), (1, 2, 2, 1, "5", "Bass"),  # another name below the anchor: a new part at the end
+        (1, 3, 1, 1, "5", "Flute"), (1, 3, 2, 1, "5", "Vln"), (1, 3, 3, 2, "5,5", "Piano"), (1, 3, 4, 1, "5", "Cello"),  # two new ones on top: neither name is Violin
+        (1, 4, 1, 1, "5", None), (1, 4, 2, 1, "4", None),  # no anchor: dealt upwards from the end
+    ]
+    got = {(r["s"], r["p"]): r["logical"] for r in rhythm.align_parts(spark.createDataFrame(rows, "k int, s int, p int, n int, c string, t string"), ["k"], "s", "p", "n", "c", "t").collect()}
+    # the score: two of the last system, Flute, Vln, Violin, Piano, Cello, Bass
+    assert {got[1, k] for k in (1, 2, 3)} == {got[1, 1], got[1, 1] + 1, got[1, 1] + 2}
+    assert got[2, 1] == got[1, 2] == got[3, 3] and got[2, 2] == got[1, 3] + 1 and got[3, 4] == got[1, 3]
+    assert got[3, 1] < got[3, 2] < got[1, 1] and len(set(got.values())) == 8
+    # nothing fits the last part; it becomes a new one on top, and so does what stands above it
+    assert got[4, 1] == 1 and got[4, 2] == 2
+
+
+def test_fractions_beyond_the_doubles(spark):
+    big = 9007199254740993
+    f = lambda a, b: rational.fraction(F.lit(a).cast("bigint"), F.lit(b).cast("bigint"))
+    r = one(spark, f(big, 1).alias("a"), f(big * 2, -4).alias("b"), rational.plus(f(big, 2), f(1, 2)).alias("s"), rational.times(f(2**62, 3), f(3, 2**61)).alias("p"), rational.times(f(2**62, 1), f(2, 1)).alias("over"), rational.divides(f(1, 2), f(0, 1)).alias("none"), rational.fraction(F.lit(-(2**63)), F.lit(3)).alias("least"), rational.lcm(F.lit(12), F.lit(-18)).alias("m"), rational.common_divisor(f(1, 4), f(5, 6))["den"].alias("d"))
+    assert (r["a"]["num"], r["a"]["den"]) == (big, 1) and (r["b"]["num"], r["b"]["den"]) == (-big, 2)
+    assert (r["s"]["num"], r["s"]["den"]) == ((big + 1) // 2, 1) and (r["p"]["num"], r["p"]["den"]) == (2, 1)
+    assert r["over"] is None and r["none"] is None and r["least"] is None and r["m"] == 36 and r["d"] == 12
+
+
+def test_rules_work_on_each_other(spark):
+    inters = spark.createDataFrame([(1, "Time", "a", 0.5, False), (2, "Time", "a", 0.5, False), (3, "Dot", "a", 0.5, False), (4, "Time", "a", 0.5, True)], "id int, kind string, shape string, grade double, abnormal boolean").withColumn("manual", F.lit(False)).withColumn("may_stay", F.lit(None).cast("boolean"))
+    relations = spark.createDataFrame([(1, 4, "Pair", 0.5), (2, 3, "Pair", 0.5), (3, 1, "On", 0.5)], "src int, dst int, kind string, grade double")
+    kept, left, n = consistency.to_fixpoint(inters, relations, [lambda i, r: consistency.unrelated(i, r, ["Time"], ["Pair"]), lambda i, r: consistency.unrelated(i, r, ["Dot"], ["On"]), lambda i, r: consistency.abnormals(i)])
+    # 4 goes, so 1 has no partner; then 3 stands on nothing, and 2 has no partner
+    assert kept.count() == 0 and left.count() == 0 and n == 4
+
+
+def test_small_pieces_of_the_library(spark):
+    assert geometry.derivative([1.0, 2.0, 3.0]) == [2.0, 6.0] and geometry.derivative([4.0]) == [0.0] and geometry.degree([1.0, 0.0]) == 0 and geometry.same_polynomial([1.0], [1.0, 1e-9])
+    r = one(spark, supports.gap_grade(F.lit("HeadStem"), F.lit(0.0), F.lit(0.0)).alias("full"), supports.gap_grade(F.lit("HeadStem"), F.lit(0.2), F.lit(0.0)).alias("far"), supports.gap_grade(F.lit("ChordBow"), F.lit(-0.1), F.lit(0.0)).alias("none"), supports.ratios(F.lit("BeamStem"), F.lit(0.5), at_side=F.lit(True))[1].alias("side"), supports.ratios(F.lit("ChordTuplet"), F.lit(1.0), tuplet=F.lit(6))[1].alias("six"), supports.ratios(F.lit("HeadStem"), F.lit(1.0), consistency=F.lit(0.5))[0].alias("half"))
+    assert r["full"] == pytest.approx(1) and r["far"] == 0 and r["none"] is None and r["side"] == 6 and r["six"] == pytest.approx(1.34) and r["half"] == 3
+    m = np.random.default_rng(1).integers(0, 255, (9, 11)).astype(float)
+    for radius in (1, 2, 3):
+        for y in range(9):
+            for x in range(11):
+                k = min(radius, x, y, 10 - x, 8 - y)
+                assert images.median(m, radius)[y, x] == np.median(m[y - k : y + k + 1, x - k : x + k + 1])
+    ink = m < 30
+    far = images.chamfer(ink)
+    for y, x in np.ndindex(*m.shape):
+        assert far[y, x] == min(3 * max(abs(y - v), abs(x - u)) + min(abs(y - v), abs(x - u)) for v, u in np.argwhere(ink))
