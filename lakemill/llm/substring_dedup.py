@@ -5,7 +5,7 @@ repeat a window is indexed: a window can repeat only if its anchor, its 5-word r
 different texts (equal windows have equal anchors). Neighbouring suffixes of that kind are kept together as a fragment of the text
 until the suffixes are dealt.
 
-Suffixes are dealt to groups by prefixes of variable length. Suffixes are counted for each three-word prefix; the prefixes
+Suffixes are dealt to groups, and groups by a hash to buckets, by prefixes of variable length. Suffixes are counted for each three-word prefix; the prefixes
 of more suffixes than a group may hold are lengthened and counted again, until each group fits (LEVELS). Only
 a prefix that is a whole window can stay too large: then all its suffixes are leaves of one node, and
 that node's smallest document comes from partial minima (crowded), not from a tree.
@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 GRAM = 5  # words of an anchor
 STEP = 3  # suffixes are cut STEP - 1 words beyond a window
 LEVELS = (3, 5, 8)  # words of the prefixes that are tried before the whole window
-MOST_SENT = 100_000  # heavy prefixes of a length that are sent along with a task, to drop others early
+MOST_SENT = 1_000_000  # heavy prefixes of a length, of 8 bytes, that there may be: they are sent along with a task
 SPREAD = 8  # parts of the copies of one text
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,49 +187,76 @@ def prefix_hashes(batch: pa.RecordBatch, lengths: list[int]) -> tuple[list[list[
     return words, spots, out
 
 
-def heavy_prefixes(frags: DataFrame, window: int, most: int) -> tuple[DataFrame | None, list[int]]:
-    """(prefix) of more than most suffixes, as hashes, over all lengths tried, and these lengths.
+def heavy_prefixes(frags: DataFrame, window: int, most: int) -> list[tuple[int, np.ndarray]]:
+    """For each length tried, the prefixes of more than most suffixes, as hashes: at most (suffixes / most) of them.
 
     A longer length is tried only while some prefix is too heavy, and counts only what a heavy shorter one begins. Two prefixes
-    of one hash are merely dealt together. There are at most (suffixes / most) heavy prefixes of a length.
+    of one hash are merely dealt together.
     """
-    levels = [*(n for n in LEVELS if n < window), window]
-    heavy, last = None, None
-    for k, length in enumerate(levels):
+    out: list[tuple[int, np.ndarray]] = []
+    for length in [*(n for n in LEVELS if n < window), window]:
 
-        known = np.array([r["prefix"] for r in last.limit(MOST_SENT + 1).collect()], dtype=np.int64) if last is not None else []
-
-        def count(batches, lengths=levels[max(0, k - 1) : k + 1], known=known if 0 < len(known) <= MOST_SENT else None):
+        def count(batches, before=tuple(out[-1:]), length=length):
+            lengths = [n for n, _ in before] + [length]
             for batch in pieces(batches, 2_000_000):
                 if batch.num_rows:
                     hashes = prefix_hashes(batch, lengths)[2]
-                    if known is not None:
-                        some = np.isin(hashes[0], known)
-                        hashes = [h[some] for h in hashes]
-                    long, at, n = np.unique(hashes[-1], return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[0][at]), pa.array(long), pa.array(n)], names=["short", "long", "n"])
-
-        counted = frags.mapInArrow(count, "short bigint, long bigint, n bigint")
-        if last is not None:
-            counted = counted.join(last.withColumnRenamed("prefix", "short"), "short", "left_semi")
-        last = materialise(counted.groupBy(F.col("long").alias("prefix")).agg(F.sum("n").alias("n")).where(F.col("n") > most).select("prefix"), "heavy")
-        if last.isEmpty():
-            return heavy, levels[: k + 1]
-        heavy = last if heavy is None else heavy.union(last)
-    return heavy, levels
-
-
-def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
-    """A row for each distinct suffix, with the word before it, of a piece of input: the hashes of its prefixes of the given lengths, its
-    words and the one before it, and its PLACEs."""
-    names = [f"h{n}" for n in lengths]
+                    some = hashes[-1][np.isin(hashes[0], before[0][1])] if before else hashes[-1]
+                    prefix, n = np.unique(some, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(n)], names=["prefix", "n"])
+
+        counted = frags.mapInArrow(count, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+        out.append((length, np.array(sorted(r["prefix"] for r in counted.select("prefix").collect()), dtype=np.int64)))
+        if not len(out[-1][1]):
+            break
+    return out
+
+
+CROWDED = -1  # the bucket of suffixes whose whole window is a heavy prefix
+BLOCK = struct.Struct("<II")
+
+
+def pack(keys: list[str], counts: np.ndarray, places: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Suffixes, how many places each has, and these places, as one compressed block."""
+    text = "\n".join(keys).encode()  # a word has no line break
+    return press.compress(b"".join([BLOCK.pack(len(text), len(keys)), text, counts.astype("<u4").tobytes(), *(places[c].tobytes() for c in PLACE.names)]))
+
+
+def unpack(blocks: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The suffixes of blocks, the number of each place's suffix, and the places."""
+    press, keys, owner, places = zstandard.ZstdDecompressor(), [], [], []
+    for block in blocks:
+        raw = press.decompress(block)
+        size, n = BLOCK.unpack_from(raw)
+        at = BLOCK.size + size + 4 * n
+        counts = np.frombuffer(raw, dtype="<u4", count=n, offset=BLOCK.size + size)
+        owner.append(np.repeat(np.arange(len(keys), len(keys) + n), counts))
+        keys += raw[BLOCK.size : BLOCK.size + size].decode().split("\n")
+        own = np.zeros(int(counts.sum()), dtype=PLACE)
+        for c in PLACE.names:
+            own[c] = np.frombuffer(raw, dtype=PLACE[c], count=len(own), offset=at)
+            at += own[c].nbytes
+        places.append(own)
+    return keys, np.concatenate(owner), np.concatenate(places)
+
+
+def suffixes(frags: DataFrame, window: int, heavy: list[tuple[int, np.ndarray]], buckets: int) -> DataFrame:
+    """(bucket, block): for each bucket, the distinct suffixes of a piece of input that belong there. A suffix's group is its shortest
+    prefix tried that isn't heavy, and a hash deals groups to buckets. A row of a block has the suffix's words, then the word before it."""
     reach = window + STEP - 1
+    lengths = [n for n, _ in heavy]
 
     def run(batches):
-        for batch in pieces(batches, 2_000_000):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in pieces(batches, 3_000_000):
             if not batch.num_rows:
                 continue
             words, spots, hashes = prefix_hashes(batch, lengths)
+            group, still = hashes[0].view(np.uint64), np.ones(len(spots), dtype=bool)
+            for (_, known), h in zip(heavy, hashes, strict=True):
+                group = np.where(still, h.view(np.uint64), group)
+                still &= np.isin(h, known)
+            bucket = np.where(still, CROWDED, (group % np.uint64(buckets)).astype(np.int64))
             where: dict[str, int] = {}
             of: list[int] = []  # the number of each place's suffix
             for w, lead, n in zip(words, batch.column("lead").to_pylist(), batch.column("n").to_pylist(), strict=True):
@@ -238,23 +267,26 @@ def suffixes(frags: DataFrame, window: int, lengths: list[int]) -> DataFrame:
             places = np.zeros(len(of), dtype=PLACE)
             places["doc"], places["tag"] = np.repeat(batch.column("doc").to_numpy(), n), np.repeat(batch.column("tag").to_numpy(), n)
             places["place"] = np.repeat(batch.column("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(of))
-            # in order of their words, suffixes of one group lie side by side and compress well
-            keys = np.array([*where], dtype=object)
-            rank = np.argsort(keys)
+            keys = [*where]
+            del where, words
+            of = np.array(of, dtype=np.int64)
+            own = np.zeros(len(keys), dtype=np.int64)
+            own[of] = bucket
+            # by bucket, then in order of their words, in which they compress well
+            rank = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
+            rank = rank[np.argsort(own[rank], kind="stable")]
             number = np.empty(len(keys), dtype=np.int64)
             number[rank] = np.arange(len(keys))
             at = number[of]
-            order = np.argsort(at, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(keys)))])
-            firsts, keys, places = order[ends[:-1]], keys[rank], places[order]
-            for k in range(0, len(keys), 20_000):
-                part = slice(k, k + 20_000)
-                offsets = ends[k : k + 20_001]
-                data = places[offsets[0] : offsets[-1]].tobytes()
-                packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(((offsets - offsets[0]) * PLACE.itemsize).astype("<i4").tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*(pa.array(h[firsts[part]]) for h in hashes), pa.array(keys[part], pa.string()), packed], names=[*names, "suffix", "places"])
+            places = places[np.argsort(at, kind="stable")]
+            counts = np.bincount(at, minlength=len(keys))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(own[rank]) != 0, [True]])).tolist()
+            rank = rank.tolist()
+            blocks = [pack([keys[k] for k in rank[a:b]], counts[a:b], places[ends[a] : ends[b]], press) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own[np.array(rank)[cuts[:-1]]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
-    return frags.mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", suffix string, places binary")
+    return frags.mapInArrow(run, "bucket bigint, block binary")
 
 
 class SuffixTree:
@@ -315,16 +347,6 @@ def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.nd
 HITS = "doc bigint, tag bigint, place int, length int"
 
 
-def opened(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """How many places each row of a packed column has, and all of them."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, dtype="<i4")[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype="<i4")
-    places = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(PLACE) if ends[-1] > ends[0] else np.zeros(0, dtype=PLACE)
-    return np.diff(ends) // PLACE.itemsize, places
-
-
 def hits(places: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
     some = length > 0
     own = places[some]
@@ -336,80 +358,64 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
     their smallest documents by partial minima."""
 
     def cut(batches):
-        for batch in pieces(batches, 2_000_000):
-            times, places = opened(batch.column("places"))
-            if not len(times):
-                continue
-            nodes, length, rows = [], [], []
-            for r, suffix in enumerate(batch.column("suffix").to_pylist()):
-                words = suffix.split(" ")[:-1]
-                for d in range(window, len(words) + 1):
-                    nodes.append(" ".join(words[:d]))
-                    length.append(d)
-                    rows.append(r)
-            begins = np.cumsum(times) - times
-            low, high = np.minimum.reduceat(places["doc"], begins)[rows], np.maximum.reduceat(places["doc"], begins)[rows]
-            packed = batch.column("places").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(length, pa.int32()), pa.array(low), pa.array(high), packed], names=["node", "length", "low", "high", "places"])
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                keys, owner, places = unpack([block])
+                nodes, length, rows = [], [], []
+                for r, key in enumerate(keys):
+                    words = key.split(" ")[:-1]
+                    for d in range(window, len(words) + 1):
+                        nodes.append(" ".join(words[:d]))
+                        length.append(d)
+                        rows.append(r)
+                counts = np.bincount(owner, minlength=len(keys))
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                low, high = (f.reduceat(places["doc"], ends[:-1])[rows] for f in (np.minimum, np.maximum))
+                packed = [places[ends[r] : ends[r + 1]].tobytes() for r in range(len(keys))]
+                for k in range(0, len(nodes), 10_000):
+                    part = slice(k, k + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part], pa.string()), pa.array(length[part], pa.int32()), pa.array(low[part]), pa.array(high[part]), pa.array([packed[r] for r in rows[part]], pa.binary())], names=["node", "length", "low", "high", "places"])
 
     def mark(batches):
         for batch in pieces(batches, 4_000_000):
-            times, places = opened(batch.column("places"))
+            packed = batch.column("places").to_pylist()
+            times = [len(x) // PLACE.itemsize for x in packed]
+            places = np.frombuffer(b"".join(packed), dtype=PLACE)
             least, length = (np.repeat(batch.column(n).to_numpy(), times) for n in ("least", "length"))
             yield hits(places, np.where(places["doc"] > least, length, 0))
 
-    each = found.select("suffix", "places").mapInArrow(cut, "node string, length int, low bigint, high bigint, places binary")
+    each = found.select("block").mapInArrow(cut, "node string, length int, low bigint, high bigint, places binary")
     least = materialise(each.groupBy("node").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("node", "least"), "least")
     return each.join(least, "node").select("length", "least", "places").mapInArrow(mark, HITS)
 
 
 def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
     """(doc, tag, found): found has (place, length) of removed ranges of each text that has some."""
+    total = frags.agg(F.sum("n")).first()[0] or 0
+    most = max(group_rows, -(-total // MOST_SENT))
+    heavy = heavy_prefixes(frags, window, most)
+    n = max(int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    found = suffixes(frags, window, heavy, n)
 
-    def solve(held: list) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        times, places = opened(table.column("places"))
-        return hits(places, repeated(table.column("suffix").to_pylist(), np.repeat(np.arange(len(times)), times), places["doc"], places["place"], window))
+    def solve(blocks: list[bytes]) -> pa.RecordBatch:
+        keys, owner, places = unpack(blocks)
+        return hits(places, repeated(keys, owner, places["doc"], places["place"], window))
 
     def run(batches):
-        held, rows, last = [], 0, None
+        held, last = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups = batch.column("group").to_numpy()
-            begins = np.flatnonzero(np.concatenate([[groups[0] != last], groups[1:] != groups[:-1]]))
-            if rows + batch.num_rows > group_rows and len(begins):  # cut where the last group begins; none is split
-                cut = int(begins[-1])
-                held += [batch.slice(0, cut)] if cut else []
-                if held:
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if held and bucket != last:
                     yield solve(held)
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows, last = rows + batch.num_rows, groups[-1]
+                    held = []
+                held.append(block)
+                last = bucket
         if held:
             yield solve(held)
 
-    heavy, lengths = heavy_prefixes(frags, window, group_rows)
-    found = suffixes(frags, window, lengths)
-    total = frags.agg(F.sum("n")).first()[0] or 0
-    n = max(int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // group_rows))
-    full = None
-    if heavy is None:
-        found = found.withColumn("group", F.col(f"h{lengths[0]}"))
-    else:
-        # the shortest prefix that isn't heavy; none of a length beyond that is
-        group = F.lit(None).cast("bigint")
-        for length in reversed(lengths):
-            mark = heavy.select(F.col("prefix").alias(f"h{length}"), F.lit(True).alias(f"heavy{length}"))
-            found = found.join(mark, f"h{length}", "left")
-            group = F.when(F.col(f"heavy{length}").isNull(), F.col(f"h{length}")).otherwise(group)
-        found = found.withColumn("group", group)
-        if lengths[-1] == window:
-            full = crowded(found.where("group IS NULL"), window)
-    grouped = found.where("group IS NOT NULL").select("group", "suffix", "places").repartition(n, "group").sortWithinPartitions("group")
-    out = grouped.mapInArrow(run, HITS)
-    if full is not None:
-        out = out.union(full)
+    out = found.where(F.col("bucket") != CROWDED).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, HITS)
+    if heavy[-1][0] == window and len(heavy[-1][1]):
+        out = out.union(crowded(found.where(F.col("bucket") == CROWDED), window))
     return out.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "length")).alias("found"))
 
 
@@ -418,7 +424,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     Returns id_col, n_words, n_removed and kept (the kept words joined by one space), or with digests=True
     kept_sha256; without digests also spans, the removed word ranges (start, stop exclusive). group_rows is how many
-    suffixes a tree may hold. Ids are integers (another type raises TypeError). A null text has no words. A row with a null id has
+    suffixes a group may hold (or a millionth of all, where that is more); a tree holds the groups of one bucket, about as many. Ids are integers (another type raises TypeError). A null text has no words. A row with a null id has
     no place in the order: it is neither compared nor changed. Rows with the same id are not compared with each
     other, whether they repeat a text or not. Texts shorter than a window stay; an empty table gives no row; other
     columns of docs are ignored.
