@@ -8,8 +8,6 @@ Rules without a mandatory trigram are run over every document. DataFrame functio
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as sre_parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,28 +39,105 @@ MORE_RULES = (
 MOST_STRINGS = 16
 
 
-def _literals(parsed) -> list[list[str]]:
+class Pattern:
+    """Reads the part of regular expressions that rules use: literals, sets, groups, alternatives and repeats.
+
+    A branch is a list of (atom, least, most) with most None for no limit; an atom is a character, None for anything that isn't one
+    certain character, or a list of branches (a group). Look-around and back references raise ValueError.
+    """
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+        self.branches = self._branches()
+        if self.at < len(pattern):
+            raise ValueError(f"unbalanced bracket in {pattern!r}")
+
+    def _next(self, wanted: str = "") -> str:
+        """The next character if it is among those wanted (any, if none are), which is then passed; else nothing."""
+        c = self.text[self.at : self.at + 1]
+        if not c or (wanted and c not in wanted):
+            return ""
+        self.at += 1
+        return c
+
+    def _branches(self) -> list:
+        out = [self._sequence()]
+        while self._next("|"):
+            out.append(self._sequence())
+        return out
+
+    def _sequence(self) -> list:
+        out = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            atom = self._atom()
+            out.append((atom, *self._times()))
+        return out
+
+    def _atom(self):
+        c = self._next()
+        if c == "(":
+            if self._next("?"):
+                flags = self.text[self.at : self.text.find(":", self.at)]
+                if flags not in ("", "i"):
+                    raise ValueError(f"a group that isn't understood in {self.text!r}")
+                self.at += len(flags) + 1
+            inner = self._branches()
+            if not self._next(")"):
+                raise ValueError(f"unbalanced bracket in {self.text!r}")
+            return inner
+        if c == "[":
+            self._next("^")
+            first = True
+            while (d := self._next()) and (d != "]" or first):
+                first = False
+                if d == "\\":
+                    self._next()
+            return None
+        if c == "\\":
+            c = self._next()
+            if c == "x":
+                self.at += 2
+                return chr(int(self.text[self.at - 2 : self.at], 16))
+            if c.isdigit():
+                raise ValueError(f"a back reference in {self.text!r}")
+            return None if c.isalpha() else c
+        return None if c in ".^$" else c
+
+    def _times(self) -> tuple[int, int | None]:
+        c = self._next("?*+{")
+        if not c:
+            return 1, 1
+        least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(c, (0, None))
+        if c == "{":
+            stop = self.text.index("}", self.at)
+            low, comma, high = self.text[self.at : stop].partition(",")
+            least, most, self.at = int(low or 0), int(high) if high else (None if comma else int(low)), stop + 1
+        self._next("?+")  # lazy or possessive
+        return least, most
+
+
+def _literals(branches: list) -> list[list[str]]:
     """Alternatives; each is the list of literal runs (lower case) that every match of that alternative contains, in order.
 
     An empty string in the list marks a place where a run ends.
     """
+    return [x for branch in branches for x in _of_branch(branch)]
+
+
+def _of_branch(branch: list) -> list[list[str]]:
     out: list[list[str]] = [[""]]
-    for op, arg in parsed:
-        if op is sre.LITERAL:
-            nexts = [[[chr(arg).lower()]]]
-        elif op is sre.SUBPATTERN:
-            nexts = [_literals(arg[-1])]
-        elif op is sre.BRANCH:
-            nexts = [[x for branch in arg[1] for x in _literals(branch)]]
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[:2] == (0, 1) and len(_literals(arg[2])) == 1:
-            nexts = [[[""], *_literals(arg[2])]]  # with or without it
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-            nexts = [[["", *x, "", ""] for x in _literals(arg[2])]]
+    for atom, least, most in branch:
+        inner = _literals(atom) if isinstance(atom, list) else [[atom.lower()]] if atom is not None else [["", "", ""]]
+        if (least, most) == (1, 1):
+            choices = inner
+        elif (least, most) == (0, 1) and len(inner) == 1:
+            choices = [[""], *inner]  # with or without it
+        elif least >= 1:
+            choices = [["", *x, "", ""] for x in inner]
         else:
-            nexts = [[["", "", ""]]]
-        for choices in nexts:
-            joined = [_join(a, b) for a in out for b in choices]
-            out = joined if len(joined) <= MOST_STRINGS else [[*a, "", ""] for a in out]
+            choices = [["", "", ""]]
+        joined = [_join(a, b) for a in out for b in choices]
+        out = joined if len(joined) <= MOST_STRINGS else [[*a, "", ""] for a in out]
     return out
 
 
@@ -73,7 +148,7 @@ def _join(a: list[str], b: list[str]) -> list[str]:
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """OR of ANDs; None where some alternative has no mandatory trigram."""
     out = []
-    for runs in _literals(sre_parser.parse(pattern)):
+    for runs in _literals(Pattern(pattern).branches):
         grams = frozenset(run[i : i + 3] for run in runs for i in range(len(run) - 2))
         if not grams:
             return None

@@ -549,6 +549,12 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("abcd|xyz") == [frozenset({"abc", "bcd"}), frozenset({"xyz"})]
     assert secret_scan.trigram_query("ab?cd") == [frozenset({"acd"}), frozenset({"abc", "bcd"})]
     assert secret_scan.trigram_query("[0-9]+") is None and secret_scan.trigram_query("abc|d") is None
+    assert secret_scan.trigram_query(r"(?:a[]x]b|\x41B(c{1,3})d\.)e") is None and secret_scan.trigram_query(r"xy(?i:AB|c)+z?") is None
+    assert secret_scan.trigram_query(r"tok\.en(?:ab|cd)") == [frozenset({"tok", "ok.", "k.e", ".en", "ena", "nab"}), frozenset({"tok", "ok.", "k.e", ".en", "enc", "ncd"})]
+    assert secret_scan.trigram_query(secret_scan.BASE_RULES[0].pattern)[:2] == [frozenset({"pas", "ass", "ssw", "swo", "wor", "ord"}), frozenset({"pas", "ass", "ssw", "swd"})]
+    for bad in ("(a", "a)", "(?=a)", r"(a)\1"):
+        with pytest.raises(ValueError):
+            secret_scan.trigram_query(bad)
 
 
 # 8
