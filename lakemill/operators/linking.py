@@ -97,3 +97,9 @@ def phrases(words: DataFrame, keys: list[str], most_gap: Column) -> DataFrame:
     """(keys, phrase, x, w, text): words merged up to the gap."""
     grouped = word_groups(words, keys, most_gap).groupBy(*keys, "phrase").agg(F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("stop"), F.array_sort(F.collect_list(F.struct(F.col("x").alias("at"), "id", "text"))).alias("parts"))
     return grouped.select(*keys, "phrase", "x", (F.col("stop") - F.col("x")).alias("w"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
+
+
+def combs(points: DataFrame, keys: list[str], order: list[str], y: str, low: float, high: float) -> DataFrame:
+    """points with dy, the distance to the point before in order, and linked: is it within [low, high], as neighbouring lines of a staff are?"""
+    dy = F.col(y) - F.lag(y).over(Window.partitionBy(*keys).orderBy(*order))
+    return points.withColumn("dy", dy).withColumn("linked", F.coalesce(F.col("dy").between(low, high), F.lit(False)))

@@ -121,3 +121,12 @@ def median_filter(df: DataFrame, keys: list[str], x: str, v: str, radius: int =
     lead = F.least(F.lit(radius), F.col("i") - 1)
     own = F.slice("near", (F.col("lead") - F.col("r") + 1).cast("int"), (2 * F.col("r") + 1).cast("int"))
     return placed.withColumn("near", near).withColumn("lead", lead).withColumn("median", F.sort_array(own)[F.col("r").cast("int")]).drop("i", "r", "near", "lead")
+
+
+def union_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, length): the pixels of all runs of each key (a line of an image) as disjoint runs; runs that overlap or touch become one."""
+    w = Window.partitionBy(*keys).orderBy("start", "length")
+    before = F.max(F.col("start") + F.col("length")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.select(*keys, "start", "length").withColumn("fresh", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("island", F.sum("fresh").over(w))
+    return numbered.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("stop")).select(*keys, "start", (F.col("stop") - F.col("start")).alias("length"))

@@ -95,3 +95,10 @@ def by_best_source(edges: DataFrame, rows: DataFrame, grade: str = "grade") -> D
     """Relations with rank, 1 for that whose source has the best grade; ties in order of source, target and kind. One global order: for a report."""
     graded = edges.join(rows.select(F.col("id").alias("src"), F.col(grade).alias("source_grade")), "src")
     return graded.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("source_grade"), "src", "dst", "kind")))
+
+
+def by_mean_grade(collections: DataFrame, members: DataFrame, keys: list[str], grade: str = "grade") -> DataFrame:
+    """The collections with mean (null for one without members) and rank, 1 for the best; nulls last, then in order of the keys. One global
+    order: for a report."""
+    means = members.groupBy(*keys).agg(F.avg(grade).alias("mean"))
+    return collections.select(*keys).distinct().join(means, keys, "left").withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("mean"), *keys)))

@@ -443,12 +443,12 @@ def part_collation(spark, d):
 
 # scalar functions and text
 
-_SPECS = "(VALUES (1, '1-3, 5 7, 9-'), (2, '4'), (3, ''), (4, '10 2 99')) AS s(id, spec)"
 
-
-@query(f"SELECT id, CASE id WHEN 1 THEN '1-3,5,7,9-12' WHEN 2 THEN '4' WHEN 3 THEN '' ELSE '10,2' END AS encoded FROM {_SPECS}")
+@query("SELECT p_partkey AS id, (1 + p_size % 9) || '-' || (3 + p_size % 9) || ',' || (7 + p_size % 9) || CASE WHEN p_partkey % 2 = 0 THEN '-12' ELSE '' END AS encoded FROM part WHERE 7 + p_size % 9 < 11")
 def natural_spec(spark, d):
-    s = spark.createDataFrame([(1, "1-3, 5 7, 9-"), (2, "4"), (3, ""), (4, "10 2 99")], "id int, spec string")
+    a = F.col("p_size") % 9
+    spec = F.concat(1 + a, F.lit("-"), 3 + a, F.lit(", "), 7 + a, F.when(F.col("p_partkey") % 2 == 0, "-").otherwise(""))
+    s = t(spark, d, "part").where(7 + a < 11).select(F.col("p_partkey").alias("id"), spec.alias("spec"))
     return s.select("id", text.encode_spec(text.decode_spec(F.col("spec"), 12)).alias("encoded"))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import clusters, images, linking, moments, rhythm, scale, supports
+from .operators import clusters, graphs, images, linking, moments, rhythm, scale, sequences, supports
 from .queries import _RASTER, _raster_runs, big, query, t
 from .queries import _pixels as _grays
 
@@ -236,3 +237,25 @@ def part_alignment(spark, d):
     staves = F.when(F.col("turn") % 4 == 1, 2).otherwise(1)
     rows = c.select((F.col("conv_id") % 5).alias("score"), F.col("conv_id").alias("system"), F.col("turn").alias("place"), staves.alias("staves"), F.when(staves == 2, "5,5").otherwise("5").alias("config"), F.when(F.length("text") % 3 == 0, F.col("role")).alias("name"))
     return rhythm.align_parts(rows, ["score"], "system", "place", "staves", "config", "name")
+
+
+@query("""WITH u AS (SELECT DISTINCT CAST(user_id % 40 AS INTEGER) AS line, CAST(hour(ts) AS INTEGER) AS x FROM events WHERE event_type IN ('purchase', 'view')),
+g AS (SELECT line, x, x - row_number() OVER (PARTITION BY line ORDER BY x) AS k FROM u) SELECT line, min(x) AS start, CAST(count(*) AS INTEGER) AS length FROM g GROUP BY line, k""")
+def run_union(spark, d):
+    ink = t(spark, d, "events").select((F.col("user_id") % 40).cast("int").alias("line"), F.hour("ts").alias("x"), "event_type").where("event_type IN ('purchase', 'view')").distinct()
+    k = F.col("x") - F.row_number().over(Window.partitionBy("line", "event_type").orderBy("x"))
+    runs = ink.withColumn("k", k).groupBy("line", "event_type", "k").agg(F.min("x").alias("start"), F.count("*").cast("int").alias("length"))
+    return sequences.union_runs(runs, ["line"])
+
+
+@query(f"""WITH RECURSIVE {_IMAGES.split(", box AS")[0]}, n AS (SELECT image, x, y, v + 1000 * (x // 4) AS v, image * 4294967296 + y * 65536 + x AS id FROM e),
+l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.image = b.image AND a.v = b.v AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+reach AS (SELECT id AS node, id AS root FROM n UNION SELECT r.node, l.b FROM reach r JOIN l ON r.root = l.a), c AS (SELECT node, min(root) AS region FROM reach GROUP BY node)
+SELECT CAST(region AS BIGINT) AS region, count(*) AS n FROM c GROUP BY region""")
+def flood_regions(spark, d):
+    p = _grays(spark, d).withColumn("v", F.col("v") + 1000 * F.floor(F.col("x") / 4))
+    base = F.col("image").cast("bigint") * 4294967296
+    edges = images.flood(p).select((base + F.col("p")).alias("a"), (base + F.col("q")).alias("b"))
+    nodes = p.select((base + F.col("y") * 65536 + F.col("x")).alias("node"))
+    found = nodes.join(graphs.components(edges), "node", "left")
+    return found.groupBy(F.coalesce("root", "node").alias("region")).agg(F.count("*").alias("n"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import clusters, curves, graphs, joins, rules, scale, sequences
+from .operators import clusters, curves, graphs, joins, linking, rules, scale, sequences
 from .queries import query, t
 
 _REL = """WITH rel AS (SELECT CASE l_orderkey % 3 WHEN 0 THEN 'HeadStem' WHEN 1 THEN 'AlterHead' ELSE 'BeamStem' END AS kind, l_suppkey AS src, 1000000 + l_partkey AS dst, max(l_discount) AS grade FROM lineitem GROUP BY ALL)"""
@@ -159,9 +158,8 @@ def global_slope(spark, d):
 @query("""WITH d AS (SELECT l_suppkey, l_quantity, l_orderkey, l_linenumber, l_partkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS dy FROM lineitem)
 SELECT l_suppkey, count(*) AS links FROM d WHERE dy BETWEEN 1 AND 3 GROUP BY 1""")
 def combs(spark, d):
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    c = t(spark, d, "lineitem").withColumn("dy", F.col("l_quantity") - F.lag("l_quantity").over(w))
-    return c.where(F.col("dy").between(1, 3)).groupBy("l_suppkey").agg(F.count("*").alias("links"))
+    c = linking.combs(t(spark, d, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], "l_quantity", 1, 3)
+    return c.where("linked").groupBy("l_suppkey").agg(F.count("*").alias("links"))
 
 
 @query("SELECT user_id, min(x) AS start, max(x) AS stop FROM (SELECT user_id, x, x - row_number() OVER (PARTITION BY user_id ORDER BY x) AS k FROM (SELECT u.user_id, h.x FROM (SELECT DISTINCT user_id FROM events) u, range(24) AS h(x) ANTI JOIN (SELECT DISTINCT user_id, hour(ts) AS x FROM events) e ON e.user_id = u.user_id AND e.x = h.x)) GROUP BY user_id, k")

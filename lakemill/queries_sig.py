@@ -110,6 +110,13 @@ def sig_by_best_source(spark, d):
     return sig.by_best_source(sig.relations(edges, ["AlterHead"]), rows).select("src", "dst", "kind", big(F.col("rank")).alias("rank"))
 
 
+@query(_GRAPH + ", m AS (SELECT shape, avg(grade) FILTER (NOT abnormal AND direction = 1) AS mean FROM inters GROUP BY shape) SELECT shape, round(mean, 6) AS mean, row_number() OVER (ORDER BY round(mean, 9) DESC NULLS LAST, shape) AS rank FROM m")
+def sig_by_mean_grade(spark, d):
+    rows = _inters(spark, d)
+    ranked = sig.by_mean_grade(rows, rows.where("NOT abnormal AND direction = 1"), ["shape"])
+    return ranked.select("shape", F.round("mean", 6).alias("mean"), big(F.col("rank")).alias("rank"))
+
+
 # supports
 
 _GAP = "CASE WHEN ix <= 0 OR iy <= 0 THEN 0.0 ELSE exp((w * ln(ix) + ln(iy)) / (w + 1)) END"
