@@ -90,7 +90,7 @@ def test_text_helpers(spark):
 def test_word_scan_covers_all_lines(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     want = Counter((r["doc_id"], n + 1, k + 1, w) for r in docs for n, line in enumerate((r["text"] or "").split("\n")) for k, w in enumerate(re.findall(r"[^ \t\r\f\v]+", line)))
-    got = QUERIES["word_scan_lines"](spark, DATA).collect()
+    got = QUERIES["word_scan"](spark, DATA).collect()
     assert Counter((r["doc_id"], r["line_number"], r["k"], r["word"]) for r in got) == want
     assert all(r["size"] == len(r["word"]) for r in got) and max(r["line_number"] for r in got) > 1
 
@@ -98,7 +98,7 @@ def test_word_scan_covers_all_lines(spark):
 def test_all_edges_are_used(spark):
     rows = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
     want = Counter(k for k, _ in {(r["l_suppkey"], r["l_partkey"]) for r in rows})
-    assert {r["suppkey"]: r["parts"] for r in QUERIES["competing_inters_all"](spark, DATA).collect()} == want
+    assert {r["suppkey"]: r["parts"] for r in QUERIES["edge_counts"](spark, DATA).collect()} == want
 
 
 def test_many_partners_in_conflict():
