@@ -177,17 +177,19 @@ def shared_ledgers(ledgers: DataFrame) -> DataFrame:
 
 
 def owners(ledgers: DataFrame, heads: DataFrame) -> DataFrame:
-    """(id, staff) that keeps each shared ledger: that to which its best head is nearer in steps (the upper one on a tie); null where it has no head.
+    """(id, staff) that keeps each shared ledger: that to which its best head is nearer in steps (the upper one on a tie); null where it has no head. Of the heads of one middle the best stands for all.
     ledgers: id, upper_y, lower_y, interline and the box (x, y, w, h) within which heads count; heads: id, grade, x, y, w, h."""
-    c = heads.select(F.col("id").alias("head"), "grade", center("x", "w").alias("cx"), center("y", "h").alias("cy"))
+    c = heads.select(F.col("id").alias("head"), (-F.col("grade")).alias("g"), center("x", "w").alias("cx"), center("y", "h").alias("cy"))
+    c = c.groupBy("cx", "cy").agg(F.min(F.struct("g", "head")).alias("first")).select("cx", "cy", "first.g", "first.head")
+    facts = ["x", "y", "w", "h", "upper_y", "lower_y", "interline", "upper"]
     met = (F.col("cx") >= F.col("x")) & (F.col("cx") < F.col("x") + F.col("w")) & (F.col("cy") >= F.col("y")) & (F.col("cy") < F.col("y") + F.col("h"))
     bucket = lambda low, high: F.explode(F.sequence(F.floor(low / 64), F.floor(high / 64))).alias("b")
-    both = ledgers.select("*", bucket(F.col("x"), F.col("x") + F.col("w"))).join(c.select("*", F.floor(F.col("cx") / 64).alias("b")), "b").where(met)
-    best = both.groupBy("id").agg(F.min(F.struct((-F.col("grade")).alias("g"), "head", "cy", "upper_y", "lower_y", "interline", "upper")).alias("s"))
-    steps = lambda d: F.rint(d / (0.5 * F.col("s.interline")))
-    lower = steps(F.col("s.lower_y") - F.col("s.cy")) > steps(F.col("s.cy") - F.col("s.upper_y"))
-    own = best.select("id", (F.col("s.upper") + lower.cast("int")).alias("staff"))
-    return ledgers.select("id").join(own, "id", "left")
+    both = ledgers.select(*facts).distinct().select("*", bucket(F.col("x"), F.col("x") + F.col("w"))).join(c.select("*", F.floor(F.col("cx") / 64).alias("b")), "b").where(met)
+    best = both.groupBy(*facts).agg(F.min(F.struct("g", "head", "cy")).alias("s"))
+    steps = lambda d: F.rint(d / (0.5 * F.col("interline")))
+    lower = steps(F.col("lower_y") - F.col("s.cy")) > steps(F.col("s.cy") - F.col("upper_y"))
+    own = best.select(*facts, (F.col("upper") + lower.cast("int")).alias("staff"))
+    return ledgers.select("id", *facts).join(own, facts, "left").select("id", "staff")
 
 
 def purged(ledgers: DataFrame, gone: DataFrame) -> DataFrame:
