@@ -77,7 +77,10 @@ def nearest_in_column(symbols: DataFrame, chords: DataFrame, keys: list[str], mo
 
 
 def aligned_below(peaks: DataFrame, most_shift: float) -> DataFrame:
-    """(staff, top, bottom, shift): peaks (id, staff, x) and those of the next staff at most most_shift aside; one partner on each side, the nearest, then the smaller id."""
+    """(staff, top, bottom, shift): peaks (id, staff, x) and those of the next staff at most most_shift aside; one partner on each side, the nearest, then the smaller id.
+
+    Of the peaks of one place in a staff only the smallest id can be anybody's best, so the others aren't compared."""
+    peaks = peaks.groupBy("staff", "x").agg(F.min("id").alias("id"))
     a = peaks.select("staff", F.col("id").alias("top"), F.col("x").alias("x1")).withColumn("b", _buckets(F.col("x1") - most_shift, F.col("x1") + most_shift, max(most_shift, 1e-9)))
     b = peaks.select((F.col("staff") - 1).alias("staff"), F.col("id").alias("bottom"), F.col("x").alias("x2")).withColumn("b", F.floor(F.col("x2") / max(most_shift, 1e-9)))
     met = a.join(b, ["staff", "b"]).withColumn("shift", F.col("x2") - F.col("x1")).where(F.abs("shift") <= most_shift)

@@ -29,3 +29,8 @@ def test_ledgers_of_one_place_have_one_owner(bounded):
     heads = copies(bounded, MANY, grade=0.5, x=5, y=180, w=10, h=8)
     got = consistency.owners(ledgers, heads).groupBy("staff").count().collect()
     assert [tuple(r) for r in got] == [(2, MANY)]
+
+
+def test_peaks_of_one_place_have_one_partner(bounded):
+    peaks = copies(bounded, 0, staff=0, x=7).union(copies(bounded, MANY, staff=1, x=9))
+    assert [tuple(r) for r in linking.aligned_below(peaks, 15.0).collect()] == [(0, 0, MANY, 2)]
