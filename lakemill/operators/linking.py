@@ -63,17 +63,21 @@ def best_link(candidates: DataFrame, per: str = "src") -> DataFrame:
 
 def nearest_in_column(symbols: DataFrame, chords: DataFrame, keys: list[str], most_dx: float, above: bool | None = None) -> DataFrame:
     """(symbol, chord, distance): for each symbol (dynamics, pedals, fermatas, wedges' ends) the chord whose middle lies at most most_dx
-    beside its own in x, nearest in y, then in x, then by id; above: only chords above (True) or below (False) the symbol."""
+    beside its own in x, nearest in y, then in x, then by id; above: only chords above (True) or below (False) the symbol. Symbols of one middle have one
+    answer, and of chords of one middle the smallest id stands for all."""
     mid = lambda df, n: df.select(*keys, F.col("id").alias(n), (F.col("x") + F.col("w") / 2).alias(f"{n}_x"), (F.col("y") + F.col("h") / 2).alias(f"{n}_y"))
     width = max(most_dx, 1e-9)
-    a = mid(symbols, "symbol").withColumn("b", _buckets(F.col("symbol_x") - most_dx, F.col("symbol_x") + most_dx, width))
-    b = mid(chords, "chord").withColumn("b", F.floor(F.col("chord_x") / width))
+    rows, place = mid(symbols, "symbol"), [*keys, "symbol_x", "symbol_y"]
+    a = rows.select(*place).distinct().withColumn("b", _buckets(F.col("symbol_x") - most_dx, F.col("symbol_x") + most_dx, width))
+    b = mid(chords, "chord").groupBy(*keys, "chord_x", "chord_y").agg(F.min("chord").alias("chord")).withColumn("b", F.floor(F.col("chord_x") / width))
     dx, dy = F.abs(F.col("chord_x") - F.col("symbol_x")), F.col("chord_y") - F.col("symbol_y")
-    met = a.join(b, [*keys, "b"]).where(dx <= most_dx)
-    if above is not None:
-        met = met.where(dy < 0 if above else dy > 0)
-    best = met.groupBy("symbol").agg(F.min(F.struct(F.abs(dy).alias("dy"), dx.alias("dx"), "chord")).alias("s"))
-    return best.select("symbol", F.col("s.chord").alias("chord"), F.col("s.dy").alias("distance"))
+    side = F.lit(True) if above is None else dy < 0 if above else dy > 0
+    pairs = lambda asked: asked.join(b, [*keys, "b"]).where((dx <= most_dx) & side)
+    # a pass for the distance and one for the chords that have it, so that pairs aren't sorted
+    least = pairs(a).groupBy(*place).agg(F.min(F.abs(dy)).alias("dy"))
+    met = pairs(a.join(least, place)).where(F.abs(dy) == F.col("dy"))
+    best = met.groupBy(*place).agg(F.min(F.struct("dy", dx.alias("dx"), "chord")).alias("s"))
+    return rows.join(best, place).select("symbol", F.col("s.chord").alias("chord"), F.col("s.dy").alias("distance"))
 
 
 def aligned_below(peaks: DataFrame, most_shift: float) -> DataFrame:

@@ -34,3 +34,9 @@ def test_ledgers_of_one_place_have_one_owner(bounded):
 def test_peaks_of_one_place_have_one_partner(bounded):
     peaks = copies(bounded, 0, staff=0, x=7).union(copies(bounded, MANY, staff=1, x=9))
     assert [tuple(r) for r in linking.aligned_below(peaks, 15.0).collect()] == [(0, 0, MANY, 2)]
+
+
+def test_symbols_of_one_place_have_one_chord(bounded):
+    symbols, chords = copies(bounded, 0, staff=0, x=10, y=50, w=4, h=4), copies(bounded, MANY, staff=0, x=12, y=30, w=4, h=4)
+    got = linking.nearest_in_column(symbols, chords, ["staff"], 30.0, above=True).groupBy("chord", "distance").count().collect()
+    assert [tuple(r) for r in got] == [(MANY, 20.0, MANY)]
