@@ -40,3 +40,10 @@ def test_symbols_of_one_place_have_one_chord(bounded):
     symbols, chords = copies(bounded, 0, staff=0, x=10, y=50, w=4, h=4), copies(bounded, MANY, staff=0, x=12, y=30, w=4, h=4)
     got = linking.nearest_in_column(symbols, chords, ["staff"], 30.0, above=True).groupBy("chord", "distance").count().collect()
     assert [tuple(r) for r in got] == [(MANY, 20.0, MANY)]
+
+
+def test_ledgers_of_one_place_are_judged_once(bounded):
+    ledgers = copies(bounded, 0, staff=0, line=1, x=0, y=100, w=30, h=2).union(copies(bounded, MANY, staff=0, line=2, x=5, y=100, w=30, h=2)).union(copies(bounded, 2 * MANY, staff=0, line=3, x=500, y=100, w=30, h=2))
+    heads = copies(bounded, 0, x=30, y=90, w=10, h=10, pitch=8).drop("id")
+    bare = consistency.bare_ledgers(ledgers, heads, 20).agg(F.min("id"), F.count("*")).first()
+    assert tuple(bare) == (2 * MANY, MANY)  # line 2 carries the heads, line 1 line 2
