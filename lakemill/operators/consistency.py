@@ -101,12 +101,18 @@ def wrong_stem_ends(relations: DataFrame) -> DataFrame:
     return sig.relations(relations, ["HeadStem"], bad & ~F.coalesce(F.col("percussion"), F.lit(False))).select("src", "dst", "kind")
 
 
-def shorter_romans(inters: DataFrame, shapes: list[str], width: float = 64.0) -> DataFrame:
-    """Roman numbers (text) that have a common area with a longer one. Boxes are met through buckets of x."""
-    own = sig.inters(inters, shapes=shapes).withColumn("size", F.length("text"))
-    side = lambda n: own.select(F.explode(F.sequence(F.floor(F.col("x") / width), F.floor((F.col("x") + F.col("w")) / width))).alias("b"), *[F.col(c).alias(f"{c}{n}") for c in ("id", "x", "y", "w", "h", "size")])
+def shorter_romans(inters: DataFrame, shapes: list[str], width: float = 16.0) -> DataFrame:
+    """Roman numbers (text) that have a common area with a longer one. Boxes are met through cells of x and y; those of one place and size
+    are one box, with its longest text on the one side and each length on the other."""
+    box = ["x", "y", "w", "h"]
+    own = sig.inters(inters, shapes=shapes).select("id", *box, F.length("text").alias("size"))
+    cells = lambda c, size: F.explode(F.sequence(F.floor(F.col(c) / width), F.floor((F.col(c) + F.col(size)) / width)))
+    put = lambda df: df.withColumn("bx", cells("x", "w")).withColumn("by", cells("y", "h"))
+    side = lambda df, n: put(df).select("bx", "by", *[F.col(c).alias(f"{c}{n}") for c in [*box, "size"]])
+    longest, each = own.groupBy(*box).agg(F.max("size").alias("size")), own.select(*box, "size").distinct()
     common = "x1 < x2 + w2 AND x2 < x1 + w1 AND y1 < y2 + h2 AND y2 < y1 + h1"
-    return side(1).join(side(2), "b").where(f"size1 > size2 AND {common}").select(F.col("id2").alias("id")).distinct()
+    hit = side(longest, 1).join(side(each, 2), ["bx", "by"]).where(f"size1 > size2 AND {common}").select(*[F.col(f"{c}2").alias(c) for c in [*box, "size"]]).distinct()
+    return own.join(hit, [*box, "size"], "left_semi").select("id").distinct()
 
 
 def slurs_on_tuplets(inters: DataFrame, widest: int, good: float, width: float = 64.0) -> DataFrame:

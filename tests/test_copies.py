@@ -47,3 +47,9 @@ def test_ledgers_of_one_place_are_judged_once(bounded):
     heads = copies(bounded, 0, x=30, y=90, w=10, h=10, pitch=8).drop("id")
     bare = consistency.bare_ledgers(ledgers, heads, 20).agg(F.min("id"), F.count("*")).first()
     assert tuple(bare) == (2 * MANY, MANY)  # line 2 carries the heads, line 1 line 2
+
+
+def test_romans_of_one_place_are_compared_once(bounded):
+    short, long = copies(bounded, 0, kind="Roman", shape="R", x=0, y=0, w=9, h=9, text="I"), copies(bounded, MANY, kind="Roman", shape="R", x=5, y=5, w=9, h=9, text="III")
+    gone = consistency.shorter_romans(short.union(long), ["R"]).agg(F.max("id"), F.count("*")).first()
+    assert tuple(gone) == (MANY - 1, MANY)
