@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,67 @@ def best_link(candidates: DataFrame, per: str = "src") -> DataFrame:
     return candidates.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def best_connections(sources: DataFrame, targets: DataFrame, keys: list[str], kind: str, interline: float, per: str = "src", digits: int = 9) -> DataFrame:
+    """What connections() gives with middles as anchors, but of each source (per "dst": of each target) only the best, by the grade to so
+    many digits, then by the other end's id. An id has one box; keys aren't null.
+
+    Boxes of one place and size are one: of theirs, the smallest id is the best other end, or the second smallest for the smallest itself.
+    Places are dealt to cells of x and y, and each cell's pairs are graded as matrices, of which a place's best goes on.
+    """
+    x_in, x_out, y_most = supports.GAPS[kind]
+    reach, rise = x_out * interline, y_most * interline
+    across, down = max(reach, 2.0 * interline), max(rise, interline)
+    own, others = (sources, targets) if per == "src" else (targets, sources)
+    place = [*keys, "x", "y", "w", "h"]
+    rows = own.where("id IS NOT NULL").select("id", *place).distinct()
+    every = others.where("id IS NOT NULL").select("id", *place).distinct()
+    ends = every.groupBy(*place).agg(F.min("id").alias("first"))
+    second = every.join(ends, place).where("id > first").groupBy(*place).agg(F.min("id").alias("second"))
+    box = [F.col(c).cast("double").alias(c) for c in "xywh"]
+    middle = F.col("y") + F.col("h") / 2
+    cells = lambda df, r, d: df.withColumn("bx", _buckets(F.col("x") - r, F.col("x") + F.col("w") + r, across)).withColumn("by", _buckets(middle - d, middle + d, down))
+    asked = cells(rows.select(*keys, *box).distinct(), reach, rise)
+    given = cells(ends.select(*keys, *box, "first"), 0, 0)
+    id_kind = dict(ends.dtypes)["first"]
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("first", kind="stable")
+        x2, y2, w2, h2 = (b[c].to_numpy() for c in "xywh")
+        m2, step, found = y2 + h2 / 2, max(1, 1_000_000 // max(1, len(b))), []
+        for at in range(0, len(a) if len(b) else 0, step):
+            some = a.iloc[at : at + step]
+            x1, y1, w1, h1 = (some[c].to_numpy()[:, None] for c in "xywh")
+            overlap = np.minimum(x1 + w1, x2 + w2) - np.maximum(x1, x2)
+            gap = np.maximum(0.0, np.maximum(x2 - (x1 + w1), x1 - (x2 + w2)))
+            dx = np.where(overlap > 0, -overlap if x_in is not None else 0.0, gap) / interline
+            dy = np.abs(y1 + h1 / 2 - m2) / interline
+            left = lambda d, most: np.clip((most - d) / most, 0.0, 1.0) if most else np.zeros_like(d)
+            ix = np.where(dx >= 0, left(dx, x_out), left(-dx, x_in) if x_in is not None else 0.0)
+            w, iy = np.where(dx >= 0, supports.X_OUT_WEIGHT, supports.X_IN_WEIGHT), left(dy, y_most)
+            with np.errstate(divide="ignore"):
+                grade = np.exp((w * np.log(ix) + supports.Y_WEIGHT * np.log(iy)) / (w + supports.Y_WEIGHT))
+            grade[(x1 == x2) & (y1 == y2) & (w1 == w2) & (h1 == h2)] = 0.0  # a place's own ends are met by id
+            rank = np.round(grade, digits)
+            best = rank.argmax(axis=1)  # the smallest id of equal ones
+            line = np.arange(len(some))
+            out = some[[*keys, *"xywh"]].assign(rank=-rank[line, best], other=b["first"].to_numpy()[best], dx=dx[line, best], dy=dy[line, best])
+            found.append(out[grade[line, best] >= supports.LEAST_GRADE])
+        return pd.concat(found) if found else a[[*keys, *"xywh"]].iloc[:0].assign(rank=0.0, other=b["first"].iloc[:0], dx=0.0, dy=0.0)
+
+    fields = ", ".join([f"`{k}` {asked.schema[k].dataType.simpleString()}" for k in keys] + [f"{c} double" for c in "xywh"])
+    cell = [*keys, "bx", "by"]
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else AQE would join small exchanges to one task
+    met = asked.repartition(parts, *cell).groupBy(*cell).cogroup(given.repartition(parts, *cell).groupBy(*cell)).applyInPandas(solve, f"{fields}, rank double, other {id_kind}, dx double, dy double")
+    won = met.groupBy(*keys, *"xywh").agg(F.min(F.struct("rank", "other", "dx", "dy")).alias("s")).select(*keys, *"xywh", "s.other", "s.dx", "s.dy")
+    far = rows.select("id", *keys, *box).join(won, [*keys, *"xywh"]).select(*keys, "id", "other", "dx", "dy")
+    here = rows.join(ends, place).join(second, place, "left").withColumn("other", F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))).where("other IS NOT NULL")
+    inside = F.when(F.col("w") > 0, -F.col("w") / interline).otherwise(0.0) if x_in is not None else F.lit(0.0)
+    graded = supports.supports(far.unionByName(here.select(*keys, "id", "other", inside.alias("dx"), F.lit(0.0).alias("dy"))).withColumn("kind", F.lit(kind)))
+    best = graded.groupBy(*keys, "id").agg(F.min(F.struct((-F.round("grade", digits)).alias("g"), "other", "dx", "dy", "grade", "src_ratio", "dst_ratio")).alias("s")).select(*keys, "id", "s.*")
+    src, dst = ("id", "other") if per == "src" else ("other", "id")
+    return best.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("kind"), "dx", "dy", "grade", "src_ratio", "dst_ratio")
+
+
 def nearest_in_column(symbols: DataFrame, chords: DataFrame, keys: list[str], most_dx: float, above: bool | None = None) -> DataFrame:
     """(symbol, chord, distance): for each symbol (dynamics, pedals, fermatas, wedges' ends) the chord whose middle lies at most most_dx
     beside its own in x, nearest in y, then in x, then by id; above: only chords above (True) or below (False) the symbol. Symbols of one middle have one

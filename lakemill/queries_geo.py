@@ -41,9 +41,8 @@ SELECT src, dst, round(grade, 6) AS grade, round(1 + {cs} * grade, 6) AS src_rat
 
 def _links(spark, d, kind, per):
     b = _boxes(spark, d)
-    found = linking.connections(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["staff"], kind, 20.0)
-    best = linking.best_link(found.withColumn("exact", F.col("grade")).withColumn("grade", F.round("grade", 9)), per)
-    return best.select("src", "dst", F.round("exact", 6).alias("grade"), F.round("src_ratio", 6).alias("src_ratio"), F.round("dst_ratio", 6).alias("dst_ratio"))
+    best = linking.best_connections(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["staff"], kind, 20.0, per=per)
+    return best.select("src", "dst", F.round("grade", 6).alias("grade"), F.round("src_ratio", 6).alias("src_ratio"), F.round("dst_ratio", 6).alias("dst_ratio"))
 
 
 @query(_link_sql("HeadStem", "src"))
