@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sig
+from . import joins, sig
 from .tables import cut
 
 
@@ -133,17 +133,27 @@ def late_time_signatures(inters: DataFrame, notes: list[str], times: list[str],
     return cx.where(F.col("kind").isin(notes)).join(signs, "staff").where("x < sx AND cx >= from_x").select(F.col("id").alias("src"), "dst")
 
 
+def _chord_pairs(facts: DataFrame, met: str) -> DataFrame:
+    """(src, dst, src < dst), each once, of ids with facts on one stem that meet the condition, whose sides are suffixed 1 and 2 and which
+    holds in both directions or in none. Ids with the same facts on the same stems are one class: classes are compared, then expanded."""
+    names = [c for c in facts.columns if c != "id"]
+    rows = facts.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(*names))).alias("facts"))
+    classes, members = joins.alike(rows, ["facts"])
+    side = lambda n: classes.select("class", F.inline("facts")).select("stem", *[F.col(c).alias(f"{c}{n}") for c in ("class", *names) if c != "stem"])
+    pairs = side(1).join(side(2), "stem").where(f"class1 <= class2 AND ({met})").select(F.col("class1").alias("a"), F.col("class2").alias("b")).distinct()
+    return joins.expand(pairs, members).select(F.col("left").alias("src"), F.col("right").alias("dst"))
+
+
 def chord_conflicts(inters: DataFrame, relations: DataFrame, good: float) -> DataFrame:
     """Exclusions (src, dst, src < dst) at good stems: small against standard heads, heads of different durations, small against standard
     beams, small beams against standard heads. Inters have small and duration."""
     stems = sig.inters(inters, ["Stem"], test=F.col("grade") >= good).select(F.col("id").alias("stem"))
     ends = sig.relations(relations, ["HeadStem", "BeamStem"]).select(F.col("src").alias("id"), F.col("dst").alias("stem"), "kind").distinct().join(stems, "stem")
-    facts = ends.join(inters.select("id", "small", "duration"), "id")
-    side = lambda n: facts.select("stem", *[F.col(c).alias(f"{c}{n}") for c in ("id", "kind", "small", "duration")])
+    facts = ends.join(inters.select("id", "small", "duration"), "id").select("id", "stem", "kind", "small", "duration")
     heads = "kind1 = 'HeadStem' AND kind2 = 'HeadStem' AND (small1 <> small2 OR duration1 <> duration2)"
     beams = "kind1 = 'BeamStem' AND kind2 = 'BeamStem' AND small1 <> small2"
     mixed = "(kind1 = 'BeamStem' AND small1 AND kind2 = 'HeadStem' AND NOT small2) OR (kind2 = 'BeamStem' AND small2 AND kind1 = 'HeadStem' AND NOT small1)"
-    return side(1).join(side(2), "stem").where(f"id1 < id2 AND (({heads}) OR ({beams}) OR {mixed})").select(F.col("id1").alias("src"), F.col("id2").alias("dst")).distinct()
+    return _chord_pairs(facts, f"({heads}) OR ({beams}) OR {mixed}")
 
 
 def chord_supports(inters: DataFrame, relations: DataFrame, good: float) -> DataFrame:

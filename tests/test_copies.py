@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lakemill.operators import consistency, linking
+from lakemill.operators import consistency, joins, linking
 
 MANY = 100_000
 
@@ -69,3 +69,23 @@ def test_linked_boxes_of_one_place_are_compared_once(bounded):
     dots, heads = copies(bounded, 0, staff=0, x=20, y=0, w=4, h=4), copies(bounded, MANY, staff=0, x=0, y=0, w=10, h=8)
     got = linking.best_connections(dots, heads, ["staff"], "Augmentation", 20.0).groupBy("dst").count().collect()
     assert [tuple(r) for r in got] == [(MANY, MANY)]
+
+
+def _stems(spark, heads):
+    """(inters, relations): heads of one duration, every other one small, each on all of 60 good stems."""
+    inters = spark.range(heads).select("id", F.lit("Head").alias("kind"), F.lit(0.9).alias("grade"), (F.col("id") % 2 == 0).alias("small"), F.lit(1).alias("duration"))
+    stems = spark.range(heads, heads + 60).select("id", F.lit("Stem").alias("kind"), F.lit(0.9).alias("grade"), F.lit(False).alias("small"), F.lit(1).alias("duration"))
+    relations = inters.select(F.col("id").alias("src")).crossJoin(stems.select(F.col("id").alias("dst"))).withColumn("kind", F.lit("HeadStem"))
+    return inters.union(stems), relations
+
+
+def test_heads_on_the_same_stems_conflict_once(bounded):
+    assert consistency.chord_conflicts(*_stems(bounded, 8000), 0.6).count() == 4000 * 4000
+
+
+def test_expanded_pairs_of_classes(spark):
+    members = spark.range(70).select((F.col("id") % 3).alias("class"), (F.col("id") * 7 % 71).alias("id"))
+    pairs = spark.createDataFrame([(0, 0, "own"), (2, 1, "two")], "a long, b long, kind string")
+    of = {k: [i * 7 % 71 for i in range(70) if i % 3 == k] for k in range(3)}
+    want = sorted([("own", a, b) for a in of[0] for b in of[0] if a < b] + [("two", min(a, b), max(a, b)) for a in of[2] for b in of[1]])
+    assert sorted(map(tuple, joins.expand(pairs, members, chunk=5).collect())) == want
