@@ -160,8 +160,7 @@ def chord_supports(inters: DataFrame, relations: DataFrame, good: float) -> Data
     """Supports (src, dst, src < dst) between heads of one duration on a good stem."""
     stems = sig.inters(inters, ["Stem"], test=F.col("grade") >= good).select(F.col("id").alias("stem"))
     heads = sig.relations(relations, ["HeadStem"]).select(F.col("src").alias("id"), F.col("dst").alias("stem")).distinct().join(stems, "stem").join(inters.select("id", "duration"), "id")
-    a, b = (heads.select("stem", "duration", F.col("id").alias(n)) for n in ("src", "dst"))
-    return a.join(b, ["stem", "duration"]).where("src < dst").select("src", "dst").distinct()
+    return _chord_pairs(heads.select("id", "stem", "duration"), "duration1 = duration2")
 
 
 def bare_ledgers(ledgers: DataFrame, heads: DataFrame, interline: float) -> DataFrame:

@@ -83,6 +83,10 @@ def test_heads_on_the_same_stems_conflict_once(bounded):
     assert consistency.chord_conflicts(*_stems(bounded, 8000), 0.6).count() == 4000 * 4000
 
 
+def test_heads_on_the_same_stems_support_each_other_once(bounded):
+    assert consistency.chord_supports(*_stems(bounded, 8000), 0.6).count() == 8000 * 7999 // 2
+
+
 def test_expanded_pairs_of_classes(spark):
     members = spark.range(70).select((F.col("id") % 3).alias("class"), (F.col("id") * 7 % 71).alias("id"))
     pairs = spark.createDataFrame([(0, 0, "own"), (2, 1, "two")], "a long, b long, kind string")
