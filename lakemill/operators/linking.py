@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import supports
+from . import joins, supports
 
 
 def _buckets(low: Column, high: Column, width: float) -> Column:
@@ -23,16 +23,19 @@ def box_gaps(a: str = "1", b: str = "2") -> tuple[Column, Column]:
 def near_pairs(boxes: DataFrame, keys: list[str], most: float, width: float = 64.0) -> DataFrame:
     """(keys, left, right, distance) of boxes (id, x, y, w, h) of one key at most `most` apart, left < right, each pair once.
 
-    The distance is that of the boxes. A box grown by most is put into buckets of x; the pair is made in the bucket where the later of
-    the two begins. Wide boxes and small buckets multiply rows: width should be near the usual box.
+    The distance is that of the boxes. Boxes of one place and size are compared once, and their pairs expanded. A box grown by most is
+    put into buckets of x; the pair is made in the bucket where the later of the two begins. Wide boxes and
+    small buckets multiply rows: width should be near the usual box.
     """
-    grown = lambda n: boxes.select(*keys, *[F.col(c).alias(f"{c}{n}") for c in ("id", "x", "y", "w", "h")])
+    places, members = joins.alike(boxes, [*keys, "x", "y", "w", "h"])
+    grown = lambda n: places.select(*keys, *[F.col(c).alias(f"{c}{n}") for c in ("class", "x", "y", "w", "h")])
     a = grown(1).withColumn("b", _buckets(F.col("x1") - most, F.col("x1") + F.col("w1") + most, width))
     b = grown(2).withColumn("b", _buckets(F.col("x2"), F.col("x2") + F.col("w2"), width))
     dx, dy = box_gaps()
     once = F.col("b") == F.floor(F.greatest(F.col("x1") - most, F.col("x2")) / width)
-    near = a.join(b, [*keys, "b"]).where(once & (F.col("id1") < F.col("id2")) & (dx <= most) & (dy <= most)).withColumn("distance", F.hypot(dx, dy))
-    return near.where(F.col("distance") <= most).select(*keys, F.col("id1").alias("left"), F.col("id2").alias("right"), "distance")
+    near = a.join(b, [*keys, "b"]).where(once & (F.col("class1") <= F.col("class2")) & (dx <= most) & (dy <= most)).withColumn("distance", F.hypot(dx, dy))
+    pairs = near.where(F.col("distance") <= most).select(*keys, "distance", F.col("class1").alias("a"), F.col("class2").alias("b"))
+    return joins.expand(pairs, members).select(*keys, "left", "right", "distance")
 
 
 def connections(sources: DataFrame, targets: DataFrame, keys: list[str], kind: str, interline: float, anchor: str = "center") -> DataFrame:

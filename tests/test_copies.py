@@ -93,3 +93,18 @@ def test_expanded_pairs_of_classes(spark):
     of = {k: [i * 7 % 71 for i in range(70) if i % 3 == k] for k in range(3)}
     want = sorted([("own", a, b) for a in of[0] for b in of[0] if a < b] + [("two", min(a, b), max(a, b)) for a in of[2] for b in of[1]])
     assert sorted(map(tuple, joins.expand(pairs, members, chunk=5).collect())) == want
+
+
+def _expanded(monkeypatch):
+    """The numbers of pairs of classes that expand() is given."""
+    seen, plain = [], joins.expand
+    monkeypatch.setattr(joins, "expand", lambda pairs, *rest: (seen.append(pairs.count()), plain(pairs, *rest))[1])
+    return seen
+
+
+def test_near_boxes_of_one_place_are_compared_once(spark, monkeypatch):
+    boxes = spark.range(90).select("id", F.lit(0).alias("staff"), (F.col("id") % 3 * 20).alias("x"), F.lit(5).alias("y"), F.lit(10).alias("w"), F.lit(4).alias("h"))
+    seen = _expanded(monkeypatch)
+    got = sorted((r["left"], r["right"], r["distance"]) for r in linking.near_pairs(boxes, ["staff"], 12.0).collect())
+    assert got == [(a, b, 0.0 if a % 3 == b % 3 else 10.0) for a in range(90) for b in range(a + 1, 90) if abs(a % 3 - b % 3) < 2]
+    assert seen == [5]
