@@ -246,36 +246,66 @@ def sample_keys(prints: np.ndarray, golay: Golay) -> np.ndarray:
 
 
 def keyed_groups(nodes: DataFrame) -> DataFrame:
-    """(u, key, salt, top, leaders): the texts that share a key with another one, the key's smallest text, and the smallest ones of the
-    SALTS parts that its texts are dealt to. Parts keep a hot key from landing in one task. nodes: node, fp and keys."""
+    """(u, key, top): the texts that share a key with another one, and the key's smallest text. nodes: node, fp and keys. Texts of a key
+    are dealt to SALTS parts, which keep a hot key from landing in one task."""
     keyed = nodes.select(F.col("node").alias("u"), F.explode(F.concat("keys", F.array(F.col("fp").bitwiseOR(F.lit(-(1 << 63)))))).alias("key"))
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("tinyint"))
     parts = materialise(keyed.groupBy("key", "salt").agg(F.min("u").alias("lo"), F.count("*").alias("n")), "key-parts")
-    tops = parts.groupBy("key").agg(F.min("lo").alias("top"), F.collect_list("lo").alias("leaders"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    members = materialise(keyed.join(parts.join(tops, "key").select("key", "salt", "top", "leaders"), ["key", "salt"]).select("u", "key", "salt", "top", "leaders"), "members")
+    tops = parts.groupBy("key").agg(F.min("lo").alias("top"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    members = materialise(keyed.join(parts.join(tops, "key").select("key", "salt", "top"), ["key", "salt"]).select("u", "key", "top"), "members")
     discard(parts)
     return members
 
 
 def similar(nodes: DataFrame, members: DataFrame, near: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): verified links. Each text is compared with the smallest text of each of its keys, and with those whose whole fingerprints
-    differ from its own in a few bits. Where that fails, the smallest texts of its key's parts are tried, and then
-    the text of the key that has most links: copies of one original may be like the original only."""
+    """(u, v): verified links, enough of them that any two similar texts of one key, or of whole fingerprints within a few bits, are in one component.
+
+    Each text is compared with the smallest text of each of its keys and of its shingle set, and the smallest of each fingerprint with those of near ones. Where
+    a key's texts (or those of two near fingerprints) are then in several components, all of these texts go to rest_links()."""
     first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    near = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
-    asked = materialise(members.select("u", F.col("top").alias("v")).union(near).where("u <> v").distinct(), "asked")
+    close = near.join(first.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    digests = sets.select("node", F.xxhash64("hashes").alias("digest"))
+    equal = digests.select(F.col("node").alias("u"), "digest").join(digests.groupBy("digest").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"), "digest").select("u", "v")
+    asked = materialise(members.select("u", F.col("top").alias("v")).union(close).union(equal).where("u <> v").distinct(), "asked")
+    found = materialise(verified(asked, sets, least), "similar", advisory="16m")
+    discard(asked)
+    rooted = sets.select("node").join(components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    of_key = members.join(rooted, members["u"] == rooted["node"]).select("u", "key", "root")
+    mixed = of_key.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    of_fp = nodes.select("node", "fp").join(rooted, "node").groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ends = near.join(of_fp.select(F.col("fp").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb")), "b")
+    apart = ends.where("least(la, lb) <> greatest(ha, hb)").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    rest = of_key.join(mixed, "key", "left_semi").select(F.col("u").alias("node")).union(nodes.join(apart, "fp", "left_semi").select("node")).distinct()
+    rest = materialise(rest.join(rooted, "node"), "rest")
+    return found.union(rest_links(rest, sets, least))
+
+
+def rest_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): all links between texts of different roots. rest: node, root; exact, by the filter of prefixes.
+
+    Order all shingles by the number of roots that have them. Two sets that are similar enough share a shingle among the first
+    n - ceil(least n) + 1 of each, and the first one that they share leaves enough behind it in both. A shingle of one root only gives no pair, so
+    it is counted but not sent. Texts of one root and shingle are held in lists, so pairs within a root are never made.
+    """
+    roots = materialise(rest.select("root").distinct().withColumn("r", F.monotonically_increasing_id()), "roots")
+    rest = materialise(rest.join(roots, "root").select("node", "r", F.monotonically_increasing_id().alias("k")), "rest")
+    words = sets.join(rest, "node").select("k", "r", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    common = words.select("h", "r").distinct().groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1")
+    held = words.join(common, "h").groupBy("k", "r", "n").agg(F.sort_array(F.collect_list(F.struct("roots", "h"))).alias("s")).withColumn("own", F.col("n") - F.size("s"))
+    first = held.withColumn("m", (F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1 - F.col("own")).cast("int")).where("m > 0")
+    first = first.select("k", "r", "n", "own", F.posexplode(F.slice("s", F.lit(1), F.col("m"))).alias("at", "w")).select("r", F.col("w.h").alias("h"), F.struct("k", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left")).alias("x"))
+    lists = materialise(first.groupBy("h", "r", F.pmod(F.xxhash64("x.k"), F.lit(SALTS)).alias("part")).agg(F.collect_list("x").alias("xs")), "prefixes")
+    met = lists.select("h", F.col("r").alias("r1"), F.col("xs").alias("xs1")).join(lists.select("h", F.col("r").alias("r2"), F.col("xs").alias("xs2")), "h").where("r1 < r2")
+    met = met.withColumn("x", F.explode("xs1")).withColumn("y", F.explode("xs2"))
+    most = F.least("x.left", "y.left") >= (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6
+    pairs = met.where(most & (F.col("x.n") >= F.col("y.n") * least - 1e-6) & (F.col("y.n") >= F.col("x.n") * least - 1e-6)).select(F.col("x.k").alias("k1"), F.col("y.k").alias("k2")).distinct()
+    named = pairs.join(rest.select(F.col("k").alias("k1"), F.col("node").alias("u")), "k1").join(rest.select(F.col("k").alias("k2"), F.col("node").alias("v")), "k2").select("u", "v")
+    asked = materialise(named, "asked")
+    discard(lists)
     found = materialise(verified(asked, sets, least), "similar", advisory="16m")
-    failed = materialise(asked.join(found, ["u", "v"], "left_anti").select("u").distinct(), "failed")
-    if failed.isEmpty():
-        return found
-    loose = materialise(members.join(failed, "u"), "loose")
-    more = materialise(loose.select("u", F.explode("leaders").alias("v")).where("u <> v").distinct().join(asked, ["u", "v"], "left_anti"), "asked")
-    found = found.union(materialise(verified(more, sets, least), "similar", advisory="16m"))
-    degree = found.select("u").union(found.select("v")).groupBy("u").agg(F.count("*").alias("n"))
-    best = members.join(degree, "u", "left").groupBy("key", "salt").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "u")).alias("best"))
-    hubs = best.groupBy("key").agg(F.max("best").alias("hub")).join(best.select("key", "salt"), "key").select("key", "salt", F.col("hub.u").alias("v"))
-    last = loose.join(hubs, ["key", "salt"]).select("u", "v").where("u <> v").distinct().join(asked.union(more), ["u", "v"], "left_anti")
-    return found.union(materialise(verified(materialise(last, "asked"), sets, least), "similar", advisory="16m"))
+    discard(asked)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -292,9 +322,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, node (the text's MD5) and first_id, first_node: the member of the row's group that stays.
 
     Texts are linked if their sets of word shingles have a Jaccard similarity of least or more; groups are what links reach.
-    Fingerprints of whole texts within three bits and equal keys of sample fingerprints give the pairs to verify (see
-    similar()). All links found are true ones. A pair at 0.8 shares no key with a probability of about 2 % (1 - 0.8^3 for each
-    sample); links between two texts of which neither is compared with the other are found only by way of third ones. Equal texts are one node; texts without a word are alike;
+    Fingerprints of whole texts within three bits and equal keys of sample fingerprints give the candidates, all of which are compared
+    or in one group by way of others (see similar()). All links found are true ones. A pair at 0.8 shares no key with a probability of about 2 % (1 - 0.8^3 for each
+    sample). Equal texts are one node; texts without a word are alike;
     a null text counts as empty. A null id sorts after all others; an empty table gives no row.
     """
     kind = docs.schema[id_col].dataType

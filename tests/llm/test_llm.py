@@ -513,6 +513,34 @@ def test_near_copies_by_shingle_similarity(spark):
     assert {r["doc_id"] for r in simhash.dedup(odd).collect()} == {1, 3, 6, 8, 10}
 
 
+@pytest.mark.parametrize("how", ["key", "fingerprint"])
+def test_all_texts_of_a_key_are_compared(spark, how):
+    """400 texts of one key (or of two near fingerprints), like one other text at most, which is never the key's smallest one."""
+    rng = random.Random(3)
+    base, sets = [rng.getrandbits(60) for _ in range(30)], {}
+    for k in range(200):
+        own = [rng.getrandbits(60) for _ in range(rng.choice([4, 10, 70, 120]))]
+        for side in "xy":
+            sets[f"{side}{k:03}"] = sorted({*own, *base, *([rng.getrandbits(60)] if k % 2 else [rng.getrandbits(60) for _ in range(len(own))])})
+    names = sorted(sets, key=lambda n: (n[1:], n))
+    similar = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    want = {(a, b) for i, a in enumerate(names) for b in names[:i] if similar(a, b)}
+    assert 90 < len(want) < 250
+    near = spark.createDataFrame([(1, 2)] if how == "fingerprint" else [], "a bigint, b bigint")
+    nodes = spark.createDataFrame([(n, 1 + (n[0] == "y") if how == "fingerprint" else k + 10, [7 if how == "key" else k]) for k, n in enumerate(sets)], "node string, fp bigint, keys array<bigint>")
+    frame = spark.createDataFrame(list(sets.items()), "node string, hashes array<bigint>")
+    links = [(r["u"], r["v"]) for r in simhash.similar(nodes, simhash.keyed_groups(nodes), near, frame, 0.8).collect()]
+    assert all(similar(u, v) for u, v in links)
+    group = {n: n for n in sets}
+    for _ in range(len(sets)):
+        before = dict(group)
+        for u, v in links:
+            group[u] = group[v] = min(group[u], group[v])
+        if group == before:
+            break
+    assert all(group[a] == group[b] for a, b in want)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(None, 3), (9, 9)], "a bigint, b bigint")
     assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(i, 0) for i in range(31)}
