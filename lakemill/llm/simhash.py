@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +202,11 @@ SAMPLES, SAMPLE = 6, 3
 TEXTS = 1000
 #: Parts that the texts of one key are dealt to, and pairs of one text that are verified together.
 SALTS, MOST_PAIRS = 16, 1000
+#: A set's parities: 2 to the power of PARITY_BITS bits, in so many words of 64.
+PARITY_BITS = 10
+PARITIES = (1 << PARITY_BITS) // 64
+#: Shingles before one of a prefix that are looked at for an earlier one in common.
+BEFORE = 8
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -281,28 +286,50 @@ def similar(nodes: DataFrame, members: DataFrame, near: DataFrame, sets: DataFra
     return found.union(rest_links(rest, sets, least))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITIES words of 64 bits: a bit tells whether the hashes that fall on it are odd in number. Two sets differ in as many elements as these bits or in more."""
+    odd = np.bincount((hashes >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def rest_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): all links between texts of different roots. rest: node, root; exact, by the filter of prefixes.
+    """(u, v): all links between texts of different roots. rest: node, root; exact, by the filters of prefixes and of parities.
 
     Order all shingles by the number of roots that have them. Two sets that are similar enough share a shingle among the first
     n - ceil(least n) + 1 of each, and the first one that they share leaves enough behind it in both. A shingle of one root only gives no pair, so
-    it is counted but not sent. Texts of one root and shingle are held in lists, so pairs within a root are never made.
+    it is counted but not sent. Similar sets differ in few elements, and so in few parities: the join by shingles gives a pair only
+    where its sizes, what is left and the parities allow the similarity, so texts of one frame that share less than least don't become rows.
+    A pair whose last BEFORE shingles before this one have one in common was given there, where more was left.
     """
     roots = materialise(rest.select("root").distinct().withColumn("r", F.monotonically_increasing_id()), "roots")
     rest = materialise(rest.join(roots, "root").select("node", "r", F.monotonically_increasing_id().alias("k")), "rest")
-    words = sets.join(rest, "node").select("k", "r", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    bits = [f"bits{i}" for i in range(PARITIES)]
+
+    def run(batches):
+        for batch in pieces(batches):
+            if batch.num_rows:
+                each = np.array([parities(np.asarray(h, dtype=np.int64).view(np.uint64)) for h in batch.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(each[:, i])) for i in range(PARITIES))], names=["k", "r", "hashes", *bits])
+
+    held = materialise(sets.join(rest, "node").select("k", "r", "hashes").mapInArrow(run, "k bigint, r bigint, hashes array<bigint>, " + ", ".join(f"{c} bigint" for c in bits)), "parities", batch_rows=TEXTS)
+    words = held.select("k", "r", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     common = words.select("h", "r").distinct().groupBy("h").agg(F.count("*").alias("roots")).where("roots > 1")
-    held = words.join(common, "h").groupBy("k", "r", "n").agg(F.sort_array(F.collect_list(F.struct("roots", "h"))).alias("s")).withColumn("own", F.col("n") - F.size("s"))
-    first = held.withColumn("m", (F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1 - F.col("own")).cast("int")).where("m > 0")
-    first = first.select("k", "r", "n", "own", F.posexplode(F.slice("s", F.lit(1), F.col("m"))).alias("at", "w")).select("r", F.col("w.h").alias("h"), F.struct("k", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left")).alias("x"))
-    lists = materialise(first.groupBy("h", "r", F.pmod(F.xxhash64("x.k"), F.lit(SALTS)).alias("part")).agg(F.collect_list("x").alias("xs")), "prefixes")
-    met = lists.select("h", F.col("r").alias("r1"), F.col("xs").alias("xs1")).join(lists.select("h", F.col("r").alias("r2"), F.col("xs").alias("xs2")), "h").where("r1 < r2")
-    met = met.withColumn("x", F.explode("xs1")).withColumn("y", F.explode("xs2"))
-    most = F.least("x.left", "y.left") >= (F.col("x.n") + F.col("y.n")) * (least / (1 + least)) - 1e-6
-    pairs = met.where(most & (F.col("x.n") >= F.col("y.n") * least - 1e-6) & (F.col("y.n") >= F.col("x.n") * least - 1e-6)).select(F.col("x.k").alias("k1"), F.col("y.k").alias("k2")).distinct()
+    sorted_ = words.join(common, "h").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("roots", "h"))).alias("s")).withColumn("own", F.col("n") - F.size("s"))
+    first = sorted_.withColumn("m", (F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1 - F.col("own")).cast("int")).where("m > 0")
+    first = first.select("k", "n", "own", F.col("s.h").alias("hs"), F.posexplode(F.slice("s.h", F.lit(1), F.col("m"))).alias("at", "h"))
+    before = F.slice("hs", F.greatest(F.lit(1), F.col("at") - (BEFORE - 1)), F.least("at", F.lit(BEFORE)))
+    first = first.select("k", "n", "h", before.alias("before"), (F.col("n") - F.col("own") - F.col("at")).alias("left"))
+    first = materialise(first.join(held.select("k", "r", *bits), "k"), "prefixes")
+    x, y = (first.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ["k", "r", "n", "left", "before", *bits])) for side in "xy")
+    n = F.col("n_x") + F.col("n_y")
+    enough = F.least("left_x", "left_y") >= n * (least / (1 + least)) - 1e-6
+    sizes = (F.col("n_x") >= F.col("n_y") * least - 1e-6) & (F.col("n_y") >= F.col("n_x") * least - 1e-6)
+    differ = reduce(add, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in bits))
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("r_x") < F.col("r_y")) & sizes & enough & (differ <= n * ((1 - least) / (1 + least)) + 1e-6) & ~F.arrays_overlap("before_x", "before_y"))
+    pairs = met.select(F.col("k_x").alias("k1"), F.col("k_y").alias("k2")).distinct()
     named = pairs.join(rest.select(F.col("k").alias("k1"), F.col("node").alias("u")), "k1").join(rest.select(F.col("k").alias("k2"), F.col("node").alias("v")), "k2").select("u", "v")
     asked = materialise(named, "asked")
-    discard(lists)
+    discard(first, held)
     found = materialise(verified(asked, sets, least), "similar", advisory="16m")
     discard(asked)
     return found

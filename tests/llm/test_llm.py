@@ -513,6 +513,30 @@ def test_near_copies_by_shingle_similarity(spark):
     assert {r["doc_id"] for r in simhash.dedup(odd).collect()} == {1, 3, 6, 8, 10}
 
 
+def test_texts_of_one_frame_are_not_all_paired(spark, monkeypatch):
+    """300 texts, each a frame without eight of its shingles and with eight others: few pairs are verified, and none that is similar is lost."""
+    rng, asked = random.Random(5), []
+    frame, sets = [rng.getrandbits(64) - 2**63 for _ in range(100)], {}
+    for k in range(300):
+        at = rng.randrange(93)
+        sets[f"t{k:03}"] = {*frame[:at], *frame[at + 8 :], *(rng.getrandbits(64) - 2**63 for _ in range(8))}
+    for k in range(0, 60, 2):  # similar to one of them
+        sets[f"u{k:03}"] = {*list(sets[f"t{k:03}"])[5:], *(rng.getrandbits(64) - 2**63 for _ in range(5))}
+    names = sorted(sets)
+    want = {(a, b) for a in names for b in names if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+    def noted(df, name, *a, keep=simhash.materialise, **b):
+        out = keep(df, name, *a, **b)
+        asked.extend([out.count()] * (name == "asked"))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", noted)
+    rest = spark.createDataFrame([(n, n) for n in names], "node string, root string")
+    found = simhash.rest_links(rest, spark.createDataFrame([(n, sorted(h)) for n, h in sets.items()], "node string, hashes array<bigint>"), 0.8)
+    assert {tuple(sorted((r["u"], r["v"]))) for r in found.collect()} == want and len(want) > 30
+    assert sum(asked) < 2 * len(want) + 300
+
+
 @pytest.mark.parametrize("how", ["key", "fingerprint"])
 def test_all_texts_of_a_key_are_compared(spark, how):
     """400 texts of one key (or of two near fingerprints), like one other text at most, which is never the key's smallest one."""
