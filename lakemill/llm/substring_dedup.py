@@ -21,11 +21,11 @@ Whole copies of a text don't enter: each of their windows starts in the first co
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents, materialise, pieces
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 GRAM = 5  # words of an anchor
 STEP = 3  # suffixes are cut STEP - 1 words beyond a window
 LEVELS = (3, 5, 8)  # words of the prefixes that are tried before the whole window
@@ -42,22 +41,8 @@ SPREAD = 8  # parts of the copies of one text
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; the pieces of input share them up to a bound."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) >= self.MOST:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-_HASHES = WordHashes()
+GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])  # what bytes.split() splits at
+RUN = 1 << 16  # bytes whose words are hashed at once
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -65,21 +50,75 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * ODD
 
 
-def anchors(words: list[str], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the document, the smallest hash of its 5-word runs, and all the runs' hashes."""
-    gram = min(GRAM, window)
-    h = _HASHES.of(words)
-    n = len(h) - gram + 1
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+POWERS = np.cumprod(np.full(RUN, ODD, dtype=np.uint64))
+INVERSES = np.cumprod(np.full(RUN, pow(int(ODD), -1, 2**64), dtype=np.uint64))
+
+
+class Words:
+    """The words of some texts, as spans of raw: words first[k] to first[k + 1] are those of text k."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b" ".join([b"", *texts, b""])
+        self.bytes = np.frombuffer(self.raw, dtype=np.uint8)
+        gap = GAP[self.bytes]
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        self.starts, self.ends = edges[::2], edges[1::2]
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        self.first = np.searchsorted(self.starts, np.concatenate([[1], 1 + np.cumsum(lengths)]))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words. Different words may rarely have one hash; it only chooses candidates and deals them."""
+        out, a = np.empty(len(self), dtype=np.uint64), 0
+        while a < len(self):
+            i = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, i + RUN, "right")))
+            j = self.ends[b - 1]
+            if j - i > RUN:
+                out[a] = xxhash.xxh3_64_intdigest(self.raw[i:j])
+            else:
+                sums = np.zeros(j - i + 1, dtype=np.uint64)
+                np.cumsum(BYTES[self.bytes[i:j]] * POWERS[: j - i], out=sums[1:])
+                begins = self.starts[a:b] - i
+                out[a:b] = (sums[self.ends[a:b] - i] - sums[begins]) * INVERSES[begins]
+            a = b
+        return mixed(out)
+
+
+def texts_of(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one anchor (the smallest hash of their 5-word runs): where they begin, by the number of the first
+    window's first word, how many windows they have, and the anchor. A window lies in one text."""
+    gram, total = min(GRAM, window), len(words)
+    if total < window:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    h = words.hashes()
+    n = total - gram + 1
     g = np.zeros(n, dtype=np.uint64)
     for k in range(gram):
-        g = g * ODD + h[k : k + n]
+        g *= ODD
+        g += h[k : k + n]
     g = mixed(g)
-    wide, m = window - gram + 1, len(words) - window + 1
+    wide, m = window - gram + 1, total - window + 1
     low, step = g, 1
     while step * 2 <= wide:  # minima of runs of 2, 4, 8 ...
         low = np.minimum(low[:-step], low[step:])
         step *= 2
-    return np.minimum(low[:m], low[wide - step : wide - step + m]), g
+    low = np.minimum(low[:m], low[wide - step : wide - step + m])
+    owner = words.owners()
+    at = np.flatnonzero(owner[:m] == owner[window - 1 :])
+    low, owner = low[at], owner[at]
+    begin = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])[: len(at)])
+    return at[begin], np.diff(np.append(begin, len(at))), low[begin]
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,20 +143,17 @@ def anchor_table(rows: DataFrame, window: int) -> DataFrame:
     """(a, doc, c): the distinct anchors of each document."""
 
     def run(batches):
-        for batch in pieces(batches, 4_000_000):
-            got, docs, cs = [], [], []
-            for doc, text, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = _WORDS(text)
-                if doc is None or len(words) < window:
-                    continue
-                a = np.unique(anchors(words, window)[0])
-                got.append(a)
-                docs.append(np.full(len(a), doc, dtype=np.int64))
-                cs.append(np.full(len(a), c, dtype=np.int64))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(cs))], names=["a", "doc", "c"])
+        for batch in pieces(batches, 1_000_000):
+            words = Words(texts_of(batch.column("text")))
+            at, _, a = anchors(words, window)
+            of = np.searchsorted(words.first, at, "right") - 1
+            order = np.lexsort((a, of))
+            a, of = a[order], of[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (of[1:] != of[:-1])])[: len(a)]
+            a, of = a[new], of[new]
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), *(pa.array(batch.column(n).to_numpy()[of]) for n in ("doc", "c"))], names=["a", "doc", "c"])
 
-    return materialise(rows.mapInArrow(run, "a bigint, doc bigint, c bigint"), "anchors")
+    return materialise(rows.where("doc IS NOT NULL").mapInArrow(run, "a bigint, doc bigint, c bigint"), "anchors")
 
 
 def shared_anchors(table: DataFrame) -> DataFrame:
@@ -138,9 +174,16 @@ def notes(rows: DataFrame, table: DataFrame, whole: DataFrame) -> DataFrame:
     return out
 
 
+def among(some: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of some are in known, which is in order."""
+    if not len(known):
+        return np.zeros(len(some), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+
+
 #: Where a suffix stands.
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("place", "<i4")])
-FRAGMENT = "doc bigint, tag bigint, at int, lead int, n int, anchor bigint, words string"
+FRAGMENT = "doc bigint, tag bigint, at int, lead int, n int, anchor bigint, words binary"
 
 
 def fragments(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
@@ -149,95 +192,133 @@ def fragments(rows: DataFrame, noted: DataFrame, window: int) -> DataFrame:
     to lie together, which only helps to merge equal suffixes early; AQE splits a large group of them."""
 
     def run(batches):
-        for batch in pieces(batches, 4_000_000):
-            out: list[list] = [[] for _ in range(7)]
-            for doc, tag, text, marks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                words = _WORDS(text)
-                low, _ = anchors(words, window)
-                held = np.isin(low, np.array(marks, dtype=np.int64).view(np.uint64))
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], held.astype(np.int8), [0]])))
-                if not len(edges):
-                    continue
-                least = np.minimum.reduceat(np.append(low, np.uint64(2**64 - 1)), edges)[::2].view(np.int64).tolist()
-                for (i, j), a in zip(edges.reshape(-1, 2).tolist(), least, strict=True):
-                    lead = int(i > 0)
-                    for column, value in zip(out, (doc, tag, i, lead, j - i, a, " ".join(words[i - lead : j + window - 1])), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc", "tag", "at", "lead", "n", "anchor", "words"])
+        for batch in pieces(batches, 1_000_000):
+            words = Words(texts_of(batch.column("text")))
+            at, n, a = anchors(words, window)
+            of = np.searchsorted(words.first, at, "right") - 1
+            marks = batch.column("marks")
+            # an anchor together with the number of its text; two pairs of one key would only add windows that can't repeat
+            salt = mixed(np.arange(1, batch.num_rows + 1, dtype=np.uint64) * ODD)
+            known = np.repeat(salt, pc.list_value_length(marks).to_numpy()) ^ marks.flatten().to_numpy().view(np.uint64)
+            held = among(salt[of] ^ a, np.sort(known))
+            at, n, a, of = at[held], n[held], a[held], of[held]
+            if not len(at):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + n[:-1]) | (of[1:] != of[:-1])]))
+            least, n = np.minimum.reduceat(a, begin), np.add.reduceat(n, begin)
+            at, of = at[begin], of[begin]
+            lead = (at > words.first[of]).astype(np.int32)
+            own = [words.raw[i:j] for i, j in zip(words.starts[at - lead].tolist(), words.ends[at + n + window - 2].tolist(), strict=True)]
+            doc, tag = (batch.column(c).to_numpy()[of] for c in ("doc", "tag"))
+            arrays = [pa.array(doc), pa.array(tag), pa.array(at - words.first[of], pa.int32()), pa.array(lead), pa.array(n, pa.int32()), pa.array(least.view(np.int64)), pa.array(own, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "tag", "at", "lead", "n", "anchor", "words"])
 
     marked = rows.join(noted.where("NOT copy AND marks IS NOT NULL").select("doc", "c", "tag", "marks"), ["doc", "c"])
     return materialise(marked.select("doc", "tag", "text", "marks").mapInArrow(run, FRAGMENT).hint("rebalance", "anchor"), "fragments", advisory="16m")
 
 
-def prefix_hashes(batch: pa.RecordBatch, lengths: list[int]) -> tuple[list[list[str]], np.ndarray, list[np.ndarray]]:
+def prefix_hashes(batch: pa.RecordBatch, lengths: list[int]) -> tuple[Words, np.ndarray, list[np.ndarray]]:
     """The words of a batch of fragments, the places of their suffixes among all of these words, and for each length a hash of
     the suffixes' prefixes of so many words."""
-    words = [x.split(" ") for x in batch.column("words").to_pylist()]
-    h = np.concatenate([_HASHES.of(w) for w in words])
-    begins = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]]) + batch.column("lead").to_numpy()
+    words = Words(texts_of(batch.column("words")))
+    h = words.hashes()
     n = batch.column("n").to_numpy()
+    begins = words.first[:-1] + batch.column("lead").to_numpy()
     spots = np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())
     out, rolled, done = [], np.zeros(len(spots), dtype=np.uint64), 0
     for length in lengths:
         for k in range(done, length):
-            rolled = rolled * ODD + h[spots + k]
+            rolled *= ODD
+            rolled += h[spots + k]
         done = length
         out.append(mixed(rolled).view(np.int64))
     return words, spots, out
 
 
 def heavy_prefixes(frags: DataFrame, window: int, most: int) -> list[tuple[int, np.ndarray]]:
-    """For each length tried, the prefixes of more than most suffixes, as hashes: at most (suffixes / most) of them.
+    """For each length tried, the prefixes of more than most suffixes, as hashes in order: at most (suffixes / most) of them.
 
-    A longer length is tried only while some prefix is too heavy, and counts only what a heavy shorter one begins. Two prefixes
-    of one hash are merely dealt together.
+    Longer lengths are tried only while some prefix is too heavy, and count only what a heavy prefix of the first length begins. Two
+    prefixes of one hash are merely dealt together.
     """
+    first, *others = [*(n for n in LEVELS if n < window), window]
+
+    def counted(lengths: list[int], known: np.ndarray | None = None) -> dict[int, np.ndarray]:
+        def count(batches):
+            for batch in pieces(batches, 1_000_000):
+                hashes = prefix_hashes(batch, lengths if known is None else [first, *lengths])[2]
+                if known is not None:
+                    under = among(hashes[0], known)
+                    hashes = [h[under] for h in hashes[1:]]
+                for length, h in zip(lengths, hashes, strict=True):
+                    prefix, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prefix), length, dtype=np.int32)), pa.array(prefix), pa.array(n)], names=["length", "prefix", "n"])
+
+        heavy = frags.mapInArrow(count, "length int, prefix bigint, n bigint").groupBy("length", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("length", "prefix").collect()
+        return {length: np.array(sorted(r["prefix"] for r in heavy if r["length"] == length), dtype=np.int64) for length in lengths}
+
+    found = counted([first])
+    if others and len(found[first]):
+        found |= counted(others, found[first])
     out: list[tuple[int, np.ndarray]] = []
-    for length in [*(n for n in LEVELS if n < window), window]:
-
-        def count(batches, before=tuple(out[-1:]), length=length):
-            lengths = [n for n, _ in before] + [length]
-            for batch in pieces(batches, 2_000_000):
-                if batch.num_rows:
-                    hashes = prefix_hashes(batch, lengths)[2]
-                    some = hashes[-1][np.isin(hashes[0], before[0][1])] if before else hashes[-1]
-                    prefix, n = np.unique(some, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(n)], names=["prefix", "n"])
-
-        counted = frags.mapInArrow(count, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-        out.append((length, np.array(sorted(r["prefix"] for r in counted.select("prefix").collect()), dtype=np.int64)))
-        if not len(out[-1][1]):
+    for length, known in found.items():
+        out.append((length, known))
+        if not len(known):
             break
     return out
 
 
 CROWDED = -1  # the bucket of suffixes whose whole window is a heavy prefix
-BLOCK = struct.Struct("<II")
+BLOCK = struct.Struct("<IIII")
+
+
+class Packer:
+    """Makes blocks of suffixes that are rows of codes of words, from one list of words."""
 
+    def __init__(self, words: list[bytes]):
+        self.words, self.own, self.press = words, np.zeros(len(words), dtype=np.uint32), zstandard.ZstdCompressor(level=1)
+        self.seen = np.zeros(len(words), dtype=bool)
 
-def pack(keys: list[str], counts: np.ndarray, places: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """Suffixes, how many places each has, and these places, as one compressed block."""
-    text = "\n".join(keys).encode()  # a word has no line break
-    return press.compress(b"".join([BLOCK.pack(len(text), len(keys)), text, counts.astype("<u4").tobytes(), *(places[c].tobytes() for c in PLACE.names)]))
+    def __call__(self, rows: np.ndarray, counts: np.ndarray, places: np.ndarray) -> bytes:
+        """Suffixes, how many places each has, and these places, as one compressed block with the words that it uses."""
+        self.seen[rows] = True
+        used = np.flatnonzero(self.seen)
+        self.seen[used] = False
+        self.own[used] = np.arange(len(used))
+        codes = self.own[rows].astype("<u2" if len(used) <= 1 << 16 else "<u4")
+        text = b"\n".join([self.words[k] for k in used.tolist()])  # a word has no line break
+        return self.press.compress(b"".join([BLOCK.pack(len(text), len(used), *rows.shape), text, codes.tobytes(), counts.astype("<u4").tobytes(), *(places[c].tobytes() for c in PLACE.names)]))
 
 
-def unpack(blocks: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The suffixes of blocks, the number of each place's suffix, and the places."""
-    press, keys, owner, places = zstandard.ZstdDecompressor(), [], [], []
+class Numbers(dict):
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+
+
+def unpack(blocks: list[bytes]) -> tuple[Numbers, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of blocks with their codes, their suffixes as rows of codes (0: no word), the number of each place's suffix, and the places."""
+    press, number, keys, owner, places, done = zstandard.ZstdDecompressor(), Numbers({b"": 0}), [], [], [], 0
     for block in blocks:
         raw = press.decompress(block)
-        size, n = BLOCK.unpack_from(raw)
-        at = BLOCK.size + size + 4 * n
-        counts = np.frombuffer(raw, dtype="<u4", count=n, offset=BLOCK.size + size)
-        owner.append(np.repeat(np.arange(len(keys), len(keys) + n), counts))
-        keys += raw[BLOCK.size : BLOCK.size + size].decode().split("\n")
+        size, used, n, width = BLOCK.unpack_from(raw)
+        at = BLOCK.size + size
+        codes = np.frombuffer(raw, dtype="<u2" if used <= 1 << 16 else "<u4", count=n * width, offset=at)
+        at += codes.nbytes
+        counts = np.frombuffer(raw, dtype="<u4", count=n, offset=at)
+        at += counts.nbytes
+        keys.append(number.of(raw[BLOCK.size : BLOCK.size + size].split(b"\n"))[codes].reshape(n, width))
+        owner.append(np.repeat(np.arange(done, done + n), counts))
+        done += n
         own = np.zeros(int(counts.sum()), dtype=PLACE)
         for c in PLACE.names:
             own[c] = np.frombuffer(raw, dtype=PLACE[c], count=len(own), offset=at)
             at += own[c].nbytes
         places.append(own)
-    return keys, np.concatenate(owner), np.concatenate(places)
+    return number, np.concatenate(keys), np.concatenate(owner), np.concatenate(places)
 
 
 def suffixes(frags: DataFrame, window: int, heavy: list[tuple[int, np.ndarray]], buckets: int) -> DataFrame:
@@ -247,44 +328,47 @@ def suffixes(frags: DataFrame, window: int, heavy: list[tuple[int, np.ndarray]],
     lengths = [n for n, _ in heavy]
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
         for batch in pieces(batches, 3_000_000):
             if not batch.num_rows:
                 continue
-            words, spots, hashes = prefix_hashes(batch, lengths)
+            words, spots, hashes = prefix_hashes(batch, [*lengths, window])
             group, still = hashes[0].view(np.uint64), np.ones(len(spots), dtype=bool)
-            for (_, known), h in zip(heavy, hashes, strict=True):
+            for (_, known), h in zip(heavy, hashes):
                 group = np.where(still, h.view(np.uint64), group)
-                still &= np.isin(h, known)
-            bucket = np.where(still, CROWDED, (group % np.uint64(buckets)).astype(np.int64))
-            where: dict[str, int] = {}
-            of: list[int] = []  # the number of each place's suffix
-            for w, lead, n in zip(words, batch.column("lead").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if not lead:
-                    w = ["", *w]  # a text's first suffix has no word before it
-                of += [where.setdefault(" ".join([*w[p + 1 : p + 1 + reach], w[p]]), len(where)) for p in range(n)]
-            n = batch.column("n").to_numpy()
-            places = np.zeros(len(of), dtype=PLACE)
-            places["doc"], places["tag"] = np.repeat(batch.column("doc").to_numpy(), n), np.repeat(batch.column("tag").to_numpy(), n)
-            places["place"] = np.repeat(batch.column("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(len(of))
-            keys = [*where]
-            del where, words
-            of = np.array(of, dtype=np.int64)
-            own = np.zeros(len(keys), dtype=np.int64)
-            own[of] = bucket
-            # by bucket, then in order of their words, in which they compress well
-            rank = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
-            rank = rank[np.argsort(own[rank], kind="stable")]
-            number = np.empty(len(keys), dtype=np.int64)
-            number[rank] = np.arange(len(keys))
-            at = number[of]
-            places = places[np.argsort(at, kind="stable")]
-            counts = np.bincount(at, minlength=len(keys))
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(own[rank]) != 0, [True]])).tolist()
-            rank = rank.tolist()
-            blocks = [pack([keys[k] for k in rank[a:b]], counts[a:b], places[ends[a] : ends[b]], press) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(own[np.array(rank)[cuts[:-1]]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+                still &= among(h, known)
+            n, lead = batch.column("n").to_numpy(), batch.column("lead").to_numpy()
+            number = Numbers({b"": 0})
+            codes = np.concatenate([number.of(words.raw.split()), np.zeros(reach, dtype=np.int32)])
+            rows = np.empty((len(spots), reach + 1), dtype=np.int32)
+            for k in range(reach):
+                rows[:, k] = codes[spots + k]
+            rows[:, reach] = codes[spots - 1]
+            begins = np.cumsum(n) - n
+            rows[begins[lead == 0], reach] = 0  # a text's first suffix has no word before it
+            for k in range(1, STEP):  # the last suffixes of a fragment end with it
+                last = (begins + n - k)[n >= k]
+                rows[last, reach - STEP + k : reach] = 0
+            # by bucket and group, in which equal suffixes lie together
+            alike = hashes[-1].view(np.uint64) + mixed(rows[:, window].astype(np.uint64) * ODD + (rows[:, reach].astype(np.uint64) << np.uint64(32)))
+            order = np.argsort((group >> np.uint64(24) << np.uint64(24)) | (mixed(alike) >> np.uint64(40)))
+            bucket = np.where(still, CROWDED, ((group >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64))[order]
+            if still.any():
+                first = np.argsort(bucket != CROWDED, kind="stable")
+                order, bucket = order[first], bucket[first]
+            rows = rows[order]
+            cut = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            new = cut.copy()
+            new[1:] |= (rows[1:] != rows[:-1]).any(axis=1)
+            at = np.flatnonzero(new)
+            rows, counts, ends = rows[at], np.diff(np.append(at, len(order))), np.append(at, len(order))
+            places = np.zeros(len(order), dtype=PLACE)
+            for c in ("doc", "tag"):
+                places[c] = np.repeat(batch.column(c).to_numpy(), n)[order]
+            places["place"] = (np.repeat(batch.column("at").to_numpy() - begins, n) + np.arange(len(order)))[order]
+            cuts = np.append(np.flatnonzero(cut[at]), len(at))
+            pack = Packer([*number])
+            blocks = [pack(rows[a:b], counts[a:b], places[ends[a] : ends[b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[cuts[:-1]]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return frags.mapInArrow(run, "bucket bigint, block binary")
 
@@ -298,7 +382,15 @@ class SuffixTree:
 
     def __init__(self, codes: np.ndarray):
         m, self.depth = codes.shape
-        self.order = np.lexsort(codes.T[::-1])
+        least = int(codes.min(initial=0))
+        bits = max(1, (int(codes.max(initial=0)) - least).bit_length())
+        packed = []  # as many columns in one number as it holds
+        for k in range(0, self.depth, max(1, 63 // bits)):
+            key = np.zeros(m, dtype=np.int64)
+            for column in codes.T[k : k + max(1, 63 // bits)]:
+                key = (key << bits) | (column.astype(np.int64) - least)
+            packed.append(key)
+        self.order = np.lexsort(packed[::-1])
         self.codes = codes[self.order]
         same = self.codes[1:] == self.codes[:-1]
         self.shared = np.concatenate([[-1], np.where(same.all(axis=1), self.depth, (~same).argmax(axis=1))]) if m else np.zeros(0, dtype=np.int64)
@@ -309,24 +401,23 @@ class SuffixTree:
         return node
 
 
-class Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def coded(keys: list[str], reach: int) -> np.ndarray:
+    """Rows of codes of suffixes that are written out, the word before a suffix last."""
+    number, out = Numbers({"": 0}), np.zeros((len(keys), reach + 1), dtype=np.int32)
+    for row, key in zip(out, keys, strict=True):
+        *words, before = number.of(key.split(" "))
+        row[: len(words)], row[reach] = words, before
+    return out
 
 
-def repeated(keys: list[str], owner: np.ndarray, docs: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+def repeated(keys: np.ndarray | list[str], owner: np.ndarray, docs: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     """For each occurrence (owner: its suffix, docs: its document) how many words from there on are to be removed (0: none)."""
     m, reach = len(keys), window + STEP - 1
-    number = Numbers({"": -1})
-    sizes = np.fromiter((k.count(" ") for k in keys), dtype=np.int64, count=m)  # words without the one before, which comes last
-    flat = np.concatenate([np.zeros(0, dtype=np.int64), *(np.fromiter(map(number.__getitem__, " ".join(keys[k : k + 10_000]).split(" ")), dtype=np.int64) for k in range(0, m, 10_000))])
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    before = begins + sizes
-    left = flat[before]
-    left = np.where(left < 0, -1 - np.arange(m), left)  # the word before a text is like no other,
-    codes = np.repeat(-1 - np.arange(m)[:, None], reach, axis=1)  # and so is what follows where a suffix has ended
-    codes[np.arange(reach)[None, :] < sizes[:, None]] = np.delete(flat, before)
+    rows = keys if isinstance(keys, np.ndarray) else coded(keys, reach)
+    own = -1 - np.arange(m, dtype=rows.dtype)
+    left = np.where(rows[:, reach] == 0, own, rows[:, reach])  # the word before a text is like no other,
+    sizes = np.count_nonzero(rows[:, :reach], axis=1)
+    codes = np.where(rows[:, :reach] == 0, own[:, None], rows[:, :reach])  # and so is what follows where a suffix has ended
     tree = SuffixTree(codes)
     out = np.zeros(len(docs), dtype=np.int64)
     for d in range(window, reach + 1):
@@ -360,12 +451,12 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for block in batch.column("block").to_pylist():
-                keys, owner, places = unpack([block])
-                nodes, length, rows = [], [], []
-                for r, key in enumerate(keys):
-                    words = key.split(" ")[:-1]
+                number, keys, owner, places = unpack([block])
+                known, nodes, length, rows = [*number], [], [], []
+                for r, key in enumerate(keys[:, :-1].tolist()):
+                    words = [known[k] for k in key if k]
                     for d in range(window, len(words) + 1):
-                        nodes.append(" ".join(words[:d]))
+                        nodes.append(b" ".join(words[:d]))
                         length.append(d)
                         rows.append(r)
                 counts = np.bincount(owner, minlength=len(keys))
@@ -374,7 +465,7 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
                 packed = [places[ends[r] : ends[r + 1]].tobytes() for r in range(len(keys))]
                 for k in range(0, len(nodes), 10_000):
                     part = slice(k, k + 10_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part], pa.string()), pa.array(length[part], pa.int32()), pa.array(low[part]), pa.array(high[part]), pa.array([packed[r] for r in rows[part]], pa.binary())], names=["node", "length", "low", "high", "places"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part], pa.binary()), pa.array(length[part], pa.int32()), pa.array(low[part]), pa.array(high[part]), pa.array([packed[r] for r in rows[part]], pa.binary())], names=["node", "length", "low", "high", "places"])
 
     def mark(batches):
         for batch in pieces(batches, 4_000_000):
@@ -384,7 +475,7 @@ def crowded(found: DataFrame, window: int) -> DataFrame:
             least, length = (np.repeat(batch.column(n).to_numpy(), times) for n in ("least", "length"))
             yield hits(places, np.where(places["doc"] > least, length, 0))
 
-    each = found.select("block").mapInArrow(cut, "node string, length int, low bigint, high bigint, places binary")
+    each = found.select("block").mapInArrow(cut, "node binary, length int, low bigint, high bigint, places binary")
     least = materialise(each.groupBy("node").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("node", "least"), "least")
     return each.join(least, "node").select("length", "least", "places").mapInArrow(mark, HITS)
 
@@ -398,7 +489,7 @@ def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
     found = suffixes(frags, window, heavy, n)
 
     def solve(blocks: list[bytes]) -> pa.RecordBatch:
-        keys, owner, places = unpack(blocks)
+        _, keys, owner, places = unpack(blocks)
         return hits(places, repeated(keys, owner, places["doc"], places["place"], window))
 
     def run(batches):
@@ -419,6 +510,21 @@ def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
     return out.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "length")).alias("found"))
 
 
+def ranges(words: Words, found: pa.ListArray, copy: pa.Array, window: int) -> tuple[list[int], list[int], np.ndarray]:
+    """The removed ranges of all texts, in order and apart, as numbers of words, and where each text's ranges begin among them."""
+    own = found.flatten()
+    of = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    place, length = (own.field(n).to_numpy().astype(np.int64) for n in ("place", "length"))
+    whole = np.flatnonzero(copy.to_numpy(zero_copy_only=False) & (np.diff(words.first) >= window))
+    of = np.concatenate([of, whole])
+    start = np.concatenate([words.first[of[: len(place)]] + place, words.first[whole]])
+    stop = np.concatenate([start[: len(place)] + length, words.first[whole + 1]])
+    order = np.lexsort((start, of))
+    of, start, stop = of[order], start[order], np.maximum.accumulate(stop[order])  # no range leaves its text
+    new = np.flatnonzero(np.concatenate([[True], (start[1:] > stop[:-1]) | (of[1:] != of[:-1])])[: len(of)])
+    return start[new].tolist(), stop[np.append(new[1:], len(of))[: len(new)] - 1].tolist(), np.searchsorted(of[new], np.arange(len(found) + 1))
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 100_000, digests: bool = False) -> DataFrame:
     """Removes each word covered by a window of words that also starts in a document with a smaller id.
 
@@ -443,29 +549,24 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        for batch in pieces(batches):
-            n, gone, kept, spans = [], [], [], []
-            for text, ranges, copy in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = _WORDS(text)
-                n.append(len(words))
-                cuts: list[tuple[int, int]] = []
-                if copy and len(words) >= window:
-                    cuts.append((0, len(words)))
-                for place, length in sorted((h["place"], h["length"]) for h in ranges or ()):
-                    if cuts and place <= cuts[-1][1]:
-                        cuts[-1] = (cuts[-1][0], max(cuts[-1][1], place + length))
-                    else:
-                        cuts.append((place, place + length))
-                left, last = [], 0
+        for batch in pieces(batches, 2_000_000):
+            words = Words(texts_of(batch.column("text")))
+            starts, stops, begins = ranges(words, batch.column("found"), batch.column("copy"), window)
+            every, first, begins = words.raw.split(), words.first.tolist(), begins.tolist()
+            gone, kept, spans = [], [], []
+            for k, (last, end) in enumerate(zip(first, first[1:])):
+                cuts = list(zip(starts[begins[k] : begins[k + 1]], stops[begins[k] : begins[k + 1]], strict=True))
+                if not digests:
+                    spans.append([{"start": a - last, "stop": b - last} for a, b in cuts])
+                left = []
                 for a, b in cuts:
-                    left += words[last:a]
+                    left += every[last:a]
                     last = b
-                left += words[last:]
-                gone.append(len(words) - len(left))
-                joined = " ".join(left)
-                kept.append(hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest() if digests else joined)
-                spans.append([{"start": a, "stop": b} for a, b in cuts])
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
+                left += every[last:end]
+                gone.append(end - first[k] - len(left))
+                joined = b" ".join(left)
+                kept.append(hashlib.sha256(joined).hexdigest() if digests else joined.decode())
+            arrays = [batch.column("doc"), pa.array(np.diff(words.first), pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
             names = [id_col, "n_words", "n_removed", "kept_sha256" if digests else "kept"]
             if not digests:
                 arrays.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))

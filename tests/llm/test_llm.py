@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -384,6 +386,38 @@ def test_a_hot_phrase_is_never_one_group(spark, monkeypatch):
     assert got == Counter(brute_removed(rows)) and sum(k[2] for k in got) > 2000
 
 
+def test_dealing_suffixes_takes_little_memory():
+    """A piece of input has about 450,000 suffixes; as strings and dicts they took over 500 bytes each."""
+    rng = random.Random(4)
+    words = [f"{rng.randrange(10**5):x}" for _ in range(20_000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(1700)]
+    n = len(texts)
+    kinds = {"doc": pa.int64(), "tag": pa.int64(), "at": pa.int32(), "lead": pa.int32(), "n": pa.int32(), "anchor": pa.int64(), "words": pa.string()}
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((range(n), [0] * n, [0] * n, [0] * n, [288] * n, [0] * n, texts), kinds.values(), strict=True)], names=[*kinds])
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run([batch])
+
+    tracemalloc.start()
+    try:
+        got = sum(b.num_rows for b in substring_dedup.suffixes(Frame(), 13, [(3, np.zeros(0, dtype=np.int64))], 50))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == 50 and peak < 330 * 288 * n, f"{peak / 288 / n:.0f} bytes a suffix"
+
+
+def test_words_are_spans_of_their_texts():
+    texts = ["", " a\tb", "b\x0bc \x1cd\u2003e\n", "x" * (substring_dedup.RUN + 9) + " a", "b b", ""]
+    words = substring_dedup.Words([t.encode() for t in texts])
+    own = [words.raw[i:j].decode() for i, j in zip(words.starts, words.ends)]
+    assert [own[a:b] for a, b in zip(words.first, words.first[1:])] == [WORDS(t) for t in texts]
+    h = words.hashes().tolist()
+    assert len({*zip(own, h)}) == len({*own}) == len({*h})
+    assert words.owners().tolist() == [k for k, t in enumerate(texts) for _ in WORDS(t)]
+
+
 def test_suffix_tree_nodes():
     rng = random.Random(2)
     text = [rng.randrange(3) for _ in range(300)]
