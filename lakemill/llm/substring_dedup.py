@@ -299,7 +299,7 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
-def unpack(blocks: list[bytes]) -> tuple[Numbers, np.ndarray, np.ndarray, np.ndarray]:
+def unpack(blocks: list[bytes | pa.Buffer]) -> tuple[Numbers, np.ndarray, np.ndarray, np.ndarray]:
     """The words of blocks with their codes, their suffixes as rows of codes (0: no word), the number of each place's suffix, and the places."""
     press, number, keys, owner, places, done = zstandard.ZstdDecompressor(), Numbers({b"": 0}), [], [], [], 0
     for block in blocks:
@@ -339,35 +339,42 @@ def suffixes(frags: DataFrame, window: int, heavy: list[tuple[int, np.ndarray]],
             n, lead = batch.column("n").to_numpy(), batch.column("lead").to_numpy()
             number = Numbers({b"": 0})
             codes = np.concatenate([number.of(words.raw.split()), np.zeros(reach, dtype=np.int32)])
-            rows = np.empty((len(spots), reach + 1), dtype=np.int32)
-            for k in range(reach):
-                rows[:, k] = codes[spots + k]
-            rows[:, reach] = codes[spots - 1]
+            del words
             begins = np.cumsum(n) - n
-            rows[begins[lead == 0], reach] = 0  # a text's first suffix has no word before it
+            size = np.full(len(spots), reach, dtype=np.int32)
             for k in range(1, STEP):  # the last suffixes of a fragment end with it
-                last = (begins + n - k)[n >= k]
-                rows[last, reach - STEP + k : reach] = 0
-            # by bucket and group, in which equal suffixes lie together
-            alike = hashes[-1].view(np.uint64) + mixed(rows[:, window].astype(np.uint64) * ODD + (rows[:, reach].astype(np.uint64) << np.uint64(32)))
-            order = np.argsort((group >> np.uint64(24) << np.uint64(24)) | (mixed(alike) >> np.uint64(40)))
-            bucket = np.where(still, CROWDED, ((group >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64))[order]
+                size[(begins + n - k)[n >= k]] -= STEP - k
+            before = codes[spots - 1]
+            before[begins[lead == 0]] = 0  # a text's first suffix has no word before it
+            # by bucket and group, then by window; equal suffixes lie together
+            after = np.where(size > window, codes[spots + window], 0)
+            alike = mixed(hashes[-1].view(np.uint64) + (after.astype(np.uint64) << np.uint64(32)) + before.astype(np.uint64))
+            key = group >> np.uint64(24) << np.uint64(24) | mixed(hashes[-1].view(np.uint64)) >> np.uint64(52) << np.uint64(12) | alike >> np.uint64(52)
+            del hashes, after, alike
+            bucket = np.where(still, CROWDED, ((group >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64))
+            order = np.argsort(key)
+            del key, group
             if still.any():
-                first = np.argsort(bucket != CROWDED, kind="stable")
-                order, bucket = order[first], bucket[first]
-            rows = rows[order]
+                order = np.concatenate([order[still[order]], order[~still[order]]])
+            bucket, spots, size = bucket[order], spots[order], size[order]
+            rows = np.empty((len(order), reach + 1), dtype=np.int32)
+            for k in range(reach):
+                rows[:, k] = codes[spots + k] if k < window else np.where(k < size, codes[spots + k], 0)
+            rows[:, reach] = before[order]
+            del spots, size, before
             cut = np.concatenate([[True], bucket[1:] != bucket[:-1]])
             new = cut.copy()
-            new[1:] |= (rows[1:] != rows[:-1]).any(axis=1)
+            for column in rows.T:
+                new[1:] |= column[1:] != column[:-1]
             at = np.flatnonzero(new)
-            rows, counts, ends = rows[at], np.diff(np.append(at, len(order))), np.append(at, len(order))
+            counts, ends = np.diff(np.append(at, len(order))), np.append(at, len(order))
             places = np.zeros(len(order), dtype=PLACE)
             for c in ("doc", "tag"):
                 places[c] = np.repeat(batch.column(c).to_numpy(), n)[order]
             places["place"] = (np.repeat(batch.column("at").to_numpy() - begins, n) + np.arange(len(order)))[order]
             cuts = np.append(np.flatnonzero(cut[at]), len(at))
             pack = Packer([*number])
-            blocks = [pack(rows[a:b], counts[a:b], places[ends[a] : ends[b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            blocks = [pack(rows[at[a:b]], counts[a:b], places[ends[a] : ends[b]]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at[cuts[:-1]]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return frags.mapInArrow(run, "bucket bigint, block binary")
@@ -495,11 +502,11 @@ def repeats(frags: DataFrame, window: int, group_rows: int) -> DataFrame:
     def run(batches):
         held, last = [], None
         for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
                 if held and bucket != last:
                     yield solve(held)
                     held = []
-                held.append(block)
+                held.append(block.as_buffer())
                 last = bucket
         if held:
             yield solve(held)
